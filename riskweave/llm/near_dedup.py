@@ -7,9 +7,13 @@ one along a fixed random order of their own (optimal densification). Bands of bi
 
 Equal sets are first folded into classes. In each bucket of classes, a star joins one centre to
 all members, and both full sets confirm each edge; linked classes become components. Then only
-buckets that still hold different components go on, each with new centres that have not been one
-yet, until every pair of a bucket has been compared or lies in one component: no link between
-two members of a bucket is lost, while a group of n copies costs about n edges, not n squared.
+buckets that still hold different components go on, with new centres from their smallest
+components, until every pair of a bucket has been compared or lies in one component: no link
+between two members of a bucket is lost, while a group of n copies costs about n edges, not n
+squared. Buckets that stay mixed hold texts with passages in common that are not near copies. Their
+members are dealt anew, by the shingles of each set's prefix: the rarest ones among these texts, so
+many that two sets at the threshold must have one in common. Texts that only share frequent
+passages no longer meet, and the stars go on in what is left.
 
 Cases: null or blank texts have an empty set, link with nothing and are kept. Repeated rows give
 repeated result rows. Columns besides doc_id and text are not read.
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, discard, grams, slices, stored, text_bytes
@@ -30,8 +34,8 @@ from .common import WordHashes, discard, grams, slices, stored, text_bytes
 WORDS, PERCENT = 5, 75
 #: 32 bands of 4 bins: of pairs at 0.75, about 5 in a million share no bucket.
 BANDS, ROWS = 32, 4
-#: Centres of a bucket in each round after the first.
-CENTRES = 4
+#: Centres of a bucket in the first rounds and in later ones; the round before which mixed buckets are dealt anew.
+CENTRES, REFINED = (1, 4, 4, 8, 16), 2
 
 BINS = BANDS * ROWS
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
@@ -88,19 +92,21 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["c", "x"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _rank(column: str) -> Column:
+    """A random order of ids, the same in all rounds."""
+    return F.xxhash64(F.lit("rank"), column)
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (rep, comp) after joining the components that links (c, x) connect. Each turn every component hooks to the least of itself and its neighbours in a random order that differs by turn, and the edges contract."""
+    """labels (rep, comp) after joining the components that links (c, x) connect. Each turn every component hooks to the least of itself and its neighbours in a random order, and the edges contract."""
     of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"{side}_comp"))
     edges = stored(links.join(of("c"), "c").join(of("x"), "x").where("c_comp <> x_comp").select(F.col("c_comp").alias("a"), F.col("x_comp").alias("b")).distinct(), "edges")
-    turn = 0
     while not edges.isEmpty():
-        turn += 1
-        ranked = lambda side, t=turn: F.struct(F.xxhash64(F.lit(t), side).alias("h"), F.col(side).alias("v"))
+        ranked = lambda side: F.struct(_rank(side).alias("h"), F.col(side).alias("v"))
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select("a", F.least("m", ranked("a")).getField("v").alias("to"))
         hook = stored(hook, "hook")
-        moved = labels.join(hook, labels.comp == hook.a, "left").select("rep", F.coalesce("to", "comp").alias("comp"))
-        fresh = stored(moved, "labels")
+        fresh = stored(labels.join(hook, labels.comp == hook.a, "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
         shrunk = edges.join(hook.select("a", F.col("to").alias("a_to")), "a").join(hook.select(F.col("a").alias("b"), F.col("to").alias("b_to")), "b").where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct()
         shrunk = stored(shrunk, "edges")
         discard(labels, edges, hook)
@@ -109,6 +115,28 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in slices(batches):
+        sets = [shingle_set(t.lower().split(), hashes) for t in text_bytes(batch.column("text"))]
+        ids = np.repeat(batch.column("doc_id").to_numpy(), list(map(len, sets)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "token"])
+
+
+def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (key, rep, n) of new buckets: a key is a shingle of the members' prefixes in order of rarity among them. Any two sets at the threshold have one in common."""
+    reps = live.select("rep", "n").distinct()
+    tokens = stored(texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "rep long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    sets = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("members"))
+    size = F.size("members")
+    prefix = F.slice("members", F.lit(1), size - F.ceil(size * PERCENT / 100).cast("int") + 1)
+    keys = sets.select("rep", size.cast("long").alias("n"), F.explode(F.filter(prefix, lambda m: m.often > 1)).alias("m"))
+    out = stored(keys.select(F.col("m.token").alias("key"), "rep", "n"), "members")
+    discard(tokens)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id (least id reachable), kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -123,11 +151,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     turn = 0
     while True:
         here = members.join(labels, "rep")
-        mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + i), "rep").alias("h"), "rep", "n", "comp")).alias(f"c{i}") for i in range(CENTRES if turn else 1)]).where("lo <> hi")
-        mixed = mixed.select("key", F.array_distinct(F.array(*[f"c{i}.rep" for i in range(CENTRES if turn else 1)])).alias("centres"), F.array(*[f"c{i}" for i in range(CENTRES if turn else 1)]).alias("cs"))
+        if turn:  # centres come from a bucket's smallest components, which have most partners to meet
+            here = here.join(here.groupBy("key", "comp").agg(F.count("*").alias("share")), ["key", "comp"])
+        else:
+            here = here.withColumn("share", F.lit(1).cast("long"))
+        k = CENTRES[min(turn, len(CENTRES) - 1)]
+        order = lambda i: F.struct("share", (F.xxhash64(F.lit(i), "rep") if i else _rank("rep")).alias("h"), "rep", "n", "comp")
+        mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(order(i)).alias(f"c{i}") for i in range(k)]).where("lo <> hi")
+        mixed = mixed.select("key", F.array(*[f"c{i}.rep" for i in range(k)]).alias("centres"), F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.comp") for i in range(k)])).alias("cs"))
         live = stored(here.join(mixed, "key"), "live")
         if live.isEmpty():
+            discard(live)
             break
+        if turn == REFINED:
+            fresh = _refined(live, texts)
+            discard(members, live)
+            members, turn = fresh, turn + 1
+            continue
         edges = live.select("rep", "n", "comp", F.explode("cs").alias("c")).where("c.rep <> rep and c.comp <> comp").where(100 * F.least("n", "c.n") >= PERCENT * F.greatest("n", "c.n"))
         # least and greatest: a pair of two centres, or one met in several buckets, is compared once
         edges = edges.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b"), (F.col("c.rep") < F.col("rep")).alias("a_is_centre"))
@@ -139,7 +179,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = _merged(labels, links)
         discard(members, live, links)
         members, turn = rest, turn + 1
-    discard(members, live, texts)
+    discard(members, texts)
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
     joined = classes.join(labels, "rep", "left").join(least, "comp", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     joined = stored(joined, "joined")
