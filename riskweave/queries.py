@@ -1,13 +1,249 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators, over whole tables, and the same in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskweave.functions.text import RISKY_EXTENSIONS, content_type, entropy, extension, fingerprint, is_risky, normal_domain
+from riskweave.operators import domains, ordered, policy, report, scan, vectors
+from riskweave.plans.packs import DOMAINS, EXCLUSIONS, PATTERNS, POLICIES, ScanConfig
 
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+def _documents(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text")
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return scan.scored(scan.matches(_documents(spark, sf_dir), PATTERNS), PATTERNS, EXCLUSIONS)
+
+
+def classify_documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", content_type(F.col("text")).alias("content_type"))
+
+
+def classify_conversations(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").groupBy(content_type(F.col("text")).alias("content_type")).agg(F.count("*").alias("n"))
+
+
+def prefix_candidates(spark, sf_dir):
+    return scan.candidates(_documents(spark, sf_dir), PATTERNS)
+
+
+def regex_matches(spark, sf_dir):
+    return scan.matches(_documents(spark, sf_dir), PATTERNS).select("content_id", "pattern", "value", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "num_matches")
+
+
+def match_entropy(spark, sf_dir):
+    return scan.matches(_documents(spark, sf_dir), PATTERNS).select("content_id", "pattern", F.col("start").cast("long").alias("start"), F.round(entropy(F.col("value")), 6).alias("entropy"))
+
+
+def hotword_context(spark, sf_dir):
+    return _scored(spark, sf_dir).select("content_id", "pattern", F.col("start").cast("long").alias("start"), "hotword")
+
+
+def exclusion_eval(spark, sf_dir):
+    return _scored(spark, sf_dir).select("content_id", "pattern", F.col("start").cast("long").alias("start"), "suppressed", "penalised")
+
+
+def score_matches(spark, sf_dir):
+    return _scored(spark, sf_dir).select("content_id", "pattern", F.col("start").cast("long").alias("start"), "score")
+
+
+def scan_documents(spark, sf_dir):
+    return scan.scan(_documents(spark, sf_dir), PATTERNS, EXCLUSIONS)
+
+
+def scan_conversations(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("content_id"), "text")
+    return scan.scan(rows, PATTERNS, EXCLUSIONS)
+
+
+def scan_dedup(spark, sf_dir):
+    return scan.scan_distinct(_documents(spark, sf_dir), PATTERNS, EXCLUSIONS).select("content_id", "blocked", "pattern_name", "score")
+
+
+def _by(spark, sf_dir, column) -> DataFrame:
+    verdicts = scan_documents(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), column)
+    return verdicts.join(docs, "content_id").groupBy(column).agg(F.count("*").alias("scans"), F.count_if(F.col("blocked")).alias("blocks"), F.max("score").alias("top_score"))
+
+
+def scan_by_source(spark, sf_dir):
+    return _by(spark, sf_dir, "source")
+
+
+def scan_by_lang(spark, sf_dir):
+    return _by(spark, sf_dir, "lang")
+
+
+def blocked_counters(spark, sf_dir):
+    return scan_documents(spark, sf_dir).agg(F.count("*").alias("dlp_scans"), F.count_if(F.col("blocked")).alias("dlp_blocks"))
+
+
+def _hosts(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", normal_domain(F.col("url")).alias("host"))
+
+
+def resolve_page_hosts(spark, sf_dir):
+    pages = _hosts(spark, sf_dir)
+    return pages.join(domains.resolved(pages, domains.rule_table(spark, DOMAINS)), "host", "left").select("page_id", "host", "category")
+
+
+def _policies(spark) -> DataFrame:
+    return spark.createDataFrame(POLICIES, "category string, action string")
+
+
+def dns_verdicts(spark, sf_dir):
+    verdicts = domains.decided(_hosts(spark, sf_dir), domains.rule_table(spark, DOMAINS), _policies(spark))
+    return _hosts(spark, sf_dir).join(verdicts, "host").groupBy("action", "rcode").agg(F.count("*").alias("n"))
+
+
+def tier2_hosts(spark, sf_dir):
+    return domains.hosts_with_action(domains.rule_table(spark, DOMAINS), _policies(spark))
+
+
+def rule_precedence(spark, sf_dir):
+    return domains.effective(domains.rule_table(spark, DOMAINS)).select("host", "is_wildcard", "category")
+
+
+def override_merge(spark, sf_dir):
+    base = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("weight"))
+    overrides = base.where("weight = 1").select("name", (F.col("weight") + 10).alias("weight")).unionByName(base.where("weight = 2").select(F.concat("name", F.lit("*")).alias("name"), "weight"))
+    return domains.merged(base, overrides, ["name"])
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("toxic") == 1).alias("expected"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "lang")
+    verdicts = scan_documents(spark, sf_dir).withColumnRenamed("content_id", "sample_id")
+    return labels.join(docs, "sample_id").join(verdicts, "sample_id")
+
+
+def accuracy_report(spark, sf_dir):
+    return report.accuracy(_samples(spark, sf_dir))
+
+
+def accuracy_by_lang(spark, sf_dir):
+    return report.budget_check(report.accuracy_by(_samples(spark, sf_dir), "lang"))
+
+
+def pattern_fp(spark, sf_dir):
+    return report.false_positives(_samples(spark, sf_dir)).select("pattern", "fp_count", "fp_rate")
+
+
+def accuracy_regression(spark, sf_dir):
+    rows = _samples(spark, sf_dir)
+    base = report.accuracy_by(rows, "lang").where("overall = 0")
+    now = report.accuracy_by(rows.where("lang <> 'es'").withColumn("blocked", F.col("blocked") | (F.col("lang") == "fr")), "lang").where("overall = 0")
+    return report.regression(base, now, "lang").select("lang", "violation")
+
+
+def centroids(spark, sf_dir):
+    rows = vectors.centroids(_table(spark, sf_dir, "embeddings"))
+    return rows.select("label", F.posexplode("centroid").alias("pos", "x")).select(F.col("label").cast("long").alias("label"), F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+def _sides(spark, sf_dir) -> tuple[list[float], list[float]]:
+    got = {r.label: r.centroid for r in vectors.centroids(_table(spark, sf_dir, "embeddings").where("label < 2")).collect()}
+    return got[0], got[1]
+
+
+def prefilter_verdicts(spark, sf_dir):
+    tp, tn = _sides(spark, sf_dir)
+    return vectors.prefilter(_table(spark, sf_dir, "embeddings"), tp, tn, 0.1).select("vec_id", "margin", "verdict")
+
+
+def linear_head(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").where("label < 2")
+    return vectors.linear_head(rows, F.col("label") == 0).select(F.round("bias", 6).alias("bias"), F.round(F.col("weights")[0], 6).alias("first_weight"), "tp_right", "tn_right")
+
+
+def disambiguator_scores(spark, sf_dir):
+    head = vectors.linear_head(_table(spark, sf_dir, "embeddings").where("label < 2"), F.col("label") == 0)
+    rows = _table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(head.select("weights", "bias")))
+    return rows.select("vec_id", F.round(vectors.head_score(F.col("embedding"), F.col("weights"), F.col("bias")), 6).alias("head_score"))
+
+
+def scan_with_ml(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    rows = scan.matches(docs, PATTERNS).withColumn("ml_score", F.when(F.pmod("content_id", F.lit(2)) == 0, 0.6).otherwise(-0.6))
+    cfg = ScanConfig(ml=1)
+    return scan.pattern_verdicts(scan.scored(rows, PATTERNS, EXCLUSIONS, cfg), PATTERNS, cfg).select("content_id", "pattern", "num_matches", "score", "blocked")
+
+
+def tamper_edges(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok"))
+    return ordered.bad_edges(events, "user_id", "ts", "ok", "event_id").select("event_id", "user_id")
+
+
+def _polls(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.floor("value").cast("long").alias("counter"))
+
+
+def counter_deltas(spark, sf_dir):
+    return ordered.deltas(_polls(spark, sf_dir), "user_id", ["ts", "event_id"], "counter").select("event_id", "user_id", "delta")
+
+
+def last_notifications(spark, sf_dir):
+    rows = ordered.deltas(_polls(spark, sf_dir), "user_id", ["ts", "event_id"], "counter")
+    return ordered.newest(rows, "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "delta", F.col("place").cast("long").alias("place"))
+
+
+def id_rollback(spark, sf_dir):
+    rows = _polls(spark, sf_dir)
+    return ordered.id_rollbacks(rows, "user_id", ["ts", "event_id"], "counter").groupBy("user_id").agg(F.count_if(F.col("rejected")).alias("rejected"), F.count("*").alias("n"))
+
+
+def byte_budget(spark, sf_dir):
+    files = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("size"))
+    return ordered.within_budget(files, "conv_id", ["turn"], "size", 2000).select("conv_id", "turn", F.col("taken").cast("long").alias("taken"), "truncated")
+
+
+def enforcement_decisions(spark, sf_dir):
+    verdicts = scan_documents(spark, sf_dir).withColumnRenamed("content_id", "doc_id")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * 400).cast("long").alias("size")).join(verdicts, "doc_id")
+    mode = F.element_at(F.array(F.lit("personal"), F.lit("team"), F.lit("managed")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    rows = rows.withColumn("mode", mode).withColumn("blocked", F.when(F.pmod("doc_id", F.lit(7)) != 0, F.col("blocked")))
+    return policy.enforced(rows).select("doc_id", "decision", "effective_pattern", "effective_score")
+
+
+def risky_extensions(spark, sf_dir):
+    name = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    return _table(spark, sf_dir, "pages").select(extension(name).alias("extension"), is_risky(name, [*RISKY_EXTENSIONS, "html"]).alias("risky")).groupBy("extension", "risky").agg(F.count("*").alias("n"))
+
+
+def manifest_delta(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), F.col("page_id")).alias("name"), F.sha2("html", 256).alias("sha256"), "page_id")
+    present = pages.where("page_id % 3 = 0").select("name", F.upper("sha256").alias("sha256"))
+    return domains.manifest_delta(pages.withColumn("name", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("../"), "name")).otherwise(F.col("name"))), present).select("name", "sha256")
+
+
+def clipboard_fingerprints(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", fingerprint(F.col("text")).alias("fingerprint"))
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("seconds"))
+
+
+def rate_limit(spark, sf_dir):
+    return ordered.token_bucket(_timed(spark, sf_dir), "user_id", "seconds", "event_id", 1 / 20_000, 2.0).groupBy("user_id").agg(F.count_if(F.col("allowed")).alias("allowed"), F.count("*").alias("n"))
+
+
+def clipboard_throttle(spark, sf_dir):
+    return ordered.throttled(_timed(spark, sf_dir), "user_id", "seconds", "event_id", "event_type", 3_600.0).groupBy("user_id").agg(F.count_if(F.col("accepted")).alias("accepted"), F.count("*").alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        classify_documents, classify_conversations, prefix_candidates, regex_matches, match_entropy, hotword_context, exclusion_eval, score_matches, scan_documents, scan_conversations, scan_dedup, scan_by_source, scan_by_lang, blocked_counters,
+        resolve_page_hosts, dns_verdicts, tier2_hosts, rule_precedence, override_merge, accuracy_report, accuracy_by_lang, pattern_fp, accuracy_regression, centroids, prefilter_verdicts, linear_head, disambiguator_scores, scan_with_ml,
+        tamper_edges, counter_deltas, last_notifications, id_rollback, byte_budget, enforcement_decisions, risky_extensions, manifest_delta, clipboard_fingerprints, rate_limit, clipboard_throttle,
+    )
+}
