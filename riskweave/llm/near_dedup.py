@@ -12,8 +12,9 @@ components, until every pair of a bucket has been compared or lies in one compon
 between two members of a bucket is lost, while a group of n copies costs about n edges, not n
 squared. Buckets that stay mixed hold texts with passages in common that are not near copies. Their
 members are dealt anew, by the shingles of each set's prefix: the rarest ones among these texts, so
-many that two sets at the threshold must have one in common. Texts that only share frequent
-passages no longer meet, and the stars go on in what is left.
+many that two sets at the threshold must have one in common. With the shingle's position in both
+orders bounding what can follow it, texts that only share frequent passages no longer meet, and the
+stars go on in what is left.
 
 Cases: null or blank texts have an empty set, link with nothing and are kept. Repeated rows give
 repeated result rows. Columns besides doc_id and text are not read.
@@ -29,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, grams, slices, stored, text_bytes
+from .common import WordHashes, discard, grams, mixed, slices, stored, text_bytes
 
 WORDS, PERCENT = 5, 75
 #: 32 bands of 4 bins: of pairs at 0.75, about 5 in a million share no bucket.
 BANDS, ROWS = 32, 4
 #: Centres of a bucket in the first rounds and in later ones; the round before which mixed buckets are dealt anew.
-CENTRES, REFINED = (1, 4, 4, 8, 16), 2
+CENTRES, REFINED = (1, 0, 4, 16, 32), 1
+#: Bits of the filter that spares most texts without a partner the shuffle; it only lets too many pass when it is full.
+FILTER_BITS = 1 << 26
 
 BINS = BANDS * ROWS
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
@@ -124,30 +127,58 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
-    """members (key, rep, n) of new buckets: a key is a shingle of the members' prefixes in order of rarity among them. Any two sets at the threshold have one in common."""
+    """members (key, rep, n, room) of new buckets: a key is a shingle of the members' prefixes in order of rarity among them. Any two sets at the threshold have one in common. room: the key and what follows it in the order, which is all that two sets can share if the key is the first they share."""
     reps = live.select("rep", "n").distinct()
     tokens = stored(texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "rep long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     sets = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("members"))
     size = F.size("members")
-    prefix = F.slice("members", F.lit(1), size - F.ceil(size * PERCENT / 100).cast("int") + 1)
+    prefix = F.transform(F.slice("members", F.lit(1), size - F.ceil(size * PERCENT / 100).cast("int") + 1), lambda m, i: F.struct(m.often.alias("often"), m.token.alias("key"), (F.size("members") - i).cast("long").alias("room")))
     keys = sets.select("rep", size.cast("long").alias("n"), F.explode(F.filter(prefix, lambda m: m.often > 1)).alias("m"))
-    out = stored(keys.select(F.col("m.token").alias("key"), "rep", "n"), "members")
+    out = stored(keys.select("m.key", "rep", "n", "m.room"), "members")
     discard(tokens)
     return out
 
 
+def _bits(ids: np.ndarray) -> list[np.ndarray]:
+    x = mixed(ids.view(np.uint64))
+    return [(x >> np.uint64(s) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for s in (0, 28)]
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(np.concatenate(_bits(batch.column("rep").to_numpy())))
+        slot, start = np.unique(at >> 5, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 31), start) if len(at) else at)], ["slot", "word"])
+
+
+def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The texts of reps, one row each. A Bloom filter of bounded size keeps most other texts out of the shuffle of the exact join."""
+    words = np.zeros(FILTER_BITS // 32, "<u4")
+    for r in reps.select("rep").mapInArrow(_set_bits, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toLocalIterator():
+        words[r.slot] = r.word
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def likely(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            yield batch.filter(pa.array(np.logical_and.reduce([held.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1 for at in _bits(ids)])))
+
+    some = docs.mapInArrow(likely, docs.schema)
+    return stored(some.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id (least id reachable), kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_signed, "doc_id long, n long, digest binary, bands array<long>"), "signed")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")).where("rep is not null")
     classes = stored(classes, "classes")
-    bands = signed.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key")).distinct()
-    members = bands.join(bands.groupBy("key").count().where("count > 1"), "key").select("key", "rep", "n")
-    members = stored(members, "members")
+    bands = classes.select("rep", "n", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    members = stored(bands.join(shared, "key").select("key", "rep", "n", F.col("n").alias("room")), "members")
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "labels")
-    texts = stored(docs.join(labels.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = _texts(docs, labels)
     turn = 0
     while True:
         here = members.join(labels, "rep")
@@ -155,11 +186,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             here = here.join(here.groupBy("key", "comp").agg(F.count("*").alias("share")), ["key", "comp"])
         else:
             here = here.withColumn("share", F.lit(1).cast("long"))
-        k = CENTRES[min(turn, len(CENTRES) - 1)]
-        order = lambda i: F.struct("share", (F.xxhash64(F.lit(i), "rep") if i else _rank("rep")).alias("h"), "rep", "n", "comp")
-        mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(order(i)).alias(f"c{i}") for i in range(k)]).where("lo <> hi")
-        mixed = mixed.select("key", F.array(*[f"c{i}.rep" for i in range(k)]).alias("centres"), F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.comp") for i in range(k)])).alias("cs"))
-        live = stored(here.join(mixed, "key"), "live")
+        k = CENTRES[min(turn, len(CENTRES) - 1)] or 1
+        order = lambda i: F.struct("share", (F.xxhash64(F.lit(i), "rep") if i else _rank("rep")).alias("h"), "rep", "n", "room", "comp")
+        both = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(order(i)).alias(f"c{i}") for i in range(k)]).where("lo <> hi")
+        both = both.select("key", F.array(*[f"c{i}.rep" for i in range(k)]).alias("centres"), F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.room", f"c{i}.comp") for i in range(k)])).alias("cs"))
+        live = stored(here.join(both, "key"), "live")
         if live.isEmpty():
             discard(live)
             break
@@ -168,14 +199,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             discard(members, live)
             members, turn = fresh, turn + 1
             continue
-        edges = live.select("rep", "n", "comp", F.explode("cs").alias("c")).where("c.rep <> rep and c.comp <> comp").where(100 * F.least("n", "c.n") >= PERCENT * F.greatest("n", "c.n"))
+        # sizes and room must allow for the similarity; the shingles that follow a key bound what two sets share from it on
+        fits = F.filter("cs", lambda c: (c.rep != F.col("rep")) & (c.comp != F.col("comp")) & (100 * F.least(F.col("n"), c.n) >= PERCENT * F.greatest(F.col("n"), c.n)) & ((100 + PERCENT) * F.least(F.col("room"), c.room) >= PERCENT * (F.col("n") + c.n)))
+        edges = live.select("rep", F.explode(fits).alias("c"))
         # least and greatest: a pair of two centres, or one met in several buckets, is compared once
         edges = edges.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b"), (F.col("c.rep") < F.col("rep")).alias("a_is_centre"))
         edges = edges.groupBy("a", "b").agg(F.max("a_is_centre").alias("a_is_centre"))
         edges = edges.select(F.when(F.col("a_is_centre"), F.col("a")).otherwise(F.col("b")).alias("c"), F.when(F.col("a_is_centre"), F.col("b")).otherwise(F.col("a")).alias("x"))
         pairs = edges.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c")
         links = stored(pairs.select("c", "x", "c_text", "x_text").mapInArrow(_confirmed, "c long, x long"), "links")
-        rest = stored(live.where(~F.array_contains("centres", F.col("rep"))).select("key", "rep", "n"), "members")
+        rest = stored(live.where(~F.array_contains("centres", F.col("rep"))).select("key", "rep", "n", "room"), "members")
         labels = _merged(labels, links)
         discard(members, live, links)
         members, turn = rest, turn + 1
