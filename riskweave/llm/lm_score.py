@@ -50,6 +50,8 @@ class Lattice:
         order = np.argsort(hashes)
         self.hashes, self.ids, self.logp = hashes[order], order, logp[order]
         self.lengths = sorted({len(x) for x in pieces})
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece; this tells without a search
+        self.maybe[hashes >> np.uint64(44)] = True
 
     @staticmethod
     def _prefix(codes: np.ndarray) -> np.ndarray:
@@ -58,26 +60,33 @@ class Lattice:
             h[:, i + 1] = h[:, i] * _P + (codes[:, i] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         return h
 
-    def _edges(self, codes: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: score of the piece that starts at each place (-inf: none), and its index."""
+    def _edges(self, codes: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: score of the piece that starts at each place (-inf: none), the places that have one, and its index (-1: bytes)."""
         h, n, out, power = self._prefix(codes), codes.shape[1], [], np.uint64(1)
         powers = [power := power * _P for _ in range(max(self.lengths, default=1))]
         for size in [x for x in self.lengths if x <= n] or [1]:
             part = h[:, size:] - h[:, :-size] * powers[size - 1]
-            at = np.minimum(np.searchsorted(self.hashes, part), len(self.hashes) - 1)
-            there = self.hashes[at] == part
-            score = np.where(there, self.logp[at], -np.inf)
+            flat = part.ravel()
+            some = np.flatnonzero(self.maybe[flat >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.hashes, flat[some]), len(self.hashes) - 1)
+            there = self.hashes[at] == flat[some]
+            some, at = some[there], at[there]
             if size == 1:
                 width = 1 + (codes > 0x7F).astype(int) + (codes > 0x7FF) + (codes > 0xFFFF)
-                score = np.where(there, score, width * self.byte_logp)
-            out.append((size, score, np.where(there, at, -1)))
+                score, index = width * self.byte_logp, np.full(flat.shape, -1)
+                score.ravel()[some], index[some] = self.logp[at], at
+                some, at = np.arange(len(flat)), index
+            else:
+                score = np.full(part.shape, -np.inf)
+                score.ravel()[some] = self.logp[at]
+            out.append((size, score, some, at))
         return out
 
     def _forward(self, edges, n: int, rows: int) -> np.ndarray:
         a = np.full((rows, n + 1), -np.inf)
         a[:, 0] = 0
         for i in range(1, n + 1):
-            for size, score, _ in edges:
+            for size, score, *_ in edges:
                 if size <= i:
                     a[:, i] = np.logaddexp(a[:, i], a[:, i - size] + score[:, i - size])
         return a
@@ -92,12 +101,13 @@ class Lattice:
         b = np.full_like(a, -np.inf)
         b[:, n] = 0
         for i in range(n - 1, -1, -1):
-            for size, score, _ in edges:
+            for size, score, *_ in edges:
                 if i + size <= n:
                     b[:, i] = np.logaddexp(b[:, i], score[:, i] + b[:, i + size])
-        for size, score, at in edges:
-            use = np.exp(a[:, : n - size + 1] + score + b[:, size:] - a[:, -1:]) * counts[:, None]
-            into += np.bincount(np.where(at >= 0, self.ids[at], len(into) - 1).ravel(), use.ravel(), len(into))
+        for size, score, some, at in edges:
+            row, place = np.divmod(some, n - size + 1)
+            use = np.exp(a[row, place] + score.ravel()[some] + b[row, place + size] - a[row, n]) * counts[row]
+            into += np.bincount(np.where(at >= 0, self.ids[at], len(into) - 1), use, len(into))
 
 
 @lru_cache(1)

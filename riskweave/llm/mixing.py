@@ -100,7 +100,7 @@ def mixed_sample(docs: DataFrame, draw: float = DRAW, power: float = POWER, seed
     scale = _scale(fitted, draw)
     wanted = (F.col("weight") * F.lit(scale) / F.col("tokens")).alias("wanted")
     out = counted.join(fitted.select(*DIMENSIONS, wanted), list(DIMENSIONS), "left")
-    chance = F.coalesce(F.least(F.col("wanted"), F.lit(1.0)), F.lit(0.0))
+    chance = F.when(F.col("n_words") > 0, F.coalesce(F.least(F.col("wanted"), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
     draw_at = (F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53))
     null_back = lambda c: F.when(F.col(c) != _NONE, F.col(c)).alias(c)
     return out.select("doc_id", *map(null_back, DIMENSIONS), "n_words", chance.alias("probability"), (draw_at < chance).alias("sampled"), F.coalesce(F.when(chance > 0, F.col("wanted") / chance), F.lit(0.0)).alias("weight"))

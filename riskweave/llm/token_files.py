@@ -58,9 +58,10 @@ class WordIds:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of(self, text: bytes) -> bytes:
-        if any(x in text for x in self.special):  # their names are matched before lower-casing
+        low = text.lower()
+        if any(x in low for x in self.special):  # their names are matched before lower-casing
             return self.encoded([text.decode()])[0]
-        words = text.lower().split()
+        words = low.split()
         fresh = set(words).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > CACHE_WORDS:
