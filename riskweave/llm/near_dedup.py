@@ -13,8 +13,9 @@ between two members of a bucket is lost, while a group of n copies costs about n
 squared. Buckets that stay mixed hold texts with passages in common that are not near copies. Their
 members are dealt anew, by the shingles of each set's prefix: the rarest ones among these texts, so
 many that two sets at the threshold must have one in common. With the shingle's position in both
-orders bounding what can follow it, texts that only share frequent passages no longer meet, and the
-stars go on in what is left.
+orders bounding what can follow it, texts that only share frequent passages no longer meet. Buckets
+split by set size too, with sizes of one class or the next together, members that the bounds of their
+bucket show to be without a partner leave it, and the stars go on in what is left.
 
 Cases: null or blank texts have an empty set, link with nothing and are kept. Repeated rows give
 repeated result rows. Columns besides doc_id and text are not read.
@@ -22,6 +23,7 @@ repeated result rows. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Centres of a bucket in the first rounds and in later ones; the round before which mixed buckets are dealt anew.
 CENTRES, REFINED = (1, 0, 4, 16, 32), 1
+#: Ratio of the sizes that bound a size class; above that of two sets at the threshold, so a pair's classes are equal or neighbours.
+SIZE_RATIO = 1.01 * 100 / PERCENT
 #: Bits of the filter that spares most texts without a partner the shuffle; it only lets too many pass when it is full.
 FILTER_BITS = 1 << 26
 
@@ -126,6 +130,16 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "token"])
 
 
+def _bounds() -> list[Column]:
+    """Of a bucket: the least size and the most room."""
+    return [F.min("n").alias("least_n"), F.max("room").alias("most_room")]
+
+
+def _can_fit() -> Column:
+    """Whether a bucket with these bounds can hold a partner: the rooms of two sets at the threshold reach the share that both sizes ask for."""
+    return (100 + PERCENT) * F.least("room", "most_room") * 100 >= PERCENT * (F.col("n") * 100 + F.greatest(F.col("least_n") * 100, F.col("n") * PERCENT))
+
+
 def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
     """members (key, rep, n, room) of new buckets: a key is a shingle of the members' prefixes in order of rarity among them. Any two sets at the threshold have one in common. room: the key and what follows it in the order, which is all that two sets can share if the key is the first they share."""
     reps = live.select("rep", "n").distinct()
@@ -135,7 +149,11 @@ def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
     size = F.size("members")
     prefix = F.transform(F.slice("members", F.lit(1), size - F.ceil(size * PERCENT / 100).cast("int") + 1), lambda m, i: F.struct(m.often.alias("often"), m.token.alias("key"), (F.size("members") - i).cast("long").alias("room")))
     keys = sets.select("rep", size.cast("long").alias("n"), F.explode(F.filter(prefix, lambda m: m.often > 1)).alias("m"))
-    out = stored(keys.select("m.key", "rep", "n", "m.room"), "members")
+    # a bucket is a shingle and a pair of neighbouring size classes
+    size_class = F.floor(F.log("n") / math.log(SIZE_RATIO))
+    split = keys.select("m.key", "rep", "n", "m.room", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
+    split = split.select(F.xxhash64("key", "sizes").alias("key"), "rep", "n", "room")
+    out = stored(split.join(split.groupBy("key").agg(*_bounds(), F.count("*").alias("held")).where("held > 1"), "key").where(_can_fit()).select("key", "rep", "n", "room"), "members")
     discard(tokens)
     return out
 
@@ -188,9 +206,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             here = here.withColumn("share", F.lit(1).cast("long"))
         k = CENTRES[min(turn, len(CENTRES) - 1)] or 1
         order = lambda i: F.struct("share", (F.xxhash64(F.lit(i), "rep") if i else _rank("rep")).alias("h"), "rep", "n", "room", "comp")
-        both = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(order(i)).alias(f"c{i}") for i in range(k)]).where("lo <> hi")
-        both = both.select("key", F.array(*[f"c{i}.rep" for i in range(k)]).alias("centres"), F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.room", f"c{i}.comp") for i in range(k)])).alias("cs"))
-        live = stored(here.join(both, "key"), "live")
+        both = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_bounds(), *[F.min(order(i)).alias(f"c{i}") for i in range(k)]).where("lo <> hi")
+        both = both.select("key", "least_n", "most_room", F.array(*[f"c{i}.rep" for i in range(k)]).alias("centres"), F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.room", f"c{i}.comp") for i in range(k)])).alias("cs"))
+        live = stored(here.join(both, "key").where(_can_fit()), "live")
         if live.isEmpty():
             discard(live)
             break
