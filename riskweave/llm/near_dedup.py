@@ -37,8 +37,8 @@ from .common import WordHashes, discard, grams, mixed, slices, stored, text_byte
 WORDS, PERCENT = 5, 75
 #: 32 bands of 4 bins: of pairs at 0.75, about 5 in a million share no bucket.
 BANDS, ROWS = 32, 4
-#: Centres of a bucket in the first rounds and in later ones; the round before which mixed buckets are dealt anew.
-CENTRES, REFINED = (1, 0, 4, 16, 32), 1
+#: Centres of a bucket's block and blocks of a bucket, in the first round and in later ones; the round before which mixed buckets are dealt anew.
+FIRST, LATER, REFINED = (1, 1), (16, 8), 1
 #: Ratio of the sizes that bound a size class; above that of two sets at the threshold, so a pair's classes are equal or neighbours.
 SIZE_RATIO = 1.01 * 100 / PERCENT
 #: Bits of the filter that spares most texts without a partner the shuffle; it only lets too many pass when it is full.
@@ -204,10 +204,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             here = here.join(here.groupBy("key", "comp").agg(F.count("*").alias("share")), ["key", "comp"])
         else:
             here = here.withColumn("share", F.lit(1).cast("long"))
-        k = CENTRES[min(turn, len(CENTRES) - 1)] or 1
+        k, blocks = LATER if turn else FIRST
         order = lambda i: F.struct("share", (F.xxhash64(F.lit(i), "rep") if i else _rank("rep")).alias("h"), "rep", "n", "room", "comp")
-        both = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_bounds(), *[F.min(order(i)).alias(f"c{i}") for i in range(k)]).where("lo <> hi")
-        both = both.select("key", "least_n", "most_room", F.array(*[f"c{i}.rep" for i in range(k)]).alias("centres"), F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.room", f"c{i}.comp") for i in range(k)])).alias("cs"))
+        cut = here.groupBy("key", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)).alias("block")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_bounds(), *[F.min(order(i)).alias(f"c{i}") for i in range(k)])
+        cut = cut.withColumn("cs", F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.room", f"c{i}.comp") for i in range(k)])))
+        both = cut.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least_n").alias("least_n"), F.max("most_room").alias("most_room"), F.flatten(F.collect_list("cs")).alias("cs")).where("lo <> hi")
+        both = both.select("key", "least_n", "most_room", F.col("cs.rep").alias("centres"), "cs")
         live = stored(here.join(both, "key").where(_can_fit()), "live")
         if live.isEmpty():
             discard(live)
