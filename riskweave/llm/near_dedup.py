@@ -6,7 +6,7 @@ over bins; the least member of each bin is its signature, and empty bins borrow
 one along a fixed random order of their own (optimal densification). Bands of bins are buckets.
 
 Equal sets are first folded into classes. In each bucket of classes, a star joins one centre to
-all members, and both full sets confirm each edge; linked classes become components. Then only
+all members; bitmaps of the sets rule out most unlike pairs and both full sets confirm each other edge; linked classes become components. Then only
 buckets that still hold different components go on, with new centres from their smallest
 components, until every pair of a bucket has been compared or lies in one component: no link
 between two members of a bucket is lost, while a group of n copies costs about n edges, not n
@@ -43,6 +43,8 @@ FIRST, LATER, REFINED = (1, 1), (16, 8), 1
 SIZE_RATIO = 1.01 * 100 / PERCENT
 #: Bits of the filter that spares most texts without a partner the shuffle; it only lets too many pass when it is full.
 FILTER_BITS = 1 << 26
+#: Bits of the bitmap of a set that spares most unlike pairs the comparison of full sets.
+BITMAP = 2048
 
 BINS = BANDS * ROWS
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
@@ -158,6 +160,25 @@ def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: the set's size, and a bitmap with the bit of each member set."""
+    hashes = WordHashes()
+    for batch in slices(batches):
+        sets = [shingle_set(t.lower().split(), hashes) for t in text_bytes(batch.column("text"))]
+        maps = np.zeros((len(sets), BITMAP), bool)
+        for row, members in zip(maps, sets, strict=True):
+            row[(members % np.uint64(BITMAP)).astype(np.int64)] = True
+        words = np.packbits(maps, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(words), pa.list_(pa.int64()))], ["rep", "n", "bits"])
+
+
+def _likely(edges: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Of the edges (c, x), those whose bitmaps allow for the similarity, an exact filter: each bit in which they differ shows a member that only one of the sets has."""
+    of = lambda side: bitmaps.select(F.col("rep").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
+    differ = F.aggregate(F.zip_with("c_bits", "x_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    return edges.join(of("c"), "c").join(of("x"), "x").where((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("c_n") + F.col("x_n"))).select("c", "x")
+
+
 def _bits(ids: np.ndarray) -> list[np.ndarray]:
     x = mixed(ids.view(np.uint64))
     return [(x >> np.uint64(s) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for s in (0, 28)]
@@ -173,8 +194,9 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The texts of reps, one row each. A Bloom filter of bounded size keeps most other texts out of the shuffle of the exact join."""
     words = np.zeros(FILTER_BITS // 32, "<u4")
-    for r in reps.select("rep").mapInArrow(_set_bits, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toLocalIterator():
-        words[r.slot] = r.word
+    # FILTER_BITS / 32 rows at most, in one job
+    found = reps.select("rep").mapInArrow(_set_bits, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
+    words[found.column("slot").to_numpy()] = found.column("word").to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def likely(batches):
@@ -197,6 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(bands.join(shared, "key").select("key", "rep", "n", F.col("n").alias("room")), "members")
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "labels")
     texts = _texts(docs, labels)
+    bitmaps = stored(texts.mapInArrow(_bitmaps, "rep long, n long, bits array<long>"), "bitmaps")
     turn = 0
     while True:
         here = members.join(labels, "rep")
@@ -209,7 +232,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         cut = here.groupBy("key", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)).alias("block")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_bounds(), *[F.min(order(i)).alias(f"c{i}") for i in range(k)])
         cut = cut.withColumn("cs", F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.room", f"c{i}.comp") for i in range(k)])))
         both = cut.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least_n").alias("least_n"), F.max("most_room").alias("most_room"), F.flatten(F.collect_list("cs")).alias("cs")).where("lo <> hi")
-        both = both.select("key", "least_n", "most_room", F.col("cs.rep").alias("centres"), "cs")
         live = stored(here.join(both, "key").where(_can_fit()), "live")
         if live.isEmpty():
             discard(live)
@@ -226,13 +248,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         edges = edges.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b"), (F.col("c.rep") < F.col("rep")).alias("a_is_centre"))
         edges = edges.groupBy("a", "b").agg(F.max("a_is_centre").alias("a_is_centre"))
         edges = edges.select(F.when(F.col("a_is_centre"), F.col("a")).otherwise(F.col("b")).alias("c"), F.when(F.col("a_is_centre"), F.col("b")).otherwise(F.col("a")).alias("x"))
-        pairs = edges.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c")
+        pairs = _likely(edges, bitmaps).join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c")
         links = stored(pairs.select("c", "x", "c_text", "x_text").mapInArrow(_confirmed, "c long, x long"), "links")
-        rest = stored(live.where(~F.array_contains("centres", F.col("rep"))).select("key", "rep", "n", "room"), "members")
+        rest = stored(live.where(~F.array_contains("cs.rep", F.col("rep"))).select("key", "rep", "n", "room"), "members")
         labels = _merged(labels, links)
         discard(members, live, links)
         members, turn = rest, turn + 1
-    discard(members, texts)
+    discard(members, texts, bitmaps)
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
     joined = classes.join(labels, "rep", "left").join(least, "comp", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     joined = stored(joined, "joined")
