@@ -43,10 +43,11 @@ FIRST, LATER, REFINED = (1, 1), (16, 8), 1
 SIZE_RATIO = 1.01 * 100 / PERCENT
 #: Bits of the filter that spares most texts without a partner the shuffle; it only lets too many pass when it is full.
 FILTER_BITS = 1 << 26
-#: Bits of the bitmap of a set that spares most unlike pairs the comparison of full sets.
-BITMAP = 2048
+#: Bits of the bitmap of a set that spares most unlike pairs the comparison of full sets, and of the small one that members of buckets carry.
+BITMAP, SMALL = 2048, 256
 
 BINS = BANDS * ROWS
+SMALL_WORDS = [f"w{i}" for i in range(SMALL // 64)]
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
 #: Row i: the order in which bin i, when empty, looks for a filled one.
 _PROBES = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1)
@@ -161,22 +162,28 @@ def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text: the set's size, and a bitmap with the bit of each member set."""
+    """Of each text: the set's size, and a large and a small bitmap with the bit of each member set."""
     hashes = WordHashes()
     for batch in slices(batches):
         sets = [shingle_set(t.lower().split(), hashes) for t in text_bytes(batch.column("text"))]
         maps = np.zeros((len(sets), BITMAP), bool)
         for row, members in zip(maps, sets, strict=True):
             row[(members % np.uint64(BITMAP)).astype(np.int64)] = True
-        words = np.packbits(maps, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(words), pa.list_(pa.int64()))], ["rep", "n", "bits"])
+        small = maps.reshape(len(sets), -1, SMALL).any(axis=1)
+        words = [pa.array(list(np.packbits(m, axis=1).view(np.int64)), pa.list_(pa.int64())) for m in (maps, small)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), *words], ["rep", "n", "bits", "small"])
+
+
+def _near(differ: Column, n: Column) -> Column:
+    """Whether bitmaps that differ in so many bits allow for the similarity of sets with n members together, an exact filter: each such bit shows a member that only one of the sets has."""
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * n
 
 
 def _likely(edges: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Of the edges (c, x), those whose bitmaps allow for the similarity, an exact filter: each bit in which they differ shows a member that only one of the sets has."""
+    """Of the edges (c, x), those whose large bitmaps allow for the similarity."""
     of = lambda side: bitmaps.select(F.col("rep").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
     differ = F.aggregate(F.zip_with("c_bits", "x_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
-    return edges.join(of("c"), "c").join(of("x"), "x").where((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("c_n") + F.col("x_n"))).select("c", "x")
+    return edges.join(of("c"), "c").join(of("x"), "x").where(_near(differ, F.col("c_n") + F.col("x_n"))).select("c", "x")
 
 
 def _bits(ids: np.ndarray) -> list[np.ndarray]:
@@ -219,20 +226,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(bands.join(shared, "key").select("key", "rep", "n", F.col("n").alias("room")), "members")
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "labels")
     texts = _texts(docs, labels)
-    bitmaps = stored(texts.mapInArrow(_bitmaps, "rep long, n long, bits array<long>"), "bitmaps")
+    bitmaps = stored(texts.mapInArrow(_bitmaps, "rep long, n long, bits array<long>, small array<long>"), "bitmaps")
+    small = bitmaps.select("rep", *[F.col("small")[i].alias(w) for i, w in enumerate(SMALL_WORDS)])
     turn = 0
     while True:
-        here = members.join(labels, "rep")
+        here = members.join(labels, "rep").join(small, "rep")
         if turn:  # centres come from a bucket's smallest components, which have most partners to meet
             here = here.join(here.groupBy("key", "comp").agg(F.count("*").alias("share")), ["key", "comp"])
         else:
             here = here.withColumn("share", F.lit(1).cast("long"))
-        k, blocks = LATER if turn else FIRST
-        order = lambda i: F.struct("share", (F.xxhash64(F.lit(i), "rep") if i else _rank("rep")).alias("h"), "rep", "n", "room", "comp")
+        k, blocks = LATER if turn > REFINED else FIRST
+        order = lambda i: F.struct("share", (F.xxhash64(F.lit(i), "rep") if i else _rank("rep")).alias("h"), "rep", "n", "room", "comp", *SMALL_WORDS)
         cut = here.groupBy("key", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)).alias("block")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_bounds(), *[F.min(order(i)).alias(f"c{i}") for i in range(k)])
-        cut = cut.withColumn("cs", F.array_distinct(F.array(*[F.struct(f"c{i}.rep", f"c{i}.n", f"c{i}.room", f"c{i}.comp") for i in range(k)])))
+        cut = cut.withColumn("cs", F.array_distinct(F.array(*[F.struct(*[f"c{i}.{c}" for c in ("rep", "n", "room", "comp", *SMALL_WORDS)]) for i in range(k)])))
         both = cut.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least_n").alias("least_n"), F.max("most_room").alias("most_room"), F.flatten(F.collect_list("cs")).alias("cs")).where("lo <> hi")
-        live = stored(here.join(both, "key").where(_can_fit()), "live")
+        # sizes, room and bitmaps must allow for the similarity; the shingles that follow a key bound what two sets share from it on
+        differ = lambda c: sum((F.bit_count(c[w].bitwiseXOR(F.col(w))) for w in SMALL_WORDS), F.lit(0))
+        fits = F.filter("cs", lambda c: (c.rep != F.col("rep")) & (c.comp != F.col("comp")) & (100 * F.least(F.col("n"), c.n) >= PERCENT * F.greatest(F.col("n"), c.n)) & ((100 + PERCENT) * F.least(F.col("room"), c.room) >= PERCENT * (F.col("n") + c.n)) & _near(differ(c), F.col("n") + c.n))
+        met = here.join(both, "key").where(_can_fit())
+        live = stored(met.select("key", "rep", "n", "room", F.array_contains("cs.rep", F.col("rep")).alias("is_centre"), F.transform(fits, lambda c: c.rep).alias("fits")), "live")
         if live.isEmpty():
             discard(live)
             break
@@ -241,16 +253,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             discard(members, live)
             members, turn = fresh, turn + 1
             continue
-        # sizes and room must allow for the similarity; the shingles that follow a key bound what two sets share from it on
-        fits = F.filter("cs", lambda c: (c.rep != F.col("rep")) & (c.comp != F.col("comp")) & (100 * F.least(F.col("n"), c.n) >= PERCENT * F.greatest(F.col("n"), c.n)) & ((100 + PERCENT) * F.least(F.col("room"), c.room) >= PERCENT * (F.col("n") + c.n)))
-        edges = live.select("rep", F.explode(fits).alias("c"))
+        edges = live.select("rep", F.explode("fits").alias("c"))
         # least and greatest: a pair of two centres, or one met in several buckets, is compared once
-        edges = edges.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b"), (F.col("c.rep") < F.col("rep")).alias("a_is_centre"))
+        edges = edges.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b"), (F.col("c") < F.col("rep")).alias("a_is_centre"))
         edges = edges.groupBy("a", "b").agg(F.max("a_is_centre").alias("a_is_centre"))
         edges = edges.select(F.when(F.col("a_is_centre"), F.col("a")).otherwise(F.col("b")).alias("c"), F.when(F.col("a_is_centre"), F.col("b")).otherwise(F.col("a")).alias("x"))
         pairs = _likely(edges, bitmaps).join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c")
         links = stored(pairs.select("c", "x", "c_text", "x_text").mapInArrow(_confirmed, "c long, x long"), "links")
-        rest = stored(live.where(~F.array_contains("cs.rep", F.col("rep"))).select("key", "rep", "n", "room"), "members")
+        rest = stored(live.where("not is_centre").select("key", "rep", "n", "room"), "members")
         labels = _merged(labels, links)
         discard(members, live, links)
         members, turn = rest, turn + 1
