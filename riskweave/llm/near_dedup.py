@@ -44,7 +44,7 @@ SIZE_RATIO = 1.01 * 100 / PERCENT
 #: Bits of the filter that spares most texts without a partner the shuffle; it only lets too many pass when it is full.
 FILTER_BITS = 1 << 26
 #: Bits of the bitmap of a set that spares most unlike pairs the comparison of full sets, and of the small one that members of buckets carry.
-BITMAP, SMALL = 2048, 256
+BITMAP, SMALL = 2048, 1024
 
 BINS = BANDS * ROWS
 SMALL_WORDS = [f"w{i}" for i in range(SMALL // 64)]
