@@ -1,7 +1,10 @@
 """Secret scans with false positives removed by a random forest, with DataFrame functions alone.
 
-A candidate is a word's value of 12 characters or more, perhaps after a key and `=` or `:`, that
-holds a digit. What the forest sees of it: its length, changes between kinds of characters, shares
+Candidates come from the whole text, blank-delimited or not. A value assigned to a secret key (in
+code, JSON, markup, query strings, calls) is one at any length and of any characters: in quotes up to
+the closing quote; else up to a blank, quote, angle bracket, the next `,key=`, or closing brackets
+and punctuation at its end, which do not count as the value's own. Outside these, each run of 12 or more
+characters of keys that holds a digit is one, perhaps after a key and `=` or `:`. Rejection is the forest's. What the forest sees of it: its length, changes between kinds of characters, shares
 of digits and capitals, distinct characters, coverage by a dictionary of ordinary and placeholder
 words, signs of a path or address, and its key and the two words before it. The forest learns from
 labelled findings (text, label); where the caller has none, a set of LABELLED findings is made by
@@ -13,6 +16,9 @@ rows give repeated result rows. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,21 +32,67 @@ THRESHOLD = 0.5
 
 #: Fixed: white space between words; words that speak for and against a secret; the dictionary.
 BLANK = r"[\x20\x09-\x0D]+"
-VALUE = r"^[\"'`(\[{]*(?:([A-Za-z_.-]*)[=:])?[\"'`]*([A-Za-z0-9_+/.@:-]{12,}={0,2})[\"'`)\]},.;!?]*$"
+#: A free-standing value and its key.
+VALUE = r"(?<![A-Za-z0-9_.-])(?:([A-Za-z0-9_.-]*)[=:])?([A-Za-z0-9_+/.@:-]{12,}+(?:={1,2}(?![A-Za-z0-9]))?)"
 SECRET_WORDS = r"pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|apikey|auth|bearer|credential|private|access[_-]?key|key"
+#: Parts of names that make a secret key: anywhere in it, and as words of their own (also in camel case).
+STRONG = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|credential|(?:api|access|private)[_.-]?key)"
+_WEAK = ["pass", "auth", "authorization", "authentication", "bearer", "private", "key"]
+WEAK = rf"(?<![A-Za-z])(?:{'|'.join(_WEAK)})(?![a-z])|(?<![A-Za-z])(?:{'|'.join(w.upper() for w in _WEAK)})(?![A-Za-z])|(?<![A-Z])(?:{'|'.join(w.title() for w in _WEAK)})(?![a-z])"
+#: Each key holds one of these.
+STEMS = ["pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "private"]
+#: What stands between key and value: quotes and brackets that close, then a separator; or the rest of a tag.
+BETWEEN = r"(?:[\\\"'`\])]{0,6}(?:[ \t]++value)?[ \t]*+(?:=>|:=|={1,3}|:|>|,[ \t]*+(?=[\"']))|(?<=<[A-Za-z0-9_.:-]{1,60})\s[^<>]*+>)"
+OPEN = r"(?:\s*+(?=[\[(]{0,3}\\{0,8}[\"'`])|[ \t]*+)(?:(?:[Bb]earer|[Bb]asic|[Tt]oken)[ \t]++)?[\[(]{0,3}(?:\\{1,8}[\"'`]|[\"'`](?![^\"'`\n]*+[\"'`]\s*+[:=]))??"
+QUOTED = "|".join(rf"{q}(?:[^{q}\\\n]|\\.)++{q}(?!\s*[:=])" for q in "\"'`")
+QUERY = r"(?<=[?&][A-Za-z0-9_.-]{1,60}=)[^&#\s\"'`<>]++"
+BARE = r"(?![{\[(]*+(?:\\{0,8}[\"'`]|[<>\s]|$))(?!\{\s*+[A-Za-z0-9_.-]++\s*+[:=])[^\s\"'`<>]+?(?=[\s\"'`<>]|$|\\{1,8}[\"'`]|[,;&?][A-Za-z_][A-Za-z0-9_.-]*+[=:]|[)\]}](?:[^A-Za-z0-9]|$))"
+#: Loops over more than one kind of character are possessive: others would go as deep as the value is long.
+ASSIGNED = rf"((?=[AaBbCcKkPpSsTt])(?:{STRONG}|{WEAK})(?:(?!{STRONG})[A-Za-z0-9_.-])*+){BETWEEN}{OPEN}({QUOTED}|{QUERY}|{BARE})"
 PLAIN_WORDS = r"commit|sha(?:1|256|512)?|md5|checksum|digest|hash|uuid|guid|version|build|revision|example|sample|order|invoice|phone|tel|isbn|id|ref|see|file|page|figure"
 DICTIONARY = r"password|changeme|example|sample|placeholder|secret|token|value|your|test|dummy|hello|world|admin|user|name|document|report|version|release|index|image|page|file|data|home|config|module|service|server|client|local|public|static|build|main|http|https|www|com|org|net|html|mail|the|and|for|with|from|that|this|tion|ing|ment|able|1234|0000|abcd|xxxx"
 
 FEATURES = ["length", "changes", "digits", "capitals", "distinct", "covered", "hex", "slashes", "dots", "address", "separators", "secret_near", "plain_near", "assigned"]
 
 
+def _tail(text: Column) -> Column:
+    """The two words at the end of the text, in lower case."""
+    words = F.filter(F.split(text, BLANK, -1), lambda w: w != "")
+    return F.lower(F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " "))
+
+
+def _plain(raw: Column) -> Column:
+    """An assigned value without its quotes, or without brackets and punctuation at its end."""
+    inner = F.when(raw.rlike("^[\"'`]"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(F.rtrim(raw, F.lit(")]},.;!?")))
+    return F.regexp_replace(inner, r"^(?i:bearer|basic|token)\s+", "")
+
+
 def candidates(text: Column) -> Column:
     """Array of (value, key, before): before are the two words in front."""
-    words = F.split(text, BLANK, -1)
-    found = F.filter(F.transform(words, lambda w, i: F.when(w.rlike("[0-9]") & (F.length(w) >= 12), F.struct(w.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
-    around = F.transform(found, lambda x: F.struct(F.regexp_extract(x.word, VALUE, 2).alias("value"), F.lower(F.regexp_extract(x.word, VALUE, 1)).alias("key"), F.lower(F.concat_ws(" ", F.when(x.i > 1, F.get(words, x.i - 2)), F.when(x.i > 0, F.get(words, x.i - 1)))).alias("before")))
-    # texts without a digit are not split at all
-    return F.when(text.rlike("[0-9]"), F.filter(around, lambda x: x.value.rlike("[0-9]"))).otherwise(F.array().cast("array<struct<value:string,key:string,before:string>>"))
+    none = F.array().cast("array<struct<value:string,key:string,before:string>>")
+    # a lambda evaluates again, for each element, what it refers to outside: so all it needs is bound or zipped
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    taken = lambda c, p: F.struct(F.regexp_extract_all(c, F.lit(p), F.lit(1)).alias("keys"), F.regexp_extract_all(c, F.lit(p), F.lit(2)).alias("raw"), F.split(c, p, -1).alias("gaps"))
+
+    def found(t: Column, values: Column, lead: Column) -> Column:
+        zipped = F.arrays_zip(t.keys.alias("key"), values.alias("value"), F.slice(t.gaps, F.lit(1), F.size(t.keys)).alias("gap"), F.slice(F.concat(F.array(lead), t.raw), F.lit(1), F.size(t.keys)).alias("last"))
+        return F.transform(zipped, lambda x: F.struct(x.value.alias("value"), F.lower(F.regexp_replace(x.key, "(?<=[a-z])(?=[A-Z])", "_")).alias("key"), _tail(F.concat(x.last, F.lit(" "), x.gap)).alias("before")))
+
+    def free(part: Column, lead: Column) -> Column:
+        got = bound(taken(part, VALUE), lambda t: found(t, t.raw, lead))
+        # parts without a digit are not searched at all
+        return F.when(part.rlike("[0-9]"), F.filter(got, lambda x: x.value.rlike("[0-9]"))).otherwise(none)
+
+    def both(t: Column) -> Column:
+        assigned = F.filter(found(t, F.transform(t.raw, _plain), F.lit("")), lambda x: x.value != "")
+        parts = F.arrays_zip(t.gaps.alias("gap"), F.concat(F.array(F.lit("")), t.raw).alias("last"))
+        # what is quoted after a key may be a sentence that holds a value
+        quoted = F.filter(t.raw, lambda r: r.rlike("^[\"'`].*[\\x20\\x09-\\x0D]"))
+        return F.concat(assigned, F.flatten(F.concat(F.transform(parts, lambda x: free(x.gap, x.last)), F.transform(quoted, lambda r: free(r, F.lit(""))))))
+
+    folded = F.lower(text)
+    has_key = reduce(or_, [F.contains(folded, F.lit(w)) for w in STEMS])
+    return F.when(has_key, bound(taken(text, ASSIGNED), both)).otherwise(free(text, F.lit("")))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -61,7 +113,7 @@ def features(rows: DataFrame) -> DataFrame:
         "dots": left("."),
         "address": v.rlike("@|://|^www").cast("int"),
         "separators": left("-_:"),
-        "secret_near": near.rlike(rf"(?:^|[^a-z])(?:{SECRET_WORDS})(?:$|[^a-z])").cast("int"),
+        "secret_near": near.rlike(rf"(?:^|[^a-z])(?:{SECRET_WORDS})s?(?:$|[^a-z])").cast("int"),
         "plain_near": near.rlike(rf"(?:^|[^a-z])(?:{PLAIN_WORDS})(?:$|[^a-z])").cast("int"),
         "assigned": (near.rlike("[=:][\"'`]?$") | (F.coalesce("key", F.lit("")) != "")).cast("int"),
     }
@@ -85,7 +137,28 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     date = F.concat_ws("-", size("y", 1990, 2030).cast("string"), F.lpad(size("m", 1, 12).cast("string"), 2, "0"), F.lpad(size("d", 1, 28).cast("string"), 2, "0"))
     uuid = F.concat_ws("-", *[F.substring(salt("uuid"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     secrets = [F.concat(assigned, hexed), F.concat(assigned, digit), upper, F.concat(assigned, upper), F.concat(F.lit("Bearer "), digit), F.concat(assigned, F.left(hexed, F.lit(18)))]
+    name = pick("name", ["password", "api_key", "token", "client_secret", "accessToken", "DB_PASSWORD", "S3_SECRET", "auth"])
+    random = F.when(F.pmod(F.xxhash64(F.lit("rnd"), i), F.lit(2)) == 0, hexed).otherwise(digit)
+    noun = lambda k: pick(k, ["purple", "falcon", "river", "copper", "window", "thunder", "garden", "marble", "winter", "saddle"])
+    glue = pick("glue", ["-", "_", "."])
+    mark = pick("mark", ["&", "#", "!", "$", "%", "^", "*", "~"])
+    secrets += [
+        F.concat(F.lit('{"'), name, F.lit('":"'), random, F.lit('"}')),
+        F.concat(F.lit("https://h.io/x?"), name, F.lit("="), random),
+        F.concat(F.lit("login("), name, F.lit('="'), random, F.lit('")')),
+        F.concat(F.lit("<"), name, F.lit(">"), random, F.lit("</"), name, F.lit(">")),
+        F.concat(name, F.lit("="), F.left(based, size("short", 4, 8)), mark, F.right(digit, size("short2", 3, 8))),
+        F.concat(name, F.lit("="), noun("n1"), size("short3", 1, 999).cast("string")),
+        F.concat(name, F.lit("="), noun("n1"), glue, noun("n2"), glue, noun("n3"), F.when(i % 3 == 0, F.concat(glue, noun("n4"))).otherwise("")),
+    ]
+    nothing = pick("nothing", ["required", "none", "null", "true", "false", "string", "optional", "value", "the", "here", "undefined", "text", "name", "12", "0", "256"])
     plain = [
+        F.concat(name, pick("is", ["=", ": ", '": "', "="]), nothing),
+        F.concat(F.lit('{"'), name, F.lit('":"'), nothing, F.lit('"}')),
+        F.concat(F.lit("<"), name, F.lit(">"), nothing, F.lit("</"), name, F.lit(">")),
+        F.concat(F.lit("max_tokens="), size("max", 1, 99_999).cast("string")),
+        F.concat(name, F.lit('="'), pick("fill", ["your password here", "your-token-here", "example-secret", "changeme", "<value>", "***", "a test value"]), F.lit('"')),
+        F.concat(F.lit('{"'), pick("other", ["id", "ref", "sha256", "commit", "uuid"]), F.lit('":"'), hexed, F.lit('"}')),
         F.concat(pick("sum", ["commit ", "sha256 ", "md5 ", "checksum ", "revision "]), hexed),
         F.concat(pick("idword", ["uuid ", "id ", "ref ", ""]), uuid),
         F.concat(F.lit("password="), pick("ph", ["changeme1234", "example_password1", "your_password_1", "xxxxxxxx0000", "test1234test1234", "password123456"])),
