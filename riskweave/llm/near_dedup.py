@@ -5,31 +5,40 @@ runs of anything but space and tab to carriage return). One hash pass deals the
 over bins; the least member of each bin is its signature, and empty bins borrow from a filled
 one along a fixed random order of their own (optimal densification). Bands of bins are buckets.
 
-Equal sets are first folded into classes. In each bucket of classes, a star joins one centre to
-all members; bitmaps of the sets rule out most unlike pairs and both full sets confirm each other edge; linked classes become components. Then only
-buckets that still hold different components go on, with new centres from their smallest
-components, until every pair of a bucket has been compared or lies in one component: no link
-between two members of a bucket is lost, while a group of n copies costs about n edges, not n
-squared. Buckets that stay mixed hold texts with passages in common that are not near copies. Their
-members are dealt anew, by the shingles of each set's prefix: the rarest ones among these texts, so
-many that two sets at the threshold must have one in common. With the shingle's position in both
-orders bounding what can follow it, texts that only share frequent passages no longer meet. Buckets
-split by set size too, with sizes of one class or the next together, members that the bounds of their
-bucket show to be without a partner leave it, and the stars go on in what is left.
-
-Cases: null or blank texts have an empty set, link with nothing and are kept. Repeated rows give
-repeated result rows. Columns besides doc_id and text are not read.
+Equal sets are first folded into classes. In each bucket of classes, a star joins a centre to all
+members; sizes and bitmaps of the sets rule out most unlike pairs, full sets confirm the others, and
+linked classes become components. Then only buckets that still hold different components go on.
+
+Buckets that stay mixed hold texts with passages in common that are not near copies. Their members
+are dealt anew, by the shingles of each set's prefix: the rarest ones among these texts, so many that
+two sets at the threshold must have one in common. With the shingle's position in both orders bounding
+what can follow it, texts that only share frequent passages no longer meet. Buckets split by set size
+too, with sizes of one class or the next together.
+
+From then on a bucket has many centres at a time, none of them from its largest component. A group of
+near copies is one component after the first stars, all but a few, so what is left to find are links
+between components. First only the likeliest pair of each two components (the one whose bitmaps differ
+least) is confirmed, for all buckets together; that joins most of them. Then the centres meet whatever
+else is not ruled out and still lies in another component, and leave their buckets. This ends when
+every pair of a bucket has been ruled out, compared, or lies in one component: no link between two
+members of a bucket is lost, while a group of n copies costs about n edges, not n squared. Centres are
+copied to parts of a large bucket, so its members are spread over tasks.
+
+Cases: null or blank texts have an empty set, link with nothing and are kept. Rows without doc_id link
+nothing, but take the component of an equal set. Rows that repeat a doc_id are documents of their own,
+each with its text's component; equal rows give equal result rows. Very long texts are taken whole. An
+empty table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, discard, grams, mixed, slices, stored, text_bytes
@@ -37,8 +46,10 @@ from .common import WordHashes, discard, grams, mixed, slices, stored, text_byte
 WORDS, PERCENT = 5, 75
 #: 32 bands of 4 bins: of pairs at 0.75, about 5 in a million share no bucket.
 BANDS, ROWS = 32, 4
-#: Centres of a bucket's block and blocks of a bucket, in the first round and in later ones; the round before which mixed buckets are dealt anew.
-FIRST, LATER, REFINED = (1, 1), (16, 8), 1
+#: Centres of a bucket in the first rounds and in later ones; the round before which mixed buckets are dealt anew.
+FIRST, LATER, REFINED = 1, 256, 1
+#: Members of a bucket's part, and pairs that a task judges at once.
+PART, PAIRS = 4096, 1 << 17
 #: Ratio of the sizes that bound a size class; above that of two sets at the threshold, so a pair's classes are equal or neighbours.
 SIZE_RATIO = 1.01 * 100 / PERCENT
 #: Bits of the filter that spares most texts without a partner the shuffle; it only lets too many pass when it is full.
@@ -47,7 +58,8 @@ FILTER_BITS = 1 << 26
 BITMAP, SMALL = 2048, 1024
 
 BINS = BANDS * ROWS
-SMALL_WORDS = [f"w{i}" for i in range(SMALL // 64)]
+#: Columns of a member of a bucket.
+MEMBER = ["key", "rep", "n", "room", "low"]
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
 #: Row i: the order in which bin i, when empty, looks for a filled one.
 _PROBES = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1)
@@ -84,7 +96,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(members))
             digest.append(xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None)
             bands.append(band_keys(signature(members)) if len(members) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "n", "digest", "bands"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,28 +120,86 @@ def _rank(column: str) -> Column:
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (rep, comp) after joining the components that links (c, x) connect. Each turn every component hooks to the least of itself and its neighbours in a random order, and the edges contract."""
+    """labels (rep, comp) after joining the components that links (c, x) connect. Each turn every component hooks to the least of itself and its neighbours in a random order, and the edges contract; components without a link are not touched."""
     of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"{side}_comp"))
     edges = stored(links.join(of("c"), "c").join(of("x"), "x").where("c_comp <> x_comp").select(F.col("c_comp").alias("a"), F.col("x_comp").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        discard(edges)
+        return labels
+    moved = None  # component -> where it has gone
     while not edges.isEmpty():
         ranked = lambda side: F.struct(_rank(side).alias("h"), F.col(side).alias("v"))
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select("a", F.least("m", ranked("a")).getField("v").alias("to"))
         hook = stored(hook, "hook")
-        fresh = stored(labels.join(hook, labels.comp == hook.a, "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
         shrunk = edges.join(hook.select("a", F.col("to").alias("a_to")), "a").join(hook.select(F.col("a").alias("b"), F.col("to").alias("b_to")), "b").where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct()
         shrunk = stored(shrunk, "edges")
-        discard(labels, edges, hook)
-        labels, edges = fresh, shrunk
-    discard(edges)
-    return labels
+        discard(edges)
+        if moved is None:
+            moved = hook.withColumnRenamed("a", "comp")
+            moved._stored_path = hook._stored_path
+        else:
+            fresh = stored(moved.join(hook.select(F.col("a").alias("to"), F.col("to").alias("on")), "to", "left").select("comp", F.coalesce("on", "to").alias("to")), "moved")
+            discard(moved, hook)
+            moved = fresh
+        edges = shrunk
+    fresh = stored(labels.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
+    discard(labels, edges, moved)
+    return fresh
+
+
+def _judged(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by bucket and part, centres first -> pairs (c, x) of a centre and a member of another component that are not ruled out, with their components (a < b) and the bits in which they differ. Not every: of each two components the pair that differs least."""
+
+    def run(batches):
+        carried = None
+        for batch in batches:
+            own = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "part", "is_centre", "rep", "n", "room", "low", "comp")}
+            own["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, SMALL // 64)
+            if carried is not None:
+                own = {k: np.concatenate([carried[k], v]) for k, v in own.items()}
+            fresh = np.ones(len(own["key"]), bool)  # begins a part of a bucket
+            fresh[1:] = (own["key"][1:] != own["key"][:-1]) | (own["part"][1:] != own["part"][:-1])
+            starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            centres = np.bincount(group, own["is_centre"], len(starts)).astype(np.int64)
+            last = slice(starts[-1], starts[-1] + centres[-1])
+            rows = np.flatnonzero(~own["is_centre"])
+            held = np.cumsum(centres[group[rows]])
+            i = 0
+            while i < len(rows):
+                j = max(i + 1, int(np.searchsorted(held, (held[i - 1] if i else 0) + PAIRS, "right")))
+                yield _fitting(own, rows[i:j], starts[group[rows[i:j]]], centres[group[rows[i:j]]], every)
+                i = j
+            carried = {k: v[last].copy() for k, v in own.items()}
+
+    return run
+
+
+def _fitting(own: dict[str, np.ndarray], rows: np.ndarray, first: np.ndarray, count: np.ndarray, every: bool) -> pa.RecordBatch:
+    """Each of these rows with the `count` centres from place `first` on."""
+    x = np.repeat(rows, count)
+    c = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(x))
+    n, room, comp, low, rep = (own[k] for k in ("n", "room", "comp", "low", "rep"))
+    ok = (comp[c] != comp[x]) & ~(low[c] & low[x]) & (100 * np.minimum(n[c], n[x]) >= PERCENT * np.maximum(n[c], n[x])) & ((100 + PERCENT) * np.minimum(room[c], room[x]) >= PERCENT * (n[c] + n[x]))
+    c, x = c[ok], x[ok]
+    differ = np.bitwise_count(own["bits"][c] ^ own["bits"][x]).sum(axis=1, dtype=np.int64)
+    ok = _near(differ, n[c] + n[x])
+    c, x, differ = c[ok], x[ok], differ[ok]
+    a, b = np.minimum(comp[c], comp[x]), np.maximum(comp[c], comp[x])
+    if not every:
+        order = np.lexsort((differ, b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        best = order[new]
+        c, x, differ, a, b = c[best], x[best], differ[best], a[best], b[best]
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (rep[c], rep[x], a, b, differ)], ["c", "x", "a", "b", "differ"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches):
         sets = [shingle_set(t.lower().split(), hashes) for t in text_bytes(batch.column("text"))]
-        ids = np.repeat(batch.column("doc_id").to_numpy(), list(map(len, sets)))
+        ids = np.repeat(batch.column("rep").to_numpy(), list(map(len, sets)))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "token"])
 
 
@@ -144,9 +214,9 @@ def _can_fit() -> Column:
 
 
 def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
-    """members (key, rep, n, room) of new buckets: a key is a shingle of the members' prefixes in order of rarity among them. Any two sets at the threshold have one in common. room: the key and what follows it in the order, which is all that two sets can share if the key is the first they share."""
+    """members (key, rep, n, room, low) of new buckets: a key is a shingle of the members' prefixes in order of rarity among them, and a size class. Any two sets at the threshold have one in common. room: the key and what follows it in the order, which is all that two sets can share if the key is the first they share. low: the set is of the class below; two such sets meet in their own class."""
     reps = live.select("rep", "n").distinct()
-    tokens = stored(texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "rep long, token long"), "tokens")
+    tokens = stored(texts.join(reps, "rep", "left_semi").mapInArrow(_tokens, "rep long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     sets = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("members"))
     size = F.size("members")
@@ -154,9 +224,10 @@ def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
     keys = sets.select("rep", size.cast("long").alias("n"), F.explode(F.filter(prefix, lambda m: m.often > 1)).alias("m"))
     # a bucket is a shingle and a pair of neighbouring size classes
     size_class = F.floor(F.log("n") / math.log(SIZE_RATIO))
-    split = keys.select("m.key", "rep", "n", "m.room", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
-    split = split.select(F.xxhash64("key", "sizes").alias("key"), "rep", "n", "room")
-    out = stored(split.join(split.groupBy("key").agg(*_bounds(), F.count("*").alias("held")).where("held > 1"), "key").where(_can_fit()).select("key", "rep", "n", "room"), "members")
+    split = keys.select("m.key", "rep", "n", "m.room", size_class.alias("own"), F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
+    split = split.select(F.xxhash64("key", "sizes").alias("key"), "rep", "n", "room", (F.col("own") < F.col("sizes")).alias("low"))
+    meeting = split.groupBy("key").agg(*_bounds(), F.count("*").alias("held"), F.bool_and("low").alias("all_low")).where("held > 1 and not all_low")
+    out = stored(split.join(meeting, "key").where(_can_fit()).select(*MEMBER), "members")
     discard(tokens)
     return out
 
@@ -170,11 +241,12 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, members in zip(maps, sets, strict=True):
             row[(members % np.uint64(BITMAP)).astype(np.int64)] = True
         small = maps.reshape(len(sets), -1, SMALL).any(axis=1)
-        words = [pa.array(list(np.packbits(m, axis=1).view(np.int64)), pa.list_(pa.int64())) for m in (maps, small)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), *words], ["rep", "n", "bits", "small"])
+        large = pa.array(list(np.packbits(maps, axis=1).view(np.int64)), pa.list_(pa.int64()))
+        small = pa.array([x.tobytes() for x in np.packbits(small, axis=1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(list(map(len, sets)), pa.int64()), large, small], ["rep", "n", "bits", "small"])
 
 
-def _near(differ: Column, n: Column) -> Column:
+def _near(differ, n):
     """Whether bitmaps that differ in so many bits allow for the similarity of sets with n members together, an exact filter: each such bit shows a member that only one of the sets has."""
     return (100 + PERCENT) * differ <= (100 - PERCENT) * n
 
@@ -186,65 +258,89 @@ def _likely(edges: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return edges.join(of("c"), "c").join(of("x"), "x").where(_near(differ, F.col("c_n") + F.col("x_n"))).select("c", "x")
 
 
-def _bits(ids: np.ndarray) -> list[np.ndarray]:
+def _filter_bits(ids: np.ndarray) -> list[np.ndarray]:
     x = mixed(ids.view(np.uint64))
     return [(x >> np.uint64(s) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for s in (0, 28)]
 
 
 def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = np.unique(np.concatenate(_bits(batch.column("rep").to_numpy())))
+        at = np.unique(np.concatenate(_filter_bits(batch.column("at").to_numpy())))
         slot, start = np.unique(at >> 5, return_index=True)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 31), start) if len(at) else at)], ["slot", "word"])
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with a mark of the text; doc_id and mark together name a row's content."""
+    return docs.withColumn("mark", F.xxhash64("text"))
+
+
 def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The texts of reps, one row each. A Bloom filter of bounded size keeps most other texts out of the shuffle of the exact join."""
+    """(rep, text) of reps (rep, doc_id, mark), a row each. A Bloom filter of bounded size keeps most other texts out of the shuffle of the exact join."""
     words = np.zeros(FILTER_BITS // 32, "<u4")
+    at = F.xxhash64("doc_id", "mark").alias("at")
     # FILTER_BITS / 32 rows at most, in one job
-    found = reps.select("rep").mapInArrow(_set_bits, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
+    found = reps.select(at).mapInArrow(_set_bits, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
     words[found.column("slot").to_numpy()] = found.column("word").to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def likely(batches):
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            yield batch.filter(pa.array(np.logical_and.reduce([held.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1 for at in _bits(ids)])))
-
-    some = docs.mapInArrow(likely, docs.schema)
-    return stored(some.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+            ids = batch.column("at").to_numpy()
+            yield batch.filter(pa.array(np.logical_and.reduce([held.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1 for at in _filter_bits(ids)])))
+
+    marked = _marked(docs).select("doc_id", "mark", "text", at)
+    some = marked.mapInArrow(likely, marked.schema)
+    return stored(some.join(reps, ["doc_id", "mark"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
+
+
+def _live(members: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, with component and small bitmap, the bucket's parts, and whether they can be centres: not those of its largest component. Members that the bucket's bounds show to be without a partner are left out."""
+    here = members.join(labels, "rep").join(bitmaps.select("rep", F.col("small").alias("bits")), "rep")
+    by_comp = here.groupBy("key", "comp").agg(*_bounds(), F.count("*").alias("held"), F.bool_and("low").alias("low"))
+    buckets = by_comp.groupBy("key").agg(F.min("least_n").alias("least_n"), F.max("most_room").alias("most_room"), F.sum("held").alias("held"), F.count("*").alias("comps"), F.bool_and("low").alias("all_low"), F.max(F.struct("held", "comp")).getField("comp").alias("largest"))
+    buckets = buckets.where("comps > 1 and not all_low").select("key", "least_n", "most_room", "largest", F.ceil(F.col("held") / PART).cast("int").alias("parts"))
+    return stored(here.join(buckets, "key").where(_can_fit()).select(*MEMBER, "comp", "bits", "parts", (F.col("comp") != F.col("largest")).alias("small_comp")), "live")
+
+
+def _pairs(live: DataFrame, centres: DataFrame, every: bool) -> DataFrame:
+    """The pairs of centres and members, see _judged; a centre meets each part of its bucket."""
+    columns = ["key", "part", "is_centre", "rep", "n", "room", "low", "comp", "bits"]
+    met = live.select("*", F.pmod(F.xxhash64(F.lit("part"), "rep"), "parts").cast("int").alias("part"), F.lit(False).alias("is_centre"))
+    copies = centres.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_centre"))
+    rows = met.select(*columns).unionByName(copies.select(*columns)).repartition("key", "part").sortWithinPartitions("key", "part", F.desc("is_centre"))
+    pairs = rows.mapInArrow(_judged(every), "c long, x long, a long, b long, differ long")
+    if every:  # a pair met in several buckets, or of two centres, is compared once
+        return pairs.groupBy(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")).agg(F.min("differ").alias("differ")).select("c", "x")
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("differ", "c", "x")).alias("p")).select("p.c", "p.x")
+
+
+def _joined(labels: DataFrame, pairs: DataFrame, bitmaps: DataFrame, texts: DataFrame) -> DataFrame:
+    """labels after confirming the pairs by their full sets."""
+    of = lambda side: texts.select(F.col("rep").alias(side), F.col("text").alias(f"{side}_text"))
+    both = _likely(pairs, bitmaps).join(of("x"), "x").join(of("c"), "c")
+    links = stored(both.select("c", "x", "c_text", "x_text").mapInArrow(_confirmed, "c long, x long"), "links")
+    labels = _merged(labels, links)
+    discard(links)
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id (least id reachable), kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(docs.mapInArrow(_signed, "doc_id long, n long, digest binary, bands array<long>"), "signed")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")).where("rep is not null")
-    classes = stored(classes, "classes")
+    signed = stored(_marked(docs).mapInArrow(_signed, "doc_id long, mark long, n long, digest binary, bands array<long>"), "signed")
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # ids are fixed by writing the table
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "row.doc_id", "row.mark", "n", "bands"), "classes")
     bands = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    members = stored(bands.join(shared, "key").select("key", "rep", "n", F.col("n").alias("room")), "members")
+    members = stored(bands.join(shared, "key").select("key", "rep", "n", F.col("n").alias("room"), F.lit(False).alias("low")), "members")
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "labels")
-    texts = _texts(docs, labels)
-    bitmaps = stored(texts.mapInArrow(_bitmaps, "rep long, n long, bits array<long>, small array<long>"), "bitmaps")
-    small = bitmaps.select("rep", *[F.col("small")[i].alias(w) for i, w in enumerate(SMALL_WORDS)])
+    texts = _texts(docs, classes.join(labels, "rep", "left_semi").select("rep", "doc_id", "mark"))
+    bitmaps = stored(texts.mapInArrow(_bitmaps, "rep long, n long, bits array<long>, small binary"), "bitmaps")
     turn = 0
     while True:
-        here = members.join(labels, "rep").join(small, "rep")
-        if turn:  # centres come from a bucket's smallest components, which have most partners to meet
-            here = here.join(here.groupBy("key", "comp").agg(F.count("*").alias("share")), ["key", "comp"])
-        else:
-            here = here.withColumn("share", F.lit(1).cast("long"))
-        k, blocks = LATER if turn > REFINED else FIRST
-        order = lambda i: F.struct("share", (F.xxhash64(F.lit(i), "rep") if i else _rank("rep")).alias("h"), "rep", "n", "room", "comp", *SMALL_WORDS)
-        cut = here.groupBy("key", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)).alias("block")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_bounds(), *[F.min(order(i)).alias(f"c{i}") for i in range(k)])
-        cut = cut.withColumn("cs", F.array_distinct(F.array(*[F.struct(*[f"c{i}.{c}" for c in ("rep", "n", "room", "comp", *SMALL_WORDS)]) for i in range(k)])))
-        both = cut.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least_n").alias("least_n"), F.max("most_room").alias("most_room"), F.flatten(F.collect_list("cs")).alias("cs")).where("lo <> hi")
-        # sizes, room and bitmaps must allow for the similarity; the shingles that follow a key bound what two sets share from it on
-        differ = lambda c: sum((F.bit_count(c[w].bitwiseXOR(F.col(w))) for w in SMALL_WORDS), F.lit(0))
-        fits = F.filter("cs", lambda c: (c.rep != F.col("rep")) & (c.comp != F.col("comp")) & (100 * F.least(F.col("n"), c.n) >= PERCENT * F.greatest(F.col("n"), c.n)) & ((100 + PERCENT) * F.least(F.col("room"), c.room) >= PERCENT * (F.col("n") + c.n)) & _near(differ(c), F.col("n") + c.n))
-        met = here.join(both, "key").where(_can_fit())
-        live = stored(met.select("key", "rep", "n", "room", F.array_contains("cs.rep", F.col("rep")).alias("is_centre"), F.transform(fits, lambda c: c.rep).alias("fits")), "live")
+        live = _live(members, labels, bitmaps)
         if live.isEmpty():
             discard(live)
             break
@@ -253,20 +349,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             discard(members, live)
             members, turn = fresh, turn + 1
             continue
-        edges = live.select("rep", F.explode("fits").alias("c"))
-        # least and greatest: a pair of two centres, or one met in several buckets, is compared once
-        edges = edges.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b"), (F.col("c") < F.col("rep")).alias("a_is_centre"))
-        edges = edges.groupBy("a", "b").agg(F.max("a_is_centre").alias("a_is_centre"))
-        edges = edges.select(F.when(F.col("a_is_centre"), F.col("a")).otherwise(F.col("b")).alias("c"), F.when(F.col("a_is_centre"), F.col("b")).otherwise(F.col("a")).alias("x"))
-        pairs = _likely(edges, bitmaps).join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c")
-        links = stored(pairs.select("c", "x", "c_text", "x_text").mapInArrow(_confirmed, "c long, x long"), "links")
-        rest = stored(live.where("not is_centre").select("key", "rep", "n", "room"), "members")
-        labels = _merged(labels, links)
-        discard(members, live, links)
+        first = Window.partitionBy("key").orderBy(_rank("rep"), "rep")
+        centres = stored(live.where("small_comp").withColumn("place", F.row_number().over(first)).where(F.col("place") <= (LATER if turn else FIRST)).drop("place"), "centres")
+        if turn:
+            labels = _joined(labels, _pairs(live, centres, False), bitmaps, texts)
+            now = lambda rows: rows.drop("comp").join(labels, "rep")
+            labels = _joined(labels, _pairs(now(live), now(centres), True), bitmaps, texts)
+        else:
+            labels = _joined(labels, _pairs(live, centres, True), bitmaps, texts)
+        rest = stored(live.join(centres.select("key", "rep"), ["key", "rep"], "left_anti").select(*MEMBER), "members")
+        discard(members, live, centres)
         members, turn = rest, turn + 1
     discard(members, texts, bitmaps)
-    least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    joined = classes.join(labels, "rep", "left").join(least, "comp", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    least = labels.join(classes.select("rep", "doc_id"), "rep").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    joined = classes.join(labels, "rep", "left").join(least, "comp", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     joined = stored(joined, "joined")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(joined, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
