@@ -3,36 +3,40 @@
 Words are runs of [0-9a-z] and of characters from U+0080 on, after lower-casing A-Z. From the
 hashes of each text's K-word grams, the least of each W consecutive ones is kept, on both sides.
 Two texts that share K + W - 1 = 13 words in a row select the same gram in there, so every shared
-13-word window has a common fingerprint. Training and test fingerprints are joined on the hash;
-hits are extended to both sides as long as the words agree, and spans of 13 words or more count.
-An item of fewer words is one window: the hash of all its words is looked up among the grams of
-that length.
-
-The benchmark is dealt into blocks of bounded size by item, each of which is broadcast in its
-turn; with several blocks, what each finds in a document is merged afterwards.
-
-Cases: null texts have no words; empty items have no window; items of one id count once. Repeated
-rows give repeated result rows. Other columns are not read.
+13-word window has a common fingerprint. Training fingerprints are looked up among those of the test
+texts; a hit is extended to all windows that hold it, and those that are whole windows of an item
+count. An item of fewer words is one window: the hash of all its words is looked up among the grams
+of that length.
+
+Test items are dealt into blocks of bounded size (an item above it in overlapping parts), each indexed
+once as sorted arrays and broadcast. A task takes a bounded chunk of texts through the blocks one by
+one, so rows never meet in a shuffle, and results do not depend on the number of blocks. Work is in
+proportion to the words on either side, whatever repeats.
+
+Cases: null and empty texts have no words; null and empty items have no window; items of one id count
+once. Repeated rows, and rows without doc_id, give a result row each; empty tables give an empty
+result, or no hits. Very long texts are taken whole. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, slices, text_bytes
+from .common import SLICE_BYTES, WordHashes, grams, slices, text_bytes
 
 WINDOW = 13
 K = W = 7
-#: Benchmark text in a block, and so in a broadcast.
-BLOCK_BYTES = 32 << 20
-SCHEMA = "doc_id long, row_key long, n_words long, starts array<int>, ends array<int>, items array<string>"
+#: Benchmark text in a block, and so in a broadcast; text that a task takes through the blocks at once.
+BLOCK_BYTES = 16 << 20
+CHUNK_BYTES = 16 << 20
+SCHEMA = "n_words long, starts array<int>, ends array<int>, items array<string>"
 
 #: Fixed: A-Z to a-z, and bytes that are not part of a word to a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -53,47 +57,45 @@ def winnowed(h: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndar
 
 
 class Fingerprints:
-    """What one block of benchmark items is looked up by."""
+    """What one block of benchmark items is looked up by, as sorted arrays: fingerprints, whole windows with their items, and items that are shorter than a window, by their length."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]]):
-        hashes = WordHashes()
-        found, self.texts, short = [], [], defaultdict(list)
-        for item, text in items:
-            h = hashes.of(words_of(text))
+    def __init__(self, items: list[tuple[str, list[bytes]]]):
+        hashes, names = WordHashes(), {}
+        prints, by_size = [], defaultdict(list)
+        for item, words in items:
+            h, owner = hashes.of(words), names.setdefault(item, len(names))
             if len(h) >= WINDOW:
+                prints.append(winnowed(h)[1])
+            g = grams(h, min(len(h), WINDOW)) if len(h) else h
+            by_size[min(len(h), WINDOW)].append(np.rec.fromarrays([g, np.full(len(g), owner, np.int32)], names="hash,owner"))
+        self.names = list(names)
+        self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
+        pairs = {m: np.unique(np.concatenate(v)) for m, v in by_size.items() if m}
+        self.windows = {m: (np.ascontiguousarray(v["hash"]), np.ascontiguousarray(v["owner"])) for m, v in pairs.items()}
+
+    def spans(self, h: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], set[str]]:
+        """Starts and length of the document's windows that are windows of items, and those items."""
+        found, items = [], set()
+        for m, (ordered, owners) in self.windows.items():
+            if m < WINDOW:
+                g = grams(h, m)
+                at = np.arange(len(g))
+            else:
                 at, g = winnowed(h)
-                found += zip(g.tolist(), [len(self.texts)] * len(at), at.tolist(), strict=True)
-                self.texts.append((item, h))
-            elif len(h):
-                short[len(h)].append((int(grams(h, len(h))[0]), item))
-        found.sort()
-        self.hash = np.array([f[0] for f in found], np.uint64)
-        self.places = [f[1:] for f in found]
-        self.short = {m: (np.sort(np.array([x[0] for x in v], np.uint64)), v) for m, v in short.items()}
-
-    def spans(self, h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of the document's words that windows of items cover, and those items."""
-        spans, items, seen = [], set(), {}
-        at, g = winnowed(h)
-        for p in np.flatnonzero(_among(g, self.hash)).tolist():
-            left, right = np.searchsorted(self.hash, g[p], "left"), np.searchsorted(self.hash, g[p], "right")
-            for text, q in self.places[left:right]:
-                i, (item, own) = int(at[p]), self.texts[text]
-                if seen.get((text, i - q), -1) > i:  # in a span that has been extended already
+                at = at[_among(g, self.prints)]
+                if not len(at):
                     continue
-                a, b = _extended(h, i, own, q)
-                seen[text, i - q] = b
-                if b - a >= WINDOW:
-                    spans.append((a, b))
-                    items.add(item)
-        for m, (sorted_hashes, v) in self.short.items():
-            g = grams(h, m)
-            hits = np.flatnonzero(_among(g, sorted_hashes))
-            if len(hits):
-                spans += [(i, i + m) for i in hits.tolist()]
-                there = set(g[hits].tolist())
-                items |= {item for x, item in v if x in there}
-        return spans, items
+                # a hit is extended to all windows that hold its gram
+                at = np.unique(at[:, None] - np.arange(WINDOW - K + 1))
+                at = at[(at >= 0) & (at <= len(h) - WINDOW)]
+                g = grams(h, WINDOW)[at] if len(at) else h[:0]
+            hit = _among(g, ordered)
+            if hit.any():
+                found.append((at[hit], m))
+                same = np.unique(g[hit])
+                for i, j in zip(np.searchsorted(ordered, same, "left"), np.searchsorted(ordered, same, "right"), strict=True):
+                    items.update(owners[i:j].tolist())
+        return found, {self.names[i] for i in items}
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -102,72 +104,72 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _extended(h: np.ndarray, i: int, own: np.ndarray, q: int) -> tuple[int, int]:
-    """The longest run around h[i] and own[q] on which both agree, as [start, end) in h; empty if they differ within the gram."""
-    back, ahead = min(i, q), min(len(h) - i, len(own) - q)
-    differs = np.flatnonzero(h[i : i + ahead] != own[q : q + ahead])
-    b = i + (int(differs[0]) if len(differs) else ahead)
-    differs = np.flatnonzero(h[i - back : i] != own[q - back : q])
-    a = i - back + (int(differs[-1]) + 1 if len(differs) else 0)
-    return (a, b) if b > i else (i, i)
-
+def covered(n: int, found: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of places below n that the windows cover."""
+    edges = np.zeros(n + 1, np.int64)
+    for at, m in found:
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + m, -1)
+    inside = np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8), [0]])
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
-def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
 
-
-def _scanner(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scanner(blocks: list, kept: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches):
-        index, hashes = Fingerprints(block.value), WordHashes()
-        for batch in slices(batches):
-            rows = []
-            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                h = hashes.of(words_of(text))
-                spans, items = index.spans(h) if len(h) else ([], set())
-                spans = union_of(spans)
-                rows.append((doc, key, len(h), [a for a, _ in spans], [b for _, b in spans], sorted(items)))
-            cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "row_key", "n_words", "starts", "ends", "items"])
+        hashes, none = WordHashes(), np.empty(0, np.int32)
+        for batch in slices(batches, most=CHUNK_BYTES if len(blocks) > 1 else SLICE_BYTES):
+            words = [hashes.of(words_of(t)) for t in text_bytes(batch.column("text"))]
+            found, items = [[] for _ in words], [set() for _ in words]
+            for block in blocks:  # one after the other for all these texts
+                index = block.value
+                for i, h in enumerate(words):
+                    if len(h):
+                        more, named = index.spans(h)
+                        found[i] += more
+                        items[i] |= named
+                if len(blocks) > 1:  # one at a time is held; a broadcast value that is not there is read again from its file
+                    vars(block).pop("_value", None)
+            spans = [covered(len(h), f) if f else (none, none) for h, f in zip(words, found, strict=True)]
+            columns = [pa.array(list(map(len, words)), pa.int64())] + [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)] + [pa.array(list(map(sorted, items)), pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], [*kept, "n_words", "starts", "ends", "items"])
 
     return scan
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What several blocks found in a document, as one row; the same columns."""
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            spans = union_of([x for a, b in zip(r["starts"], r["ends"], strict=True) for x in zip(a, b, strict=True)])
-            rows.append({**r, "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted({x for y in r["items"] for x in y})})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, n_words, n_hit, starts and ends of the hit word spans, items (sorted ids as strings)."""
+def _blocks(items: Iterator, size: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items as (name, words) in blocks of about `size` bytes; an item above it is cut, with an overlap by which no window is lost."""
+    block, held = [], 0
+    for r in items:
+        words, start = words_of(r.text.encode()), 0
+        while start == 0 or start + WINDOW - 1 < len(words):
+            part, n = [], 64
+            for w in words[start:]:
+                if n > size and len(part) >= WINDOW:
+                    break
+                part.append(w)
+                n += len(w) + 1
+            if block and held + n > size:
+                yield block
+                block, held = [], 0
+            block.append((r.item, part))
+            held += n
+            start += len(part) - WINDOW + 1 if start + len(part) < len(words) else len(words) + 1
+    if block:
+        yield block
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, n_words, n_hit, starts and ends of the hit word spans, items (sorted ids as strings); and the columns in carry (other names than these), each row with its own."""
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).head()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if n == 1 else F.xxhash64("text")).cast("long").alias("row_key"), "text")
-    parts = []
-    for k in range(n):
-        block = [(r.item, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
-        parts.append(source.mapInArrow(_scanner(sc.broadcast(block)), SCHEMA))
-    found = parts[0]
-    if n > 1:
-        for more in parts[1:]:
-            found = found.unionByName(more)
-        each = found.groupBy("doc_id", "row_key").agg(F.max("n_words").alias("n_words"), F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"), F.collect_list("items").alias("items"))
-        found = each.mapInArrow(_joined, SCHEMA)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").distinct()
+    blocks = [sc.broadcast(Fingerprints(block)) for block in _blocks(items.toLocalIterator(), block_bytes)]
+    carry = [c for c in carry if c != "doc_id"]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c != "text"])
+    kinds = dict(source.dtypes)
+    found = source.mapInArrow(_scanner(blocks, ["doc_id", *carry]), ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), SCHEMA]))
     spread = F.aggregate(F.zip_with("ends", "starts", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return found.select("doc_id", "n_words", spread.alias("n_hit"), "starts", "ends", "items")
+    return found.select("doc_id", *carry, "n_words", spread.alias("n_hit"), "starts", "ends", "items")
 
 
 def contaminated():
