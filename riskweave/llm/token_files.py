@@ -4,14 +4,16 @@ Documents are dealt by ranges of doc_id and sorted inside them, so that partitio
 the ids in order. Each task encodes its documents, ends each with the end id, and cuts the stream
 into rows of two fixed-size lists, ids and mask (false on the last row's padding), written in
 Arrow's file format. Record batches hold a fixed number of rows: row i lies in batch
-i // BATCH_ROWS, and a mapped file gives any sequence without a copy. A file is written under a
-name of its own attempt and then renamed, so a task that runs again replaces equal bytes.
+i // BATCH_ROWS, and a mapped file gives any sequence without a copy. A file's name holds the attempt
+that wrote it. The index is written as a table once all tasks have ended, and names the files of the
+attempts that counted; what lost attempts left in the folder is in no index.
 
 The index has a row per document: file, place in the file, place in the whole stream. The reader
 takes only the index and the files.
 
-Cases: null texts are empty (the end id alone); null ids come first; repeated rows keep a place
-each; an empty table gives an empty index. Columns besides doc_id and text are not read.
+Cases: null and empty texts have the end id alone; null ids come first; rows of one id are in order of
+their texts, and repeated rows keep a place each; very long texts are encoded whole, into one file; an
+empty table gives an empty index. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from .common import CACHE_WORDS, shared_dir, slices, stored, text_bytes
 LENGTH, BATCH_ROWS, END = 1024, 64, 2
 #: A file is closed after the document with which it reaches this many ids.
 FILE_IDS = 16 << 20
-INDEX = "doc_id long, part int, file string, at long, n_tokens long"
+INDEX = "doc_id long, part int, file string, at long, before long, n_tokens long"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -43,7 +47,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class WordIds:
-    """Ids of texts, as bytes of unsigned integers. White space separates the tokenizer's words, and it lower-cases, so the ids of a text are those of its words; each word is encoded once and remembered."""
+    """Ids of texts, as bytes of unsigned integers. White space separates the tokenizer's words, so the ids of a text are those of its words; each word is encoded once and remembered, a word used since the last generation of the memory for one more."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,6 +57,7 @@ class WordIds:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,31 +66,46 @@ class WordIds:
         low = text.lower()
         if any(x in low for x in self.special):  # their names are matched before lower-casing
             return self.encoded([text.decode()])[0]
-        words = low.split()
-        fresh = set(words).difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                self.known.clear()
-                fresh = set(words)
-            fresh = list(fresh)
-            self.known.update(zip(fresh, self.encoded([w.decode() for w in fresh]), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+        # the tokenizer composes letters and marks before it lower-cases; without marks the order is all the same
+        words = (text if b"\xcc" in text or b"\xcd" in text else low).split()
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            pass
+        fresh = set(words).difference(known)
+        if len(known) + len(fresh) > CACHE_WORDS:
+            self.older, self.known = known, {}
+            known, fresh = self.known, set(words)
+        older = self.older
+        known.update([(w, older[w]) for w in fresh if w in older])
+        fresh = [w for w in fresh if w not in known]
+        known.update(zip(fresh, self.encoded([w.decode() for w in fresh]), strict=True))
+        return b"".join(map(known.__getitem__, words))
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One memory of words for all tasks that a worker process runs."""
+    return WordIds(path)
 
 
 class _Writer:
+    """Files of one attempt at a task; their names hold the attempt, so no attempt meets another's files."""
+
     def __init__(self, folder: str, kind: np.dtype):
         self.where, self.folder = filesystem(folder)
-        self.kind, self.n, self.size, self.parts = kind, 0, 0, []
+        self.kind, self.n, self.size, self.before, self.parts, self.attempt = kind, 0, 0, 0, [], uuid.uuid4().hex
 
-    def add(self, ids: bytes) -> tuple[str, int]:
-        """The file and the place in it at which these ids start."""
+    def add(self, ids: bytes) -> tuple[str, int, int]:
+        """The file, the place in it at which these ids start, and the place in the part."""
         name, at = self.name(), self.size
         self.parts.append(ids)
         self.size += len(ids) // self.kind.itemsize
-        return name, at
+        return name, at, self.before + at
 
     def name(self) -> str:
-        return f"ids-{TaskContext.get().partitionId():06d}-{self.n:04d}.arrow"
+        return f"ids-{TaskContext.get().partitionId():06d}-{self.n:04d}-{self.attempt}.arrow"
 
     def close(self) -> None:
         if not self.size:
@@ -96,17 +116,15 @@ class _Writer:
         mask = np.arange(rows * LENGTH) < self.size
         listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x), LENGTH)
         table = pa.RecordBatch.from_arrays([listed(ids), listed(mask)], ["ids", "mask"])
-        attempt = f"{self.folder}/_{uuid.uuid4().hex}"
-        with self.where.open_output_stream(attempt) as out, pa.ipc.new_file(out, table.schema) as file:
+        with self.where.open_output_stream(f"{self.folder}/{self.name()}") as out, pa.ipc.new_file(out, table.schema) as file:
             for i in range(0, rows, BATCH_ROWS):
                 file.write_batch(table.slice(i, BATCH_ROWS))
-        self.where.move(attempt, f"{self.folder}/{self.name()}")
-        self.n, self.size, self.parts = self.n + 1, 0, []
+        self.n, self.before, self.size, self.parts = self.n + 1, self.before + self.size, 0, []
 
 
 def _encoder(tokenizer: str, folder: str, end: int, file_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         out, last = _Writer(folder, words.kind), np.array([end], words.kind).tobytes()
         part = TaskContext.get().partitionId()
         for batch in slices(batches):
@@ -117,7 +135,7 @@ def _encoder(tokenizer: str, folder: str, end: int, file_ids: int) -> Callable[[
                 if out.size >= file_ids:
                     out.close()
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "part", "file", "at", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "part", "file", "at", "before", "n_tokens"])
         out.close()
 
     return encode
@@ -160,14 +178,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = END, folder: str |
     where.create_dir(path, recursive=True)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     index = stored(ordered.mapInArrow(_encoder(tokenizer, folder, end, file_ids), INDEX), "index")
-    # one row a file, not a document
-    files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n")).orderBy("part", "file").collect()
-    starts, total = [], 0
-    for r in files:
-        starts.append((r.file, total))
-        total += r.n
-    starts = F.broadcast(spark.createDataFrame(starts, "file string, base long"))
-    return index.join(starts, "file").select("doc_id", "file", "at", "n_tokens", (F.col("base") + F.col("at")).alias("start")), folder
+    # one row a part: as many as the shuffle has partitions, a setting
+    parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    bases = list(accumulate((r.n for r in parts), initial=0))
+    bases = F.broadcast(spark.createDataFrame([(r.part, base) for r, base in zip(parts, bases)], "part int, base long"))
+    return index.join(bases, "part").select("doc_id", "file", "at", "n_tokens", (F.col("base") + F.col("before")).alias("start")), folder
 
 
 def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
