@@ -24,10 +24,11 @@ every pair of a bucket has been ruled out, compared, or lies in one component: n
 members of a bucket is lost, while a group of n copies costs about n edges, not n squared. Centres are
 copied to parts of a large bucket, so its members are spread over tasks.
 
-Cases: null or blank texts have an empty set, link with nothing and are kept. Rows without doc_id link
-nothing, but take the component of an equal set. Rows that repeat a doc_id are documents of their own,
-each with its text's component; equal rows give equal result rows. Very long texts are taken whole. An
-empty table gives an empty result. Columns besides doc_id and text are not read.
+Cases: null, empty or blank texts have an empty set, link with nothing and are kept. Rows without
+doc_id link like others; they are kept only where no row of their component has an id, and component_id
+is null there. Rows that repeat a doc_id are documents of their own, each with its text's component;
+equal rows give equal result rows. Very long texts are taken whole. An empty table gives an empty
+result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -291,7 +292,9 @@ def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     marked = _marked(docs).select("doc_id", "mark", "text", at)
     some = marked.mapInArrow(likely, marked.schema)
-    return stored(some.join(reps, ["doc_id", "mark"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    wanted = reps.select("rep", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    return stored(some.join(wanted, same).select("rep", "text").dropDuplicates(["rep"]), "texts")
 
 
 def _live(members: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -325,11 +328,11 @@ def _joined(labels: DataFrame, pairs: DataFrame, bitmaps: DataFrame, texts: Data
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id (least id reachable), kept."""
+def near_duplicates(docs: DataFrame, detailed: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id (least id reachable), kept. Detailed: also mark (xxhash64 of the text) and component (a number of the group, also where ids do not tell groups apart; null for empty sets)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(_marked(docs).mapInArrow(_signed, "doc_id long, mark long, n long, digest binary, bands array<long>"), "signed")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # ids are fixed by writing the table
     classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "row.doc_id", "row.mark", "n", "bands"), "classes")
     bands = classes.select("rep", "n", F.explode("bands").alias("key"))
@@ -362,8 +365,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         members, turn = rest, turn + 1
     discard(members, texts, bitmaps)
     least = labels.join(classes.select("rep", "doc_id"), "rep").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    joined = classes.join(labels, "rep", "left").join(least, "comp", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = classes.join(labels, "rep", "left").join(least, "comp", "left").select("digest", F.coalesce("comp", "rep").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     joined = stored(joined, "joined")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(joined, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "digest").join(joined, "digest", "left")
+    least_id = F.coalesce("component_id", "doc_id")
+    more = ["mark", "component"] if detailed else []
+    return out.select("doc_id", "n_shingles", least_id.alias("component_id"), (least_id.isNull() | F.col("doc_id").eqNullSafe(least_id)).alias("kept"), *more)

@@ -7,13 +7,16 @@ these counts estimates the share of good documents and each rule's vote probabil
 class, over the documents that pass the base rule. A document is kept if its posterior probability to be good is a half or more and the base
 rule did not fail.
 
-p_good is null where the base rule failed on a vote pattern of its own. Cases: null and blank texts have no words and fail the base rule. An empty table gives an empty
-result. Repeated rows give repeated result rows; other columns are not read.
+p_good is null where the base rule failed on a vote pattern of its own.
+
+Cases: null, empty and blank texts have no words and fail the base rule. Very long texts are taken
+whole. Rows without doc_id and repeated rows have a result row each. An empty table gives an empty
+result. Columns are read by name: others than doc_id and text only if they are to be carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +73,16 @@ def measures(text: bytes | None, hashes: WordHashes) -> tuple[int, ...]:
     return len(words), len(text) - inner - left(BLANKS), left(SYMBOLS), len(lines) - len(set(lines)), n_repeat, len(lines), left(_UPPER), left(_LOWER), left(_DIGITS), text.count(b"!"), len(set(h.tolist())), left(_UPPER + _LOWER + _FIRST), sum(w[-1] in _MARKS for w in words)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in slices(batches):
-        rows = np.array([measures(t, hashes) for t in text_bytes(batch.column("text"))], np.int64).reshape(-1, len(NAMES))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[:, i]) for i in range(len(NAMES)))], ["doc_id", *NAMES])
+def _measuring(carry: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kept = ["doc_id", *carry]
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in slices(batches):
+            rows = np.array([measures(t, hashes) for t in text_bytes(batch.column("text"))], np.int64).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(rows[:, i]) for i in range(len(NAMES)))], [*kept, *NAMES])
+
+    return run
 
 
 def estimated(votes: np.ndarray, counts: np.ndarray, turns: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
@@ -94,12 +102,15 @@ def estimated(votes: np.ndarray, counts: np.ndarray, turns: int = 200) -> tuple[
     return good, float(share), table
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, the measures in NAMES, base_failed, p_good, kept."""
+def quality(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, the measures in NAMES, base_failed, p_good, kept; and the columns in carry (other names than these), each row with its own."""
     spark = docs.sparkSession
     vote = lambda bad, good: F.when(F.expr(bad), 0).when(F.expr(good), 2).otherwise(1)
     code = sum((vote(bad, good) * 3**i for i, (_, bad, good) in enumerate(RULES)), F.lit(0)).cast("int")
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, "doc_id long, " + ", ".join(f"{x} long" for x in NAMES))
+    carry = [c for c in carry if c != "doc_id"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c != "text"])
+    kinds = dict(rows.dtypes)
+    measured = rows.mapInArrow(_measuring(carry), ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), *(f"{x} long" for x in NAMES)]))
     measured = stored(measured.withColumn("votes", code), "measures")
     seen = measured.where(~F.expr(BASE_FAILED)).groupBy("votes").count().collect()  # 3 ** len(RULES) rows at most
     codes = np.array([r.votes for r in seen], np.int64)
@@ -107,4 +118,4 @@ def quality(docs: DataFrame) -> DataFrame:
     p = estimated(votes, np.array([r["count"] for r in seen], float))[0]
     table = spark.createDataFrame([(int(c), float(x)) for c, x in zip(codes, p, strict=True)], "votes int, p_good double")
     out = measured.join(F.broadcast(table), "votes", "left").withColumn("base_failed", F.expr(BASE_FAILED))
-    return out.select("doc_id", *NAMES, "base_failed", "p_good", (~F.col("base_failed") & (F.coalesce("p_good", F.lit(0.0)) >= 0.5)).alias("kept"))
+    return out.select("doc_id", *carry, *NAMES, "base_failed", "p_good", (~F.col("base_failed") & (F.coalesce("p_good", F.lit(0.0)) >= 0.5)).alias("kept"))
