@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What makes a line look like code, and like a key with its value.
-CODE_LINE = r"(?m)^[ \t]*(?:import |from [a-z.]+ import |def |class |func |function |public |private |return |if \(|for \(|#include|package |var |let |const )"
-KV_LINE = r"(?m)^[ \t]*[A-Za-z_][A-Za-z0-9_.-]*[ \t]*[=:][ \t]*[^ \t\n]+[ \t]*$"
-#: Fixed: extensions of files that can run or install something.
-RISKY_EXTENSIONS = ["exe", "dll", "bat", "cmd", "ps1", "sh", "msi", "jar", "apk", "dmg", "iso", "scr", "vbs", "js", "zip", "rar", "7z", "gz", "tar", "key", "pem", "pfx", "p12", "kdbx", "env", "sql", "bak", "db"]
+#: How a line of code starts, and one with a key and a value; extensions of files that can run or install something.
+CODE_START = r"(import\s+\S|from\s+\S+\s+import\s|def\s+\w+|class\s+\w+|function\s+\w+|const\s+\w+\s*=|let\s+\w+\s*=|var\s+\w+\s*=|#include\s*[<\"]|package\s+\w+|fn\s+\w+\(|public\s+class)"
+KV_START = r"[A-Za-z_][A-Za-z0-9_.\-]*\s*[:=]\s*\S"
+RISKY_EXTENSIONS = ["exe", "scr", "com", "pif", "msi", "msp", "mst", "appx", "appxbundle", "msix", "bat", "cmd", "vbs", "vbe", "wsf", "wsh", "ps1", "psm1", "psd1", "sh", "dll", "sys", "reg", "app", "pkg", "dmg", "deb", "rpm", "jar", "class", "iso", "img", "vhd", "vhdx"]
+#: Blanks before the start stay within the line: as many matches, without reading runs of empty lines again and again.
+CODE_LINE, KV_LINE = (rf"(?m)^[ \t\f\r]*{start}" for start in (CODE_START, KV_START))
 
 
 def fold(c: Column) -> Column:
@@ -82,10 +83,13 @@ def plausible_host(c: Column) -> Column:
 
 
 def is_internal_ip(ip: Column) -> Column:
-    """Loopback, link-local, private, multicast and unspecified IPv4 addresses."""
-    o = lambda i: F.split(ip, r"\.")[i].cast("int")
+    """Loopback, link-local, private, multicast and unspecified addresses, IPv4 and IPv6 (perhaps with an IPv4 address inside or a zone)."""
+    low = fold(F.regexp_replace(F.trim(ip), "%.*$", ""))
+    inner = F.regexp_replace(low, r"^::(?:ffff:)?(?=\d+\.)", "")
+    o = lambda i: F.split(inner, r"\.")[i].cast("int")
     inside = o(0).isin(0, 10, 127) | ((o(0) == 169) & (o(1) == 254)) | ((o(0) == 192) & (o(1) == 168)) | ((o(0) == 172) & o(1).between(16, 31)) | o(0).between(224, 239)
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), inside).otherwise(F.lit(False))
+    six = low.rlike(r"^(?:(?:0{1,4}:){1,7}|::)(?:0{1,4}:)*0{0,3}[01]?$|^fe[89ab][0-9a-f]:|^f[cd][0-9a-f]{2}:|^ff[0-9a-f]{2}:")
+    return F.when(inner.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), inside).when(low.contains(":"), six).otherwise(F.lit(False))
 
 
 def category_name(file_name: Column) -> Column:

@@ -48,15 +48,31 @@ def joined_files(files: DataFrame, key: str, order: str, text: str, cap: int) ->
     return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), cut.alias("t")))), lambda s: s.t), "\n").alias("text"), F.bool_or("truncated").alias("truncated"))
 
 
+_NOBODY = object()
+
+
+def _keys(column: pd.Series) -> list:
+    """Values with None for null (pandas' NaN differs from itself)."""
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
+def first_of(files: DataFrame, same: list[str], order: list[str]) -> DataFrame:
+    """Of files that are the same by these columns, the first one in order; nulls are equal."""
+    kept = F.min_by(F.struct(*files.columns), F.struct(*order)).alias("_f")
+    return files.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(same)]).agg(kept).select("_f.*")
+
+
 def token_bucket(rows: DataFrame, key: str, seconds: str, tie: str, rate: float, burst: float) -> DataFrame:
-    """rows (key, seconds, tie) -> with allowed: a bucket refills by elapsed time and each allowed row takes one. The state is one number per key, carried from batch to batch, so a key's rows are never gathered."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", allowed boolean"
+    """rows (key, seconds, tie) -> with allowed: a bucket refills by elapsed time and each allowed row takes one; it holds one token at least, and a rate of 0 or less allows all. Null keys are one key. The state is one number per key, carried from batch to batch, so a key's rows are never gathered."""
+    if rate <= 0:
+        return rows.withColumn("allowed", F.lit(True))
+    schema, burst = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", allowed boolean", max(burst, 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, last, who = burst, None, None
+        held, last, who = burst, None, _NOBODY
         for batch in batches:
             out = []
-            for k, t in zip(batch[key], batch[seconds], strict=True):
+            for k, t in zip(_keys(batch[key]), batch[seconds], strict=True):
                 if k != who:
                     held, last, who = burst, t, k
                 held, last = min(burst, held + max(0.0, t - last) * rate), t
@@ -68,14 +84,14 @@ def token_bucket(rows: DataFrame, key: str, seconds: str, tie: str, rate: float,
 
 
 def throttled(rows: DataFrame, key: str, seconds: str, tie: str, mark: str, gap: float = 1.5) -> DataFrame:
-    """With accepted: not within gap of the last accepted row, and not with its mark."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", accepted boolean"
+    """With accepted: not within gap of the last accepted row, and not with its mark. Null keys are one key."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", accepted boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, last, seen = None, None, None
+        who, last, seen = _NOBODY, None, None
         for batch in batches:
             out = []
-            for k, t, m in zip(batch[key], batch[seconds], batch[mark], strict=True):
+            for k, t, m in zip(_keys(batch[key]), batch[seconds], _keys(batch[mark]), strict=True):
                 if k != who:
                     who, last, seen = k, None, None
                 ok = (last is None or t - last >= gap) and m != seen

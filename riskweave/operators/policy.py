@@ -36,17 +36,54 @@ def acceptable_category(c: Column, registered: list[str] | None = None) -> Colum
 
 
 def violations(config: DataFrame) -> DataFrame:
-    """config (name, mode, profile_url, heartbeat_url, action, threshold) -> name, violations (array of text)."""
-    missing = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    """config (name, mode, and what the modes require: allowed_extension_ids array, api_token_path, api_token_required, bridge_mac_required, profile_public_key, rule_update_public_key, profile_path, profile_url) -> name, violations (array of the keys that fail, in this order). A column that is not there counts as not set; blank text, too."""
+    kinds = dict(config.dtypes)
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in kinds else F.lit("")
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c in kinds else F.lit(False)
+    ids = F.coalesce(F.exists("allowed_extension_ids", lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), F.lit(False)) if "allowed_extension_ids" in kinds else F.lit(False)
+    managed = F.col("mode") == "managed"
+    strict = F.col("mode").isin("team", "managed")
     tests = [
-        (missing("name"), "name is empty"),
-        (~F.col("mode").isin("personal", "team", "managed"), "unknown mode"),
-        ((F.col("mode") == "managed") & missing("profile_url"), "managed mode needs a profile"),
-        (F.col("mode").isin("managed", "team") & missing("heartbeat_url"), "this mode needs a heartbeat"),
-        (~F.col("action").isin(*ACTIONS), "unknown action"),
-        (F.col("threshold") < 0, "threshold below 0"),
+        (strict & ~ids, "allowed_extension_ids"),
+        (strict & (text("api_token_path") == ""), "api_token_path"),
+        (strict & ~flag("api_token_required"), "api_token_required"),
+        (managed & ~flag("bridge_mac_required"), "bridge_mac_required"),
+        (managed & (text("profile_public_key") == ""), "profile_public_key"),
+        (managed & (text("rule_update_public_key") == ""), "rule_update_public_key"),
+        (managed & (text("profile_path") == "") & (text("profile_url") == ""), "profile_path or profile_url"),
     ]
-    return config.select("name", F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), F.lit(m)) for t, m in tests])).alias("violations"))
+    return config.select("name", F.array_compact(F.array(*[F.when(t, F.lit(m)) for t, m in tests])).alias("violations"))
+
+
+#: Fixed: the numbers of a scan configuration, and what they must be.
+DLP_KEYS = ("threshold_critical", "threshold_high", "threshold_medium", "threshold_low", "hotword_boost", "entropy_boost", "entropy_penalty", "exclusion_penalty", "multi_match_boost")
+
+
+def merged_config(current: DataFrame, override: DataFrame) -> DataFrame:
+    """One row of DLP_KEYS each -> the current numbers with those of the override that are neither null nor 0."""
+    own = override.select(*[F.col(k).alias(f"_{k}") for k in DLP_KEYS if k in override.columns])  # one row
+    value = lambda k: F.coalesce(F.nullif(F.col(f"_{k}"), F.lit(0)), F.col(k)).alias(k) if f"_{k}" in own.columns else F.col(k)
+    return current.crossJoin(F.broadcast(own)).select(*map(value, DLP_KEYS))
+
+
+def valid_config() -> Column:
+    """Thresholds are positive and fall with severity, boosts are not negative, penalties not positive."""
+    c, h, m, low = map(F.col, DLP_KEYS[:4])
+    boosts, penalties = (F.col("hotword_boost"), F.col("entropy_boost"), F.col("multi_match_boost")), (F.col("entropy_penalty"), F.col("exclusion_penalty"))
+    ok = (c > 0) & (h > 0) & (m > 0) & (low > 0)
+    for x in boosts:
+        ok = ok & (x >= 0)
+    for x in penalties:
+        ok = ok & (x <= 0)
+    return F.coalesce(ok, F.lit(False))
+
+
+def applied_profile(policies: DataFrame, config: DataFrame, changes: DataFrame, override: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """policies and config after a profile's changes, both or neither: all is checked before anything is returned."""
+    fresh = merged_config(config, override)
+    if fresh.where(~valid_config()).isEmpty():
+        return with_policy(policies, changes), fresh
+    raise ValueError("numbers of the configuration are out of range")
 
 
 def with_policy(policies: DataFrame, changes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Limits on rates, and tolerances against a baseline.
@@ -36,21 +36,41 @@ def accuracy_by(samples: DataFrame, category: str) -> DataFrame:
 
 
 def false_positives(samples: DataFrame, examples: int = 5) -> DataFrame:
-    """samples (sample_id, expected, blocked, pattern_name) -> by pattern: count, rate over negatives, the first example ids."""
-    return _by_pattern(samples, ~F.col("expected") & F.col("blocked"), ~F.col("expected"), "pattern_name", examples, "fp")
+    """samples (sample_id, expected, blocked, pattern_name) -> pattern, fp_count, total_negatives, fp_rate (over all negatives), example_ids (the least), by falling count."""
+    rows = samples.withColumn("_pattern", F.coalesce("pattern_name", F.lit("")))
+    wrong = ~F.col("expected") & F.col("blocked")
+    whole = samples.agg(F.count_if(~F.col("expected")).alias("total_negatives"))  # one row
+    counts = rows.where(wrong).groupBy("_pattern").agg(F.count("*").alias("fp_count")).crossJoin(F.broadcast(whole))
+    return _listed(counts, rows.where(wrong), "fp_count", "total_negatives", "fp_rate", examples)
 
 
 def false_negatives(samples: DataFrame, examples: int = 5) -> DataFrame:
-    """samples (sample_id, expected, blocked, expected_pattern) -> by expected pattern."""
-    return _by_pattern(samples, F.col("expected") & ~F.col("blocked"), F.col("expected"), "expected_pattern", examples, "fn")
+    """samples (sample_id, expected, blocked, expected_pattern) -> pattern, fn_count, total_positives (those that expect this pattern, found or missed), fn_rate, example_ids, by falling count; patterns without a miss are left out."""
+    rows = samples.where("expected").withColumn("_pattern", F.coalesce("expected_pattern", F.lit("")))
+    counts = rows.groupBy("_pattern").agg(F.count_if(~F.col("blocked")).alias("fn_count"), F.count("*").alias("total_positives")).where("fn_count > 0")
+    return _listed(counts, rows.where(~F.col("blocked")), "fn_count", "total_positives", "fn_rate", examples)
 
 
-def _by_pattern(samples: DataFrame, wrong: Column, of: Column, name: str, examples: int, short: str) -> DataFrame:
-    whole = samples.agg(F.count_if(of).alias("whole"))
-    # the first ids of each task, then of all: no group is gathered whole
-    rows = samples.where(wrong).groupBy(F.col(name).alias("pattern")).agg(F.count("*").alias(f"{short}_count"), *[F.min(F.when(F.pmod(F.xxhash64("sample_id"), F.lit(examples)) == i, F.col("sample_id"))).alias(f"e{i}") for i in range(examples)])
-    rows = rows.withColumn("example_ids", F.array_sort(F.array_compact(F.array(*[f"e{i}" for i in range(examples)])))).drop(*[f"e{i}" for i in range(examples)])
-    return rows.crossJoin(F.broadcast(whole)).select("pattern", f"{short}_count", ratio(F.col(f"{short}_count"), F.col("whole")).alias(f"{short}_rate"), "example_ids")
+def _listed(counts: DataFrame, wrong: DataFrame, count: str, whole: str, rate: str, examples: int) -> DataFrame:
+    # each task keeps no more than the first ids of a pattern before they meet
+    first = Window.partitionBy("_pattern").orderBy("sample_id")
+    ids = wrong.select("_pattern", "sample_id", F.row_number().over(first).alias("_place")).where(F.col("_place") <= examples)
+    ids = ids.groupBy("_pattern").agg(F.sort_array(F.collect_list("sample_id")).alias("example_ids"))
+    out = counts.join(ids, "_pattern", "left").select(F.col("_pattern").alias("pattern"), count, whole, ratio(F.col(count), F.col(whole)).alias(rate), "example_ids")
+    return out.orderBy(F.desc(count), "pattern")
+
+
+def by_category_of(samples: DataFrame, patterns: DataFrame, name: str = "pattern_name") -> DataFrame:
+    """samples with the corpus category of their pattern (patterns: pattern, corpus_category); other_generic for unknown ones."""
+    known = patterns.select(F.col("pattern").alias("_name"), F.col("corpus_category").alias("_category"))
+    return samples.join(known, F.col(name) == F.col("_name"), "left").withColumn("corpus_category", F.coalesce("_category", F.lit("other_generic"))).drop("_name", "_category")
+
+
+def pack_status(patterns: DataFrame) -> DataFrame:
+    """patterns (name, category, prefix) -> one row: patterns, prefixes (distinct, folded, without empty ones), categories (sorted and joined; empty ones are uncategorized)."""
+    category = F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized"))
+    prefix = F.nullif(F.lower(F.coalesce("prefix", F.lit(""))), F.lit(""))
+    return patterns.agg(F.count("*").alias("patterns"), F.count_distinct(prefix).alias("prefixes"), F.array_join(F.sort_array(F.collect_set(category)), ",").alias("categories"))
 
 
 def budget_check(report: DataFrame) -> DataFrame:

@@ -2,83 +2,147 @@
 
 One row per (content, pattern) match comes from one pass over the contents: each pattern is a
 literal regex, so it is compiled once, behind its prefix test; no cross join with a rule table.
-Matches of one content stay on one row until they are unfolded, so the scan needs no shuffle
-before its verdicts, which group by content only.
+Texts are folded once, only texts with a match are cut at the matches, and what leaves the pass is
+a match with the bytes around it, never the text. Contents without a match stay in the same pass,
+so verdicts need no join; two small aggregations, which combine before their shuffle, give them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import content_type, entropy, fold
 from riskweave.plans.packs import Exclusion, Pattern, ScanConfig
 
+#: Bytes looked at on both sides of a match where an exclusion names no window.
+PROXIMITY = 50
+SEVERE = ("critical", "high")
+#: Bytes of input that fill a core's share of file splits.
+FULL_SPLIT = 128 << 20
+
+
+def spread(content: DataFrame) -> DataFrame:
+    """Deals an input that is too small to fill all cores by its file splits; a larger one is read as it lies, without a shuffle."""
+    cores = content.sparkSession.sparkContext.defaultParallelism
+    size = int(content._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return content.repartition(cores) if size < cores * FULL_SPLIT else content
+
 
-def admitted(p: Pattern, cfg: ScanConfig, text: Column, kind: Column) -> Column:
+def admitted(p: Pattern, cfg: ScanConfig, text: Column, folded: Column, kind: Column) -> Column:
     """Prefix in the folded text, category enabled, content type and size allowed."""
     ok = F.lit((p.category or "uncategorized") not in cfg.disabled)
     if p.prefix:
-        ok = ok & F.contains(fold(text), F.lit(p.prefix.lower()))
+        ok = ok & F.contains(folded, F.lit(p.prefix.lower()))
     if p.content_types:
         ok = ok & kind.isin(*p.content_types)
-    if cfg.large and p.severity not in ("critical", "high"):
+    if cfg.large and p.severity not in SEVERE:
         ok = ok & (F.octet_length(text) < cfg.large)
     return ok
 
 
+def _folded(content: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """content_id, text, low (folded), kind."""
+    rows = content.select("content_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = content_type(F.col("text")) if any(p.content_types for p in patterns) else F.lit("natural")
+    return rows.select("content_id", "text", fold(F.col("text")).alias("low"), kind.alias("kind"))
+
+
 def candidates(content: DataFrame, patterns: list[Pattern], cfg: ScanConfig | None = None) -> DataFrame:
     """content (content_id, text) -> content_id, pattern, occurrences of the prefix (1 for patterns without)."""
     cfg = cfg or ScanConfig()
-    rows = content.select("content_id", F.coalesce("text", F.lit("")).alias("text"))
-    count = lambda p: ((F.length("text") - F.length(F.replace(fold(F.col("text")), F.lit(p.prefix.lower()), F.lit("")))) / len(p.prefix)).cast("long") if p.prefix else F.lit(1).cast("long")
-    each = [F.when(admitted(p, cfg, F.col("text"), content_type(F.col("text"))), F.struct(F.lit(p.name).alias("pattern"), count(p).alias("occurrences"))) for p in patterns]
-    return rows.select("content_id", F.inline(F.array_compact(F.array(*each))))
-
-
-def _found(p: Pattern) -> Column:
-    """Array of (value, start) of a pattern, start in bytes: a match begins after the gaps and matches before it."""
-    values = F.regexp_extract_all("text", F.lit(p.regex), F.lit(0))
-    gaps = F.split("text", p.regex, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(F.octet_length(g).alias("g"), v.alias("value")))
-    begun = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int>>").alias("out")),
-        lambda a, s: F.struct((a.at + s.g + F.octet_length(s.value)).alias("at"), F.concat(a.out, F.array(F.struct(s.value.alias("value"), (a.at + s.g).alias("start")))).alias("out")),
-    )
-    return begun.out
+    count = lambda p: ((F.length("low") - F.length(F.replace(F.col("low"), F.lit(p.prefix.lower()), F.lit("")))) / len(p.prefix)).cast("long") if p.prefix else F.lit(1).cast("long")
+    each = [F.when(admitted(p, cfg, *map(F.col, ("text", "low", "kind"))), F.struct(F.lit(p.name).alias("pattern"), count(p).alias("occurrences"))) for p in patterns]
+    return _folded(content, patterns).select("content_id", F.inline(F.array_compact(F.array(*each))))
 
 
-def matches(content: DataFrame, patterns: list[Pattern], cfg: ScanConfig | None = None) -> DataFrame:
-    """content (content_id, text) -> content_id, pattern, value, start, stop (bytes), num_matches, before, after (the folded text within the widest window of the pattern's rules)."""
-    cfg = cfg or ScanConfig()
-    rows = content.select("content_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("kind", content_type(F.col("text")) if any(p.content_types for p in patterns) else F.lit("natural"))
-    shape = "array<struct<value:string,start:int>>"
-    each = [F.struct(F.lit(p.name).alias("pattern"), F.when(admitted(p, cfg, F.col("text"), F.col("kind")), _found(p)).otherwise(F.array().cast(shape)).alias("hits")) for p in patterns]
-    rows = rows.select("content_id", "text", F.filter(F.array(*each), lambda x: F.size(x.hits) > 0).alias("found")).where(F.size("found") > 0)
-    rows = rows.select("content_id", F.encode(fold(F.col("text")), "utf-8").alias("bytes"), F.inline("found"))
-    rows = rows.select("content_id", "bytes", "pattern", F.size("hits").cast("long").alias("num_matches"), F.inline("hits"))
-    return rows.withColumn("stop", F.col("start") + F.octet_length("value"))
+def severity_guard(found: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """candidates -> content_id, severe: one of them is critical or high, so nothing may cut the scan short."""
+    return found.groupBy("content_id").agg(F.bool_or(_by_pattern(patterns, lambda p: F.lit(p.severity in SEVERE), F.lit(False))).alias("severe"))
+
+
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _earlier(sizes: Column, block: int = 128) -> Column:
+    """For each number of a non-empty array the sum of those before it; whole blocks are summed once."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    at = lambda i: F.floor(i / block).cast("int")
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), at(F.size(a) - 1)), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
+    return _bound(sizes, lambda a: _bound(blocks(a), lambda s: F.transform(a, lambda _, i: total(F.slice(s, F.lit(1), at(i))) + total(F.slice(a, at(i) * block + 1, i - at(i) * block)))))
+
+
+def _width(patterns: list[Pattern], rules: list[Exclusion]) -> int:
+    return max([0, *(p.hotword_window for p in patterns if p.hotwords), *(r.window or PROXIMITY for r in rules if r.type != "regex" and r.match_type != "exact")])
+
+
+def _found(content: DataFrame, patterns: list[Pattern], cfg: ScanConfig, rules: list[Exclusion]) -> DataFrame:
+    """matches, and a row without a pattern for each content that has no match."""
+    texts = F.col("text"), F.col("low"), F.col("kind")
+    none = F.array().cast("array<string>")
+    each = [F.struct(F.lit(p.name).alias("pattern"), F.when(admitted(p, cfg, *texts), F.regexp_extract_all("text", F.lit(p.regex), F.lit(0))).otherwise(none).alias("values")) for p in patterns]
+    rows = _folded(content, patterns).select("content_id", "text", "low", F.array(*each).alias("each"))
+    # outer: no filter on what was found moves below, where it would search a second time
+    rows = rows.select("content_id", "text", "low", F.inline_outer(F.filter("each", lambda x: F.size(x["values"]) > 0)))
+    rows = rows.select("content_id", "pattern", "values", _by_pattern(patterns, lambda p: F.split("text", p.regex, -1), F.lit(None).cast("array<string>")).alias("gaps"), F.when(F.col("pattern").isNotNull(), F.encode("low", "utf-8")).alias("bytes"))
+    steps = F.zip_with(F.slice("gaps", F.lit(1), F.size("values")), "values", lambda g, v: F.struct(F.octet_length(g).alias("gap"), F.octet_length(v).alias("size"), v.alias("value")))
+    rows = rows.select("content_id", "pattern", "bytes", F.size("values").cast("long").alias("num_matches"), steps.alias("steps"))
+    rows = rows.select("content_id", "pattern", "bytes", "num_matches", "steps", F.when(F.size("steps") > 0, _earlier(F.transform("steps", lambda s: s.gap + s["size"]))).alias("ends"))
+    wide = _width(patterns, rules)
+
+    def hit(step: Column, end: Column) -> Column:
+        start, stop = end + step.gap, end + step.gap + step["size"]
+        before = F.substring(F.col("bytes"), F.greatest(start - wide, F.lit(0)) + 1, F.least(start, F.lit(wide)))
+        return F.struct(step.value.alias("value"), start.alias("start"), stop.alias("stop"), before.alias("before"), F.substring(F.col("bytes"), stop + 1, F.lit(wide)).alias("after"))
+
+    rows = rows.select("content_id", "pattern", "num_matches", F.inline_outer(F.zip_with("steps", "ends", hit)))
+    return rows.select("content_id", "pattern", "value", "start", "stop", "num_matches", F.col("before").alias("before", metadata={"window": wide}), "after")
+
+
+def matches(content: DataFrame, patterns: list[Pattern], cfg: ScanConfig | None = None, rules: list[Exclusion] | None = None) -> DataFrame:
+    """content (content_id, text) -> content_id, pattern, value, start, stop (bytes), num_matches, before, after: the folded bytes on each side, as wide as the widest window of patterns and rules. Null texts are empty."""
+    return _found(content, patterns, cfg or ScanConfig(), rules or []).where("pattern is not null")
 
 
 def _side(window: int) -> tuple[Column, Column]:
     """The bytes within the window before and after a match."""
-    low = F.greatest(F.col("start") - window, F.lit(0))
-    return F.substring(F.col("bytes"), low + 1, F.col("start") - low), F.substring(F.col("bytes"), F.col("stop") + 1, F.lit(window))
+    size = F.octet_length("before")
+    return F.substring(F.col("before"), F.greatest(size - window, F.lit(0)) + 1, F.lit(window)), F.substring(F.col("after"), F.lit(1), F.lit(window))
+
+
+def _words(words: tuple[str, ...]) -> list[str]:
+    """Folded and trimmed; blank ones look for nothing."""
+    return [w.strip().lower() for w in words if w.strip()]
 
 
 def hotword_near(p: Pattern) -> Column:
     """A hotword within the window on one side; the match itself is left out. A window of 0 checks nothing."""
-    if not p.hotwords or p.hotword_window <= 0:
-        return F.lit(False)
-    before, after = _side(p.hotword_window)
-    words = [F.encode(F.lit(w.lower()), "utf-8") for w in p.hotwords]
     out = F.lit(False)
-    for w in words:
-        out = out | F.contains(before, w) | F.contains(after, w)
+    if p.hotword_window > 0:
+        before, after = _side(p.hotword_window)
+        for w in _words(p.hotwords):
+            word = F.encode(F.lit(w), "utf-8")
+            out = out | F.contains(before, word) | F.contains(after, word)
     return out
 
 
+def _around(window: int) -> Column:
+    """The text within the window, without the first place that holds the match's value (which may stand before the match, too)."""
+    before, after = _side(window)
+    value = fold(F.col("value"))
+    hay = F.concat(before, F.encode(value, "utf-8"), after).cast("string")
+    head = F.call_function("substring_index", hay, value, F.lit(1))
+    return F.when(value == "", hay).otherwise(F.concat(head, F.substring(hay, F.length(head) + F.length(value) + 1, F.length(hay))))
+
+
+def _holds_any(hay: Column, words: list[str]) -> Column:
+    return _bound(hay, lambda h: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(h, w)))
+
+
 def excluded(p: Pattern, rules: list[Exclusion]) -> tuple[Column, Column]:
     """(suppressed, penalised) for a match of the pattern."""
     suppressed, penalised = F.lit(False), F.lit(False)
@@ -89,12 +153,9 @@ def excluded(p: Pattern, rules: list[Exclusion]) -> tuple[Column, Column]:
             hit = F.col("value").rlike(r.pattern)
             suppressed, penalised = (suppressed | hit, penalised) if r.suppress else (suppressed, penalised | hit)
         elif r.match_type == "exact":
-            suppressed = suppressed | fold(F.trim("value")).isin([w.strip().lower() for w in r.words])
-        else:
-            before, after = _side(r.window or 50)
-            for w in r.words:
-                word = F.encode(F.lit(w.lower()), "utf-8")
-                penalised = penalised | F.contains(F.concat(before, after), word)
+            suppressed = suppressed | fold(F.col("value")).isin([w.strip().lower() for w in r.words])
+        elif words := _words(r.words):
+            penalised = penalised | _holds_any(_around(r.window or PROXIMITY), words)
     return suppressed, penalised
 
 
@@ -108,8 +169,10 @@ def _by_pattern(patterns: list[Pattern], of, other: Column) -> Column:
 
 
 def scored(found: DataFrame, patterns: list[Pattern], rules: list[Exclusion], cfg: ScanConfig | None = None) -> DataFrame:
-    """matches -> with hotword, entropy, suppressed, penalised and score. A column `ml_score` in found enters borderline scores."""
+    """matches (made with the same patterns and rules) -> with hotword, entropy, suppressed, penalised and score. A column `ml_score` in found enters borderline scores."""
     cfg = cfg or ScanConfig()
+    if found.schema["before"].metadata.get("window", 0) < _width(patterns, rules):
+        raise ValueError("the matches were cut with smaller windows than these rules ask for")
     has_ml = "ml_score" in found.columns
     keep = [c for c in ("content_id", "pattern", "value", "start", "stop", "num_matches", *(["ml_score"] if has_ml else []))]
     rows = found.select(
@@ -145,14 +208,15 @@ def pattern_verdicts(rows: DataFrame, patterns: list[Pattern], cfg: ScanConfig |
     out = rows.groupBy("content_id", "pattern").agg(F.max("num_matches").alias("num_matches"), F.max(F.when(~F.col("suppressed"), F.col("score"))).alias("score"), F.bool_or(F.col("hotword") & ~F.col("suppressed")).alias("any_hotword"))
     enough = _by_pattern(patterns, lambda p: F.col("num_matches") >= max(p.min_matches, 0), F.lit(True))
     hot = _by_pattern(patterns, lambda p: F.col("any_hotword") if p.require_hotword else F.lit(True), F.lit(True))
-    return out.select("content_id", "pattern", "num_matches", "score", F.coalesce(enough & hot & (F.col("score") >= threshold(patterns, cfg)), F.lit(False)).alias("blocked"))
+    return out.select("content_id", "pattern", "num_matches", "score", F.coalesce(F.col("pattern").isNotNull() & enough & hot & (F.col("score") >= threshold(patterns, cfg)), F.lit(False)).alias("blocked"))
 
 
 def scan(content: DataFrame, patterns: list[Pattern], rules: list[Exclusion], cfg: ScanConfig | None = None) -> DataFrame:
     """content (content_id, text) -> content_id, blocked, pattern_name, score: the best blocked pattern, by score and then name; no match: not blocked, '', 0. Repeated ids give one row."""
-    rows = scored(matches(content, patterns, cfg), patterns, rules, cfg)
-    best = pattern_verdicts(rows, patterns, cfg).where("blocked").groupBy("content_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("pattern").alias("p"))).alias("b"))
-    out = content.select("content_id").distinct().join(best, "content_id", "left")
+    cfg = cfg or ScanConfig()
+    rows = scored(_found(content, patterns, cfg, rules), patterns, rules, cfg)
+    best = F.min(F.when(F.col("blocked"), F.struct((-F.col("score")).alias("s"), F.col("pattern").alias("p"))))
+    out = pattern_verdicts(rows, patterns, cfg).groupBy("content_id").agg(best.alias("b"))
     return out.select("content_id", F.col("b").isNotNull().alias("blocked"), F.coalesce("b.p", F.lit("")).alias("pattern_name"), F.coalesce(-F.col("b.s"), F.lit(0)).cast("long").alias("score"))
 
 

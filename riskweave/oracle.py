@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskweave.functions.text import CODE_LINE, KV_LINE, RISKY_EXTENSIONS
+from riskweave.functions.text import CODE_START, KV_START, RISKY_EXTENSIONS
 from riskweave.operators.report import BUDGET, FP_RISE, RECALL_DROP
 from riskweave.plans.packs import DOMAINS, EXCLUSIONS, PATTERNS, POLICIES, ScanConfig
 
 CFG = ScanConfig()
+_LINE = r"(?m)^\s*"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,27 +25,27 @@ def hexed(word: str) -> str:
 
 def kind(t: str) -> str:
     commas = f"[n for n in [length(x) - length(replace(x, ',', '')) for x in string_split({t}, chr(10))] if n > 0]"
-    return f"""CASE WHEN len(regexp_extract_all({t}, {q(CODE_LINE)})) >= 2 THEN 'code'
+    return f"""CASE WHEN len(regexp_extract_all({t}, {q(_LINE + CODE_START)})) >= 2 THEN 'code'
  WHEN (contains({t}, '{{') AND contains({t}, '}}') AND (contains({t}, '":') OR contains({t}, '" :')))
    OR (len({commas}) >= 3 AND list_min({commas}) = list_max({commas})) THEN 'structured'
- WHEN len(regexp_extract_all({t}, {q(KV_LINE)})) >= 3 AND (length({t}) - length(replace(replace({t}, ' ', ''), chr(9), ''))) < 0.18 * length({t}) THEN 'credentials'
+ WHEN len(regexp_extract_all({t}, {q(_LINE + KV_START)})) >= 3 AND (length({t}) - length(replace(replace({t}, ' ', ''), chr(9), ''))) < 0.18 * length({t}) THEN 'credentials'
  ELSE 'natural' END"""
 
 
-def admitted(p) -> str:
+def admitted(p, large: int = CFG.large) -> str:
     tests = ["TRUE"]
     if p.prefix:
         tests.append(f"contains({fold('text')}, {q(p.prefix.lower())})")
     if p.severity not in ("critical", "high"):
-        tests.append(f"strlen(text) < {CFG.large}")
+        tests.append(f"strlen(text) < {large}")
     return " AND ".join(tests)
 
 
-def matches(table: str = "documents", key: str = "doc_id") -> str:
+def matches(table: str = "documents", key: str = "doc_id", large: int = CFG.large) -> str:
     """CTE hits(content_id, pattern, value, start, stop, num_matches, h: hex of the folded text)."""
     parts = []
     for p in PATTERNS:
-        parts.append(f"""SELECT content_id, {q(p.name)} AS pattern, text, regexp_extract_all(text, {q(p.regex)}) AS v, regexp_split_to_array(text, {q(p.regex)}) AS g FROM c WHERE {admitted(p)}""")
+        parts.append(f"""SELECT content_id, {q(p.name)} AS pattern, text, regexp_extract_all(text, {q(p.regex)}) AS v, regexp_split_to_array(text, {q(p.regex)}) AS g FROM c WHERE {admitted(p, large)}""")
     return f"""c AS (SELECT {key} AS content_id, coalesce(text, '') AS text FROM {table}),
 found AS ({" UNION ALL ".join(parts)}),
 each_ AS (SELECT content_id, pattern, text, v, g, unnest(range(1, len(v) + 1)) AS i FROM found WHERE len(v) > 0),
@@ -79,7 +80,7 @@ def _excluded(p, suppress: bool) -> str:
         if r.type == "regex" and r.suppress == suppress:
             tests.append(f"regexp_matches(value, {q(r.pattern)})")
         elif r.type == "dictionary" and r.match_type == "exact" and suppress:
-            tests.append(f"{fold('trim(value)')} IN ({', '.join(q(w.lower()) for w in r.words)})")
+            tests.append(f"{fold('value')} IN ({', '.join(q(w.lower()) for w in r.words)})")
         elif r.type == "dictionary" and r.match_type != "exact" and not suppress:
             a, b = _sides(r.window or 50)
             tests += [f"contains({a} || {b}, {hexed(w)})" for w in r.words]
@@ -97,15 +98,15 @@ def _threshold(p) -> str:
     return str(CFG.thresholds.get(p.severity, CFG.thresholds["low"]))
 
 
-def scored(table: str = "documents", key: str = "doc_id") -> str:
-    return f"""{matches(table, key)},
+def scored(table: str = "documents", key: str = "doc_id", large: int = CFG.large) -> str:
+    return f"""{matches(table, key, large)},
 ctx AS (SELECT content_id, pattern, value, start, num_matches, {_case(_hot, "FALSE")} AS hotword, {_ENTROPY} AS entropy,
   {_case(lambda p: _excluded(p, True), "FALSE")} AS suppressed, {_case(lambda p: _excluded(p, False), "FALSE")} AS penalised FROM hits),
 scored AS (SELECT *, CAST({_case(_score, "1")} + {CFG.multi_match} * least(num_matches - 1, 5) + CASE WHEN penalised THEN {CFG.exclusion} ELSE 0 END AS BIGINT) AS score FROM ctx)"""
 
 
-def verdicts(table: str = "documents", key: str = "doc_id") -> str:
-    return f"""{scored(table, key)},
+def verdicts(table: str = "documents", key: str = "doc_id", large: int = CFG.large) -> str:
+    return f"""{scored(table, key, large)},
 best AS (SELECT content_id, pattern, max(num_matches) AS num_matches, max(CASE WHEN NOT suppressed THEN score END) AS score FROM scored GROUP BY content_id, pattern),
 blocked_ AS (SELECT content_id, pattern, score, row_number() OVER (PARTITION BY content_id ORDER BY score DESC, pattern) AS k FROM best
   WHERE score >= {_case(_threshold, str(CFG.thresholds["low"]))} AND num_matches >= {_case(lambda p: str(p.min_matches), "0")}),
@@ -163,7 +164,13 @@ ORACLE_SQL = {
     "exclusion_eval": f"WITH {scored()} SELECT content_id, pattern, start, suppressed, penalised FROM scored",
     "score_matches": f"WITH {scored()} SELECT content_id, pattern, start, score FROM scored",
     "scan_documents": f"WITH {verdicts()} SELECT * FROM verdicts",
-    "scan_conversations": f"WITH {verdicts('conversations', 'conv_id * 1000 + turn')} SELECT * FROM verdicts",
+    "scan_conversations": f"WITH {verdicts('conversations', 'struct_pack(conv_id := conv_id, turn := turn)')} SELECT content_id.conv_id AS conv_id, content_id.turn AS turn, blocked, pattern_name, score FROM verdicts",
+    "scan_large": f"WITH {verdicts(large=2_000)} SELECT * FROM verdicts",
+    "severity_guard": "WITH c AS (SELECT doc_id AS content_id, coalesce(text, '') AS text FROM documents), k AS (" + " UNION ALL ".join(f"SELECT content_id, {str(p.severity in ('critical', 'high')).upper()} AS severe FROM c WHERE {admitted(p)}" for p in PATTERNS) + ") SELECT content_id, bool_or(severe) AS severe FROM k GROUP BY content_id",
+    "status_counts": f"WITH {_rules()}, p(category, prefix) AS (VALUES {', '.join(f'({q(p.category)}, {q(p.prefix)})' for p in PATTERNS)}) SELECT (SELECT count(*) FROM p) AS patterns, (SELECT count(DISTINCT lower(prefix)) FROM p WHERE prefix <> '') AS prefixes, (SELECT string_agg(category, ',' ORDER BY category) FROM (SELECT DISTINCT category FROM p)) AS categories, count(*) FILTER (WHERE NOT is_wildcard) AS exact_hosts, count(*) FILTER (WHERE is_wildcard) AS wildcard_hosts, count(*) AS index_size FROM eff",
+    "config_violations": """WITH c AS (SELECT n_name AS name, n_nationkey AS i, n_nationkey % 3 AS m FROM nation)
+SELECT name, concat_ws(',', CASE WHEN m > 0 AND i % 2 = 0 THEN 'allowed_extension_ids' END, CASE WHEN m > 0 AND i % 5 = 0 THEN 'api_token_path' END, CASE WHEN m > 0 AND i % 7 = 0 THEN 'api_token_required' END,
+  CASE WHEN m = 2 AND i % 4 = 0 THEN 'bridge_mac_required' END, CASE WHEN m = 2 AND i % 11 = 0 THEN 'profile_public_key' END, CASE WHEN m = 2 AND i % 8 = 0 THEN 'rule_update_public_key' END, CASE WHEN m = 2 AND i % 10 = 0 AND i <> 20 THEN 'profile_path or profile_url' END) AS violations FROM c""",
     "scan_dedup": f"WITH {verdicts()} SELECT * FROM verdicts",
     "scan_by_source": _group("source"),
     "scan_by_lang": _group("lang"),
@@ -176,7 +183,12 @@ ORACLE_SQL = {
     "accuracy_report": f"WITH {_SAMPLES}, k AS (SELECT {_RATES} FROM s) SELECT tp, fn, fp, tn, {_DERIVED}, total FROM k",
     "accuracy_by_lang": f"""WITH {_SAMPLES}, k AS (SELECT lang, 0 AS overall, {_RATES} FROM s GROUP BY lang UNION ALL SELECT NULL, 1, {_RATES} FROM s), t AS (SELECT lang, overall, tp, fn, fp, tn, {_DERIVED}, total FROM k)
 SELECT *, fn_rate <= CASE WHEN overall = 1 THEN {BUDGET["fn_rate"]} ELSE {BUDGET["category_fn_rate"]} END AND (overall = 0 OR fp_rate <= {BUDGET["fp_rate"]}) AS within_budget FROM t""",
-    "pattern_fp": f"WITH {_SAMPLES} SELECT pattern_name AS pattern, count(*) AS fp_count, round(count(*)::DOUBLE / (SELECT count(*) FROM s WHERE NOT expected), 9) AS fp_rate FROM s WHERE NOT expected AND blocked GROUP BY 1",
+    "pattern_fp": f"WITH {_SAMPLES} SELECT pattern_name AS pattern, count(*) AS fp_count, (SELECT count(*) FROM s WHERE NOT expected) AS total_negatives, round(count(*)::DOUBLE / (SELECT count(*) FROM s WHERE NOT expected), 9) AS fp_rate FROM s WHERE NOT expected AND blocked GROUP BY 1",
+    "pattern_fn": f"WITH {_SAMPLES} SELECT 'of ' || lang AS pattern, count(*) FILTER (WHERE NOT blocked) AS fn_count, count(*) AS total_positives, round((count(*) FILTER (WHERE NOT blocked))::DOUBLE / count(*), 9) AS fn_rate FROM s WHERE expected GROUP BY 1 HAVING fn_count > 0",
+    "report_examples": f"""WITH {_SAMPLES}, x AS (SELECT 'fp' AS kind, pattern_name AS pattern, sample_id FROM s WHERE NOT expected AND blocked UNION ALL SELECT 'fn', lang, sample_id FROM s WHERE expected AND NOT blocked),
+y AS (SELECT *, row_number() OVER (PARTITION BY kind, pattern ORDER BY sample_id) AS k FROM x)
+SELECT kind, pattern, string_agg(sample_id::VARCHAR, ',' ORDER BY sample_id) AS example_ids FROM y WHERE k <= 5 GROUP BY 1, 2""",
+    "corpus_categories": f"WITH {verdicts()}, k(pattern, category) AS (VALUES {', '.join(f'({q(p.name)}, {q(p.category)})' for p in PATTERNS if p.category != 'network')}) SELECT coalesce(k.category, 'other_generic') AS corpus_category, count(*) AS n FROM verdicts v LEFT JOIN k ON k.pattern = v.pattern_name WHERE v.blocked GROUP BY 1",
     "accuracy_regression": f"""WITH {_SAMPLES}, k AS (SELECT lang, {_RATES} FROM s GROUP BY lang), b AS (SELECT lang, {_DERIVED} FROM k),
 n AS (SELECT lang, {_RATES} FROM (SELECT lang, expected, blocked OR lang = 'fr' AS blocked FROM s WHERE lang <> 'es') GROUP BY lang), m AS (SELECT lang, {_DERIVED} FROM n)
 SELECT b.lang, CASE WHEN m.lang IS NULL THEN 'missing' WHEN m.recall < b.recall - {RECALL_DROP} THEN 'recall' WHEN m.fp_rate > b.fp_rate + {FP_RISE} THEN 'false positives' END AS violation FROM b LEFT JOIN m ON m.lang = b.lang""",
@@ -185,8 +197,9 @@ SELECT b.lang, CASE WHEN m.lang IS NULL THEN 'missing' WHEN m.recall < b.recall
 SELECT vec_id, round(m, 6) AS margin, CASE WHEN round(m, 6) >= 0.1 THEN 'likely_benign' ELSE 'unknown' END AS verdict FROM n""",
     "linear_head": f"WITH {_HEAD} SELECT round(b, 6) AS bias, (SELECT round(w, 6) FROM w WHERE i = 0) AS first_weight, (SELECT count(*) FROM proj, bias WHERE label = 0 AND p + b > 0) AS tp_right, (SELECT count(*) FROM proj, bias WHERE label = 1 AND p + b <= 0) AS tn_right FROM bias",
     "disambiguator_scores": f"WITH {_HEAD} SELECT vec_id, round((exp(2 * (p + b)) - 1) / (exp(2 * (p + b)) + 1), 6) AS head_score FROM proj, bias",
-    "scan_with_ml": f"""WITH {scored()}, t AS (SELECT *, {_case(_threshold, "4")} AS lim, CASE WHEN content_id % 2 = 0 THEN 1 ELSE -1 END AS ml FROM scored),
-m AS (SELECT content_id, pattern, num_matches, suppressed, lim, score + CASE WHEN abs(score - lim) <= 1 THEN ml ELSE 0 END AS score FROM t),
+    "scan_with_ml": f"""WITH {scored()}, {_HEAD}, hs AS (SELECT vec_id, round((exp(2 * (p + b)) - 1) / (exp(2 * (p + b)) + 1), 6) AS head FROM proj, bias),
+t AS (SELECT scored.*, {_case(_threshold, "4")} AS lim, coalesce(round(hs.head), 0) AS ml FROM scored LEFT JOIN hs ON hs.vec_id = content_id),
+m AS (SELECT content_id, pattern, num_matches, suppressed, lim, CAST(score + CASE WHEN abs(score - lim) <= 1 THEN ml ELSE 0 END AS BIGINT) AS score FROM t),
 b AS (SELECT content_id, pattern, max(lim) AS lim, max(num_matches) AS num_matches, max(CASE WHEN NOT suppressed THEN score END) AS score FROM m GROUP BY 1, 2)
 SELECT content_id, pattern, num_matches, score, coalesce(score >= lim AND num_matches >= {_case(lambda p: str(p.min_matches), "0")}, FALSE) AS blocked FROM b""",
     "tamper_edges": "WITH l AS (SELECT event_id, user_id, event_type <> 'error' AS ok, lag(event_type <> 'error', 1, TRUE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) SELECT event_id, user_id FROM l WHERE was AND NOT ok",

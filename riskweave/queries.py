@@ -15,11 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text")
+    return scan.spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text"))
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return scan.scored(scan.matches(_documents(spark, sf_dir), PATTERNS), PATTERNS, EXCLUSIONS)
+    return scan.scored(scan.matches(_documents(spark, sf_dir), PATTERNS, rules=EXCLUSIONS), PATTERNS, EXCLUSIONS)
 
 
 def classify_documents(spark, sf_dir):
@@ -59,8 +59,32 @@ def scan_documents(spark, sf_dir):
 
 
 def scan_conversations(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("content_id"), "text")
-    return scan.scan(rows, PATTERNS, EXCLUSIONS)
+    rows = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("content_id"), "text")
+    return scan.scan(rows, PATTERNS, EXCLUSIONS).select("content_id.conv_id", "content_id.turn", "blocked", "pattern_name", "score")
+
+
+def scan_large(spark, sf_dir):
+    """The rule on large contents, with a size that many documents reach."""
+    return scan.scan(_documents(spark, sf_dir), PATTERNS, EXCLUSIONS, ScanConfig(large=2_000))
+
+
+def severity_guard(spark, sf_dir):
+    return scan.severity_guard(scan.candidates(_documents(spark, sf_dir), PATTERNS), PATTERNS)
+
+
+def status_counts(spark, sf_dir):
+    """What a status page tells: categories, prefixes and patterns of the pack, hosts of the index."""
+    pack = spark.createDataFrame([(p.name, p.category, p.prefix) for p in PATTERNS], "name string, category string, prefix string")
+    hosts = domains.effective(domains.rule_table(spark, DOMAINS)).agg(F.count_if(~F.col("is_wildcard")).alias("exact_hosts"), F.count_if("is_wildcard").alias("wildcard_hosts"), F.count("*").alias("index_size"))
+    return report.pack_status(pack).crossJoin(F.broadcast(hosts))
+
+
+def config_violations(spark, sf_dir):
+    """Configurations made from the nations: each lacks other keys."""
+    i = F.col("n_nationkey")
+    some = lambda k, value: F.when(i % k != 0, value)
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.element_at(F.array(*map(F.lit, ("personal", "team", "managed"))), (i % 3 + 1).cast("int")).alias("mode"), some(2, F.array("n_name")).alias("allowed_extension_ids"), some(5, F.lit("/token")).alias("api_token_path"), (i % 7 != 0).alias("api_token_required"), (i % 4 != 0).alias("bridge_mac_required"), some(11, F.lit(" ab ")).alias("profile_public_key"), F.when(i % 8 == 0, "  ").otherwise("cd").alias("rule_update_public_key"), some(10, F.lit("/p")).alias("profile_path"), F.when(i == 20, "u").alias("profile_url"))
+    return policy.violations(rows).select("name", F.array_join("violations", ",").alias("violations"))
 
 
 def scan_dedup(spark, sf_dir):
@@ -133,7 +157,23 @@ def accuracy_by_lang(spark, sf_dir):
 
 
 def pattern_fp(spark, sf_dir):
-    return report.false_positives(_samples(spark, sf_dir)).select("pattern", "fp_count", "fp_rate")
+    return report.false_positives(_samples(spark, sf_dir)).select("pattern", "fp_count", "total_negatives", "fp_rate")
+
+
+def pattern_fn(spark, sf_dir):
+    rows = _samples(spark, sf_dir).withColumn("expected_pattern", F.concat(F.lit("of "), "lang"))
+    return report.false_negatives(rows).select("pattern", "fn_count", "total_positives", "fn_rate")
+
+
+def report_examples(spark, sf_dir):
+    rows = _samples(spark, sf_dir)
+    both = [report.false_positives(rows).select(F.lit("fp").alias("kind"), "pattern", "example_ids"), report.false_negatives(rows.withColumn("expected_pattern", F.col("lang"))).select(F.lit("fn").alias("kind"), "pattern", "example_ids")]
+    return both[0].unionByName(both[1]).select("kind", "pattern", F.array_join(F.transform("example_ids", lambda x: x.cast("string")), ",").alias("example_ids"))
+
+
+def corpus_categories(spark, sf_dir):
+    known = spark.createDataFrame([(p.name, p.category) for p in PATTERNS if p.category != "network"], "pattern string, corpus_category string")
+    return report.by_category_of(scan_documents(spark, sf_dir).where("blocked"), known).groupBy("corpus_category").agg(F.count("*").alias("n"))
 
 
 def accuracy_regression(spark, sf_dir):
@@ -170,8 +210,9 @@ def disambiguator_scores(spark, sf_dir):
 
 
 def scan_with_ml(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    rows = scan.matches(docs, PATTERNS).withColumn("ml_score", F.when(F.pmod("content_id", F.lit(2)) == 0, 0.6).otherwise(-0.6))
+    heads = disambiguator_scores(spark, sf_dir).select(F.col("vec_id").alias("_vec"), F.col("head_score").alias("_head"))
+    rows = scan.matches(_documents(spark, sf_dir), PATTERNS, rules=EXCLUSIONS)
+    rows = rows.join(heads, F.col("content_id") == F.col("_vec"), "left").withColumn("ml_score", F.coalesce("_head", F.lit(0.0)))
     cfg = ScanConfig(ml=1)
     return scan.pattern_verdicts(scan.scored(rows, PATTERNS, EXCLUSIONS, cfg), PATTERNS, cfg).select("content_id", "pattern", "num_matches", "score", "blocked")
 
@@ -242,8 +283,8 @@ def clipboard_throttle(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        classify_documents, classify_conversations, prefix_candidates, regex_matches, match_entropy, hotword_context, exclusion_eval, score_matches, scan_documents, scan_conversations, scan_dedup, scan_by_source, scan_by_lang, blocked_counters,
-        resolve_page_hosts, dns_verdicts, tier2_hosts, rule_precedence, override_merge, accuracy_report, accuracy_by_lang, pattern_fp, accuracy_regression, centroids, prefilter_verdicts, linear_head, disambiguator_scores, scan_with_ml,
+        classify_documents, classify_conversations, prefix_candidates, severity_guard, status_counts, config_violations, scan_large, regex_matches, match_entropy, hotword_context, exclusion_eval, score_matches, scan_documents, scan_conversations, scan_dedup, scan_by_source, scan_by_lang, blocked_counters,
+        resolve_page_hosts, dns_verdicts, tier2_hosts, rule_precedence, override_merge, accuracy_report, accuracy_by_lang, pattern_fp, pattern_fn, report_examples, corpus_categories, accuracy_regression, centroids, prefilter_verdicts, linear_head, disambiguator_scores, scan_with_ml,
         tamper_edges, counter_deltas, last_notifications, id_rollback, byte_budget, enforcement_decisions, risky_extensions, manifest_delta, clipboard_fingerprints, rate_limit, clipboard_throttle,
     )
 }

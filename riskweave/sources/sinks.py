@@ -5,18 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.operators.policy import DLP_KEYS, valid_config
+
 COUNTERS = ("dns_queries", "dns_blocks", "dlp_scans", "dlp_blocks", "tamper_events")
 
 
+def _places(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, old, now = (jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in (".new", ".old", ""))
+    return now.getFileSystem(conf), new, old, now
+
+
 def replaced(df: DataFrame, path: str) -> None:
-    """Writes beside the table and then renames, so that a reader sees the old or the new one, and a plan may read what it replaces."""
+    """Writes beside the table, moves the table aside and the new one in its place, so a plan may read what it replaces. What a crash leaves at any step, recovered() puts right: the old table or the whole new one is always there."""
     spark = df.sparkSession
+    recovered(spark, path)
     df.write.mode("overwrite").parquet(f"{path}.new")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    where = old.getFileSystem(conf)
+    where, new, old, now = _places(spark, path)
+    if where.exists(now):
+        where.rename(now, old)
+    where.rename(new, now)
     where.delete(old, True)
-    where.rename(new, old)
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Ends a replacement that was cut off; whether the table is there. A new table counts once its writer has marked it as whole."""
+    where, new, old, now = _places(spark, path)
+    if not where.exists(now):
+        whole = where.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.new/_SUCCESS"))
+        if where.exists(old):
+            where.rename(new if whole else old, now)
+        else:  # the first table, perhaps cut off before its move
+            return whole and where.rename(new, now)
+    where.delete(old, True)
+    return True
 
 
 def zero_counters(spark: SparkSession) -> DataFrame:
@@ -32,6 +54,30 @@ def append_version(spark: SparkSession, path: str, version: str, number: int) ->
     spark.createDataFrame([(number, version)], "id long, version string").write.mode("append").parquet(path)
 
 
+def reset_counters(spark: SparkSession, path: str) -> None:
+    replaced(zero_counters(spark), path)
+
+
+def read_policies(spark: SparkSession, path: str) -> DataFrame:
+    """Policies in order of category."""
+    return spark.read.parquet(path).select("category", "action").orderBy("category")
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*COUNTERS)
+
+
+def replace_config(config: DataFrame, path: str) -> None:
+    """Replaces the one row of scan numbers, if they are valid."""
+    if config.count() != 1 or config.where(valid_config()).isEmpty():
+        raise ValueError("one row of valid numbers is wanted")
+    replaced(config.select(*DLP_KEYS), path)
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*DLP_KEYS)
+
+
 def newest_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.max_by("version", "id").alias("version"))
 

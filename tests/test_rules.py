@@ -1,5 +1,7 @@
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import domains, ordered, policy, report, vectors
@@ -25,13 +27,21 @@ def test_report(spark):
     r = report.accuracy(rows).head()
     assert (r.tp, r.fn, r.fp, r.tn, r.precision, r.recall, r.f1) == (1, 1, 1, 1, 0.5, 0.5, 0.5)
     assert report.false_positives(rows).head().example_ids == [3]
-    assert report.false_negatives(rows).head().pattern == "p"
+    assert tuple(report.false_negatives(rows).head()) == ("p", 1, 2, 0.5, [2])  # of those that expect p, found or missed
+    many = spark.createDataFrame([(i, False, True, "q" if i else "r", None) for i in range(8)], rows.schema)
+    assert [(r.pattern, r.fp_count, r.total_negatives, r.fp_rate, r.example_ids) for r in report.false_positives(many).collect()] == [("q", 7, 8, 0.875, [1, 2, 3, 4, 5]), ("r", 1, 8, 0.125, [0])]
+    kinds = report.by_category_of(many, spark.createDataFrame([("q", "c")], "pattern string, corpus_category string"))
+    assert {(r.pattern_name, r.corpus_category) for r in kinds.collect()} == {("q", "c"), ("r", "other_generic")}
     assert report.accuracy(rows.limit(0)).head().f1 == 0.0
 
 
 def test_token_bucket_and_throttle(spark):
     rows = spark.createDataFrame([("a", float(t), i, m) for i, (t, m) in enumerate([(0, "x"), (0, "x"), (0, "y"), (1, "y"), (3, "x")])], "k string, s double, i long, m string")
     assert [r.allowed for r in ordered.token_bucket(rows, "k", "s", "i", 1.0, 2.0).orderBy("i").collect()] == [True, True, False, True, True]
+    nobody = spark.createDataFrame([(None, 0.0, i, "x") for i in range(5)], rows.schema)
+    assert [r.allowed for r in ordered.token_bucket(nobody, "k", "s", "i", 1.0, 2.0).orderBy("i").collect()] == [True, True, False, False, False]
+    assert [r.accepted for r in ordered.throttled(nobody, "k", "s", "i", "m").orderBy("i").collect()] == [True, False, False, False, False]
+    assert all(r.allowed for r in ordered.token_bucket(nobody, "k", "s", "i", 0.0, 2.0).collect())
     got = [r.accepted for r in ordered.throttled(rows, "k", "s", "i", "m").orderBy("i").collect()]
     assert got == [True, False, False, False, False]
 
@@ -45,8 +55,47 @@ def test_joined_files(spark):
 def test_enforcement_and_validation(spark):
     rows = spark.createDataFrame([("managed", 2 << 20, None, None, None), ("team", 10, None, None, None), ("personal", 10, True, "p", 4), ("personal", 10, False, "", 0)], "mode string, size long, blocked boolean, pattern_name string, score long")
     assert [(r.decision, r.effective_pattern) for r in policy.enforced(rows).collect()] == [("block", "policy:oversize"), ("warn", "policy:agent-unavailable"), ("block", "p"), ("allow", "")]
-    config = spark.createDataFrame([("n", "managed", None, "u", "allow", 1)], "name string, mode string, profile_url string, heartbeat_url string, action string, threshold int")
-    assert policy.violations(config).head().violations == ["managed mode needs a profile"]
+    config = spark.createDataFrame([("n", "managed", ["  "], " ", True, None), ("t", "team", [None, "x"], "/t", True, None), ("p", "personal", None, None, None, None), ("m", "managed", ["x"], "/t", False, "/p")], "name string, mode string, allowed_extension_ids array<string>, api_token_path string, api_token_required boolean, profile_path string")
+    keys = ["bridge_mac_required", "profile_public_key", "rule_update_public_key"]
+    assert {r.name: r.violations for r in policy.violations(config).collect()} == {"n": ["allowed_extension_ids", "api_token_path", *keys, "profile_path or profile_url"], "t": [], "p": [], "m": ["api_token_required", *keys]}
+
+
+def test_profile(spark, tmp_path):
+    config = spark.createDataFrame([(1, 2, 3, 4, 2, 1, -2, -3, 1)], ", ".join(f"{k} int" for k in policy.DLP_KEYS))
+    policies = spark.createDataFrame([("Social", "allow"), ("News", "deny")], "category string, action string")
+    change = lambda v: spark.createDataFrame([v], "threshold_high int, threshold_low int, entropy_penalty int")
+    new, numbers = policy.applied_profile(policies, config, spark.createDataFrame([("News", "allow")], policies.schema), change((5, 0, None)))
+    assert {tuple(r) for r in new.collect()} == {("Social", "allow"), ("News", "allow")} and list(numbers.head()) == [1, 5, 3, 4, 2, 1, -2, -3, 1]
+    with pytest.raises(ValueError, match="range"):
+        policy.applied_profile(policies, config, policies, change((-5, 0, None)))
+    with pytest.raises(ValueError, match="category"):
+        policy.applied_profile(policies, config, spark.createDataFrame([("Nonsense", "allow")], policies.schema), change((5, 0, None)))
+    sinks.replace_config(numbers, str(tmp_path / "c"))
+    assert sinks.read_config(spark, str(tmp_path / "c")).head().threshold_high == 5
+    with pytest.raises(ValueError, match="valid"):
+        sinks.replace_config(numbers.withColumn("exclusion_penalty", F.lit(1)), str(tmp_path / "c"))
+    sinks.replaced(new, str(tmp_path / "p"))
+    assert [r.category for r in sinks.read_policies(spark, str(tmp_path / "p")).collect()] == ["News", "Social"]
+
+
+def test_replacement_cut_off(spark, tmp_path):
+    """Whatever step a crash hits, the old table or the whole new one is there afterwards."""
+    path = str(tmp_path / "t")
+    table = lambda n, where: spark.createDataFrame([(n,)], "n long").write.parquet(where)
+    read = lambda: [r.n for r in spark.read.parquet(path).collect()] if sinks.recovered(spark, path) else None
+    assert read() is None
+    table(1, path + ".new")
+    os.remove(path + ".new/_SUCCESS")
+    assert read() is None  # not written whole
+    open(path + ".new/_SUCCESS", "w").close()
+    assert read() == [1]
+    os.rename(path, path + ".old")
+    assert read() == [1]
+    table(2, path + ".new")
+    os.rename(path, path + ".old")  # between the two moves
+    assert read() == [2] and not os.path.exists(path + ".old")
+    sinks.replaced(spark.read.parquet(path).select(F.col("n") + 1), path)
+    assert [r[0] for r in spark.read.parquet(path).collect()] == [3]
 
 
 def test_vectors(spark):
@@ -83,6 +132,60 @@ def test_streaming_counters(spark, tmp_path):
     flush = jobs.flush_into(str(tmp_path / "sum"), counters)
     stream = spark.readStream.schema("blocked boolean").parquet(str(tmp_path / "in"))
     stream.writeStream.foreachBatch(flush).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    os.rename(tmp_path / "sum", tmp_path / "sum.old")  # cut off while it was replaced
     flush(spark.read.parquet(str(tmp_path / "in")), 0)  # the same batch again adds nothing
     r = spark.read.parquet(str(tmp_path / "sum")).head()
     assert (r.dlp_scans, r.dlp_blocks) == (3, 2)
+
+
+def test_answers_for_repeated_content(spark, tmp_path):
+    from riskweave.streaming import jobs
+
+    seen, now, rules = [], [0.0], ["1"]
+
+    def scan(rows):
+        seen.append(sorted(r.text for r in rows.collect()))
+        return rows.select("content_id", F.col("text").contains("bad").alias("blocked"))
+
+    answer = jobs.answering(str(tmp_path / "cache"), str(tmp_path / "out"), scan, 5.0, lambda: rules[0], lambda: now[0])
+    batch = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "content_id long, text string")
+    answer(batch("bad", "ok", "bad"), 0)
+    now[0] = 4.0
+    answer(batch("ok", "new"), 1)
+    now[0] = 7.0
+    answer(batch("ok", "new"), 2)  # the first is stale, the second is held
+    rules[0] = "2"
+    answer(batch("new"), 3)  # other rules
+    assert seen == [["bad", "ok"], ["new"], ["ok"], ["new"]]
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("batch").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad")).orderBy("batch")
+    assert [tuple(r) for r in got.collect()] == [(0, 3, 2), (1, 2, 0), (2, 2, 0), (3, 1, 0)]
+
+
+@pytest.fixture
+def ending(spark):
+    """Streams with a time-out on keys run empty batches for ever unless these are turned off."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_keyed_streams(spark, tmp_path, ending):
+    from riskweave.streaming import jobs
+
+    rows = [("a", 0.0, True, "x"), ("a", 1.0, False, "x"), ("a", 2.0, False, "y"), ("a", 4.0, None, "y"), ("a", 5.0, False, "z"), ("b", 0.0, False, "x")]
+    spark.createDataFrame(rows, "k string, s double, ok boolean, m string").coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run(name, f):
+        stream = spark.readStream.schema("k string, s double, ok boolean, m string").parquet(str(tmp_path / "in"))
+        f(stream).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}.cp")).trigger(availableNow=True).start().awaitTermination(120)
+        return [(r.k, r.s) for r in spark.read.parquet(str(tmp_path / name)).where(F.col(name)).orderBy("k", "s").collect()]
+
+    assert run("edge", lambda x: jobs.tamper_edges(x, "k", "s", "ok")) == [("a", 1.0), ("a", 5.0), ("b", 0.0)]
+    assert run("accepted", lambda x: jobs.throttled(x, "k", "s", "m")) == [("a", 0.0), ("a", 2.0), ("a", 5.0), ("b", 0.0)]
+    assert run("hello", lambda x: jobs.hello_once(x, "k", "s")) == [("a", 0.0), ("b", 0.0)]
+    assert run("allowed", lambda x: jobs.limited(x, "k", "s", 0.5, 1.0)) == [("a", 0.0), ("a", 2.0), ("a", 4.0), ("b", 0.0)]
+
+
+def test_first_of(spark):
+    rows = spark.createDataFrame([("f", 1, 2, "late"), ("f", 1, 1, "first"), (None, 1, 3, "n"), (None, 1, 4, "m")], "name string, size int, o int, t string")
+    assert sorted(r.t for r in ordered.first_of(rows, ["name", "size"], ["o"]).collect()) == ["first", "n"]

@@ -18,6 +18,33 @@ def test_content_types(spark):
     assert [r.k for r in df.orderBy("i").select(T.content_type(F.col("t")).alias("k")).collect()] == KINDS
 
 
+def test_content_types_as_expected(spark):
+    """Expected classes written out: sources, structured data, settings, prose."""
+    cases = [
+        ("code", 'package main\n\nimport "fmt"\nimport "os"\n\nfunc main() {\n\tfmt.Println(os.Args)\n}'),
+        ("code", "from collections import defaultdict\ndef foo(x):\n    return x\n\nclass Bar:\n    pass"),
+        ("code", "fn main() {\n}\nfn other(x: u8) {\n}"),
+        ("natural", "return home\nreturn soon\nif (ever) you can"),
+        ("structured", '{"user": "alice", "id": 42, "tags": ["a", "b"]}'),
+        ("structured", "name,age,city\nalice,30,nyc\nbob,25,sfo\ncarol,40,la\ndan,35,bos"),
+        ("credentials", "AWS_ACCESS_KEY_ID=AKIA1234\nAWS_SECRET_ACCESS_KEY=secret\nDATABASE_URL=postgres://user:pw@host\nAPI_TOKEN=abcdef"),
+        ("credentials", "key=one two\nother: x\nthird=y z"),
+        ("natural", "This is a paragraph of plain text with many spaces and ordinary words."),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "i int, t string")
+    assert [r.k for r in df.orderBy("i").select(T.content_type(F.col("t")).alias("k")).collect()] == [k for k, _ in cases]
+
+
+def test_many_matches_and_windows(spark):
+    """Offsets and the bytes around each of many matches, across blocks."""
+    text = "é" + " ".join(f"x{i:03d}" for i in range(400))
+    p = Pattern("n", "x[0-9]{3}", severity="critical", hotwords=("h",), hotword_window=7)
+    b = text.encode()
+    want = {(m.start(), m.end(), b[max(0, m.start() - 7) : m.start()], b[m.end() : m.end() + 7]) for m in re.finditer(rb"x[0-9]{3}", b)}
+    got = scan.matches(spark.createDataFrame([(1, text), (2, ""), (3, None)], "content_id long, text string"), [p]).collect()
+    assert {(r.start, r.stop, bytes(r.before), bytes(r.after)) for r in got} == want and len(got) == 400
+
+
 @pytest.mark.parametrize("value", ["", "aaaa", "abcd", "né€a"])
 def test_entropy(spark, value):
     b = value.encode()
@@ -62,6 +89,19 @@ def test_exclusions(spark):
     assert verdict(spark, "a@example.com", [p], [Exclusion("other", "regex", pattern="a", suppress=True)])[0] is True
 
 
+def test_words_of_rules_are_trimmed(spark):
+    p = Pattern("mail", r"[a-z]+@[a-z.]+", "@", "critical", 2)
+    blank = Pattern("mail", r"[a-z]+@[a-z.]+", "@", "critical", 2, hotwords=(" ", ""), hotword_window=9)
+    near = Exclusion("*", "dictionary", (" sample ",))
+    assert verdict(spark, "x a@example.com", [blank])[2] == 2  # a blank word is near nothing
+    assert verdict(spark, "x a@example.com", [p], [Exclusion("*", "dictionary", ("", " "))])[2] == 2
+    assert verdict(spark, "a sample, a@example.com", [p], [near])[0] is False
+    assert verdict(spark, "sample@example.com", [p], [near])[0] is True  # a word within the match itself
+    # only the first place of the value is left out, here the one before the match
+    assert verdict(spark, "sample@b.sample@b.c sample@b", [p], [near])[0] is False
+    assert verdict(spark, " a@example.com", [p], [Exclusion("mail", "dictionary", (" a@example.com ",), match_type="exact")])[0] is False
+
+
 def test_large_contents_keep_severe_patterns_only(spark):
     low, high = Pattern("low", "xx1", "xx1", "low", 5), Pattern("high", "xx2", "xx2", "critical", 5)
     text = "xx1 xx2 " + "." * 200
