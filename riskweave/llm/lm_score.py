@@ -63,7 +63,8 @@ class Lattice:
     def _edges(self, codes: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each length: score of the piece that starts at each place (-inf: none), the places that have one, and its index (-1: bytes)."""
         h, n, out, power = self._prefix(codes), codes.shape[1], [], np.uint64(1)
-        powers = [power := power * _P for _ in range(max(self.lengths, default=1))]
+        with np.errstate(over="ignore"):  # powers modulo 2^64
+            powers = [power := power * _P for _ in range(max(self.lengths, default=1))]
         for size in [x for x in self.lengths if x <= n] or [1]:
             part = h[:, size:] - h[:, :-size] * powers[size - 1]
             flat = part.ravel()

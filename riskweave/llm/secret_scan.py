@@ -120,8 +120,8 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in columns.items()})
 
 
-def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """Findings made by rule: text (one candidate with its words around) and label 1 for secrets. Random strings of usual formats with and without a key are secrets; digests, identifiers, placeholders, versions, numbers, addresses and paths are not."""
+def labelled_findings(spark: SparkSession, n: int = LABELLED, first: int = 0) -> DataFrame:
+    """n findings made by rule, the same for the same numbers from first on: text (one candidate with its words around) and label 1 for secrets. Random strings of usual formats with and without a key are secrets; digests, identifiers, placeholders, versions, numbers, addresses and paths are not."""
     i = F.col("id")
     salt = lambda k: F.sha2(F.concat_ws("-", F.lit(k), i.cast("string")), 256)
     pick = lambda k, values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.lit(k), i), F.lit(len(values))) + 1).cast("int"))
@@ -170,7 +170,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat_ws(".", *[size(f"ip{k}", 100, 255).cast("string") for k in range(4)]),
     ]
     choose = lambda forms, k: F.element_at(F.array(*forms), (F.pmod(F.xxhash64(F.lit(k), i), F.lit(len(forms))) + 1).cast("int"))
-    rows = spark.range(0, n, 1, 4).withColumn("label", F.pmod(i, F.lit(2)).cast("double"))
+    rows = spark.range(first, first + n, 1, 4).withColumn("label", F.pmod(i, F.lit(2)).cast("double"))
     return rows.select(F.concat(pick("lead", ["and the ", "of ", "stet. ", "in a "]), F.when(i % 2 == 1, choose(secrets, "s")).otherwise(choose(plain, "p"))).alias("text"), "label")
 
 

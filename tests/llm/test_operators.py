@@ -225,12 +225,11 @@ def forest(spark):
     return secret_scan.fitted(secret_scan.labelled_findings(spark))
 
 
-def test_secrets_held_out(spark):
-    model = secret_scan.fitted(secret_scan.labelled_findings(spark))
-    fresh = secret_scan.labelled_findings(spark, 9_000).withColumn("doc_id", F.monotonically_increasing_id())
-    fresh = fresh.where(F.pmod(F.xxhash64("text"), F.lit(3)) == 0)
-    said = secret_scan.scored_candidates(fresh, model).join(fresh.select("doc_id", "label"), "doc_id").where("value is not null")
-    assert said.where((F.col("probability") >= 0.5) == (F.col("label") == 1)).count() > 0.95 * said.count()
+def test_secrets_held_out(spark, forest):
+    fresh = secret_scan.labelled_findings(spark, 3_000, first=10 * secret_scan.LABELLED).withColumn("doc_id", F.monotonically_increasing_id())
+    said = secret_scan.scored_candidates(fresh, forest).join(fresh.select("doc_id", "label"), "doc_id").where("value is not null")
+    r = said.agg(*[F.count_if((F.col("probability") >= 0.5).eqNullSafe(a) & (F.col("label") == b)) for a, b in ((True, 1), (True, 0), (False, 1), (False, 0))]).head()
+    assert r[0] > 0.95 * (r[0] + r[2]) and r[0] > 0.95 * (r[0] + r[1])
 
 
 @pytest.mark.parametrize("form", ['{{"api_key":"{}"}}', "https://h.io/x?access_token={}", "S3_SECRET={}", 'login(token="{}")', "<token>{}</token>", "[1,2]x('a').password:{},user=bob", r'{{\"password\":\"{}\"}}'])
