@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents to token files in five stages, each written and read again."""
+"""The corpus pipeline: documents to token files in five stages, each written and read again.
+
+Each stage judges rows, not ids: rows without doc_id and rows that share one are documents of their
+own, kept or dropped by their own text. Null and blank texts fail the quality rules. Equal rows are
+copies, of which the near-duplicates stage leaves one. An empty table passes every stage as an empty one.
+Columns besides those of documents are dropped.
+"""
 
 from __future__ import annotations
 
@@ -20,21 +26,26 @@ DRAW = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality.quality(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return quality.quality(docs.select(COLUMNS), carry=COLUMNS).where("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the least doc_id; of rows that repeat one id, one."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of each group of near copies: the one with the least doc_id (of several texts under it, the one with the least hash; of equal rows, one). Blank texts are in no group and stay."""
+    found = near_dedup.near_duplicates(docs, detailed=True)
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("row"))
+    # ids may be null; within one struct column null equals null, and join and de-duplication share a partitioning
+    first = first.select(F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")).alias("_key"))
+    mark = F.xxhash64(F.col("text").cast("string"))
+    blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    keyed = docs.where(~blank).select(*COLUMNS, F.struct(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark")).alias("_key"))
+    groups = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"])
+    return groups.select(COLUMNS).unionByName(docs.where(blank).select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where(decontaminate.contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+    found = decontaminate.contamination(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS)
+    return found.where(~decontaminate.contaminated()).select(COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +71,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("source mix", source_mix), ("token files", token_output)]
 
-#: Estimation, components and files are beyond SQL; tests hold each stage against a brute-force version.
+#: Estimation, components and files are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
