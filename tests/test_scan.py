@@ -123,3 +123,10 @@ def test_fingerprint(spark):
         h = (h ^ int.from_bytes(units[i : i + 2])) * 16777619 & 0xFFFFFFFF
     got = spark.createDataFrame([(text,)], "t string").select(T.fingerprint(F.col("t"))).head()[0]
     assert got == f"{len(units) // 2}:{h:x}"
+
+
+def test_internal_addresses(spark):
+    inside = ["::1", "::", "0:0:0:0:0:0:0:1", "FE80::1%eth0", "fd00::5", "ff02::1", "::ffff:10.0.0.1", "127.0.0.1", "172.31.0.1"]
+    outside = ["2001:db8::1", "::ffff:8.8.8.8", "8.8.8.8", "172.32.0.1", "1::1", "host", ""]
+    df = spark.createDataFrame([(x,) for x in [*inside, *outside]], "ip string")
+    assert {r.ip for r in df.where(T.is_internal_ip(F.col("ip"))).collect()} == set(inside)
