@@ -3,9 +3,10 @@
 The vocabulary is a given subword model's; it is not trained. Its pieces' order gives first
 probabilities (by rank), and expectation over all segmentations of all training words, weighted
 by their counts, re-estimates them. A word's probability is the sum over all its segmentations,
-by a log-space forward recursion, a character without a piece of its own costing its bytes; a
-word that training texts hold has one edge more, from start to end, weighted by its share there,
-and the share of words seen once (Good-Turing) is left to the pieces. A text is its words and one end, whose share among training tokens is its probability.
+by a log-space forward recursion, a character without a piece of its own costing its bytes. A text
+is its words and one end, whose share among training tokens is its probability. That is `score`.
+`word_score` is of a lattice with one edge more for each word that training texts hold, from start
+to end, weighted by its share there; the share of words seen once (Good-Turing) is left to the pieces.
 
 Each distinct word is scored once. Counts of all words go through one aggregation; the most
 frequent words (HEAD at most) are broadcast and added up where the text is read, and only the
@@ -177,8 +178,8 @@ def _scoring(path: str, logp: np.ndarray, byte_logp: float, total: int, novel: f
                 out[at] = lattice.marginal(codes)
             with np.errstate(divide="ignore"):
                 whole = np.log(batch.column("c").to_numpy() / max(total, 1)) + np.log1p(-novel)
-            out = np.logaddexp(out + np.log(novel), whole)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), batch.column("c"), pa.array(out)], ["word", "n", "c", "logp"])
+            edged = np.logaddexp(out + np.log(novel), whole)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), batch.column("c"), pa.array(out), pa.array(edged)], ["word", "n", "c", "logp", "edged"])
 
     return run
 
@@ -194,21 +195,22 @@ def _adding(head):
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 base += 1
                 words = (text or b"").lower().split()
-                n_known, base_score, logp, rest = 0, 0.0, 0.0, []
+                n_known, base_score, logp, edged, rest = 0, 0.0, 0.0, 0.0, []
                 for w, n in Counter(words).items():
                     if (x := known.get(w)) is None:
-                        rest.append((doc, base, w, n, 0, 0.0, 0.0))
+                        rest.append((doc, base, w, n, 0, 0.0, 0.0, 0.0))
                     else:
                         n_known += n * x[0]
                         base_score += n * x[1]
                         logp += n * x[2]
-                rows.append((doc, base, None, len(words), n_known, base_score, logp))
+                        edged += n * x[3]
+                rows.append((doc, base, None, len(words), n_known, base_score, logp, edged))
                 rows += rest
             columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             arrays[2] = arrays[2].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "word", "n", "n_known", "base", "logp"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "word", "n", "n_known", "base", "logp", "edged"])
 
     return run
 
@@ -220,7 +222,7 @@ def _log(counts: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def lm_scores(docs: DataFrame, vocabulary_path: str, fold: tuple[int, int] = (5, 1), turns: int = TURNS, head: int = HEAD) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Held out: crc32(doc_id as text) mod fold[0] is fold[1]."""
+    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score. Held out: crc32(doc_id as text) mod fold[0] is fold[1]."""
     sc = docs.sparkSession.sparkContext
     held_out = F.coalesce(remainder(F.col("doc_id"), fold[0]) == fold[1], F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -238,7 +240,7 @@ def lm_scores(docs: DataFrame, vocabulary_path: str, fold: tuple[int, int] = (5,
         for r in rows.collect():  # as many rows as the vocabulary has pieces at most
             uses[r.piece] = r.uses
         logp, byte_logp = _log(uses)
-    scored = stored(words.mapInArrow(_scoring(vocabulary_path, logp, byte_logp, c_sum, (once + 1) / (c_sum + 2)), "word string, n long, c long, logp double"), "scored")
+    scored = stored(words.mapInArrow(_scoring(vocabulary_path, logp, byte_logp, c_sum, (once + 1) / (c_sum + 2)), "word string, n long, c long, logp double, edged double"), "scored")
     discard(words)
 
     p_end = (ends + 0.5) / (total + 1)
@@ -252,15 +254,16 @@ def lm_scores(docs: DataFrame, vocabulary_path: str, fold: tuple[int, int] = (5,
         if held > head:
             break
         least = r.step
-    top = scored.where((F.octet_length("word") <= HEAD_BYTES) & (F.floor(F.log2("n") * 8) >= (least if least is not None else 1 << 30))).select("word", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), "logp")
-    known = sc.broadcast({r.word.encode(): (r.known, r.base, r.logp) for r in top.toLocalIterator()})
-
-    parts = stored(docs.mapInArrow(_adding(known), "doc_id long, row_key long, word string, n long, n_known long, base double, logp double"), "parts")
-    rest = parts.where("word is not null").select("doc_id", "row_key", "word", "n").join(scored.select("word", "c", F.col("logp").alias("one")), "word")
-    rest = rest.select("doc_id", "row_key", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * base).alias("base"), (F.col("n") * F.col("one")).alias("logp"))
-    sums = parts.where("word is null").select("doc_id", "row_key", F.col("n").alias("n_tokens"), "n_known", "base", "logp").unionByName(rest)
-    sums = sums.groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "logp")])
+    top = scored.where((F.octet_length("word") <= HEAD_BYTES) & (F.floor(F.log2("n") * 8) >= (least if least is not None else 1 << 30))).select("word", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), "logp", "edged")
+    known = sc.broadcast({r.word.encode(): (r.known, r.base, r.logp, r.edged) for r in top.toLocalIterator()})
+
+    parts = stored(docs.mapInArrow(_adding(known), "doc_id long, row_key long, word string, n long, n_known long, base double, logp double, edged double"), "parts")
+    rest = parts.where("word is not null").select("doc_id", "row_key", "word", "n").join(scored.select("word", "c", F.col("logp").alias("one"), F.col("edged").alias("other")), "word")
+    rest = rest.select("doc_id", "row_key", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * base).alias("base"), (F.col("n") * F.col("one")).alias("logp"), (F.col("n") * F.col("other")).alias("edged"))
+    sums = parts.where("word is null").select("doc_id", "row_key", F.col("n").alias("n_tokens"), "n_known", "base", "logp", "edged").unionByName(rest)
+    sums = sums.groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "logp", "edged")])
     to_log10 = 1 / float(np.log(10))
+    text_score = lambda words: (F.col(words) + F.col("n_tokens") * goes_on + ends_here) * to_log10
     return sums.select(
         "doc_id", held_out.alias("held_out"), (F.col("n_tokens") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + float(np.log10((ends + 0.5) / below))).alias("base_score"), ((F.col("logp") + F.col("n_tokens") * goes_on + ends_here) * to_log10).alias("score"))
+        (F.col("base") + float(np.log10((ends + 0.5) / below))).alias("base_score"), text_score("logp").alias("score"), text_score("edged").alias("word_score"))

@@ -158,6 +158,39 @@ def test_lm_scores(odd):
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_lm_scores_against_all_segmentations(spark):
+    docs = [(i, t) for i, t in enumerate(["low lower low", "slow é low", "", None, "newer xq low", "lower lower"])]
+    path = tokenizer_path("piece_bpe_32k.model")
+    pieces = lm_score.vocabulary(path)
+    known = {x: k for k, x in enumerate(pieces)}
+    learn = [zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in docs]
+    words = [(t or "").split() for _, t in docs]
+    c = Counter(w for ws, on in zip(words, learn, strict=True) if on for w in ws)
+
+    def ways(s):  # every segmentation: pieces by number, -k for a character of k bytes without a piece
+        if not s:
+            return [()]
+        out = [(known[s[:n]], *rest) for n in range(1, len(s) + 1) if s[:n] in known for rest in ways(s[n:])]
+        return out if s[0] in known else out + [(-len(s[0].encode()), *rest) for rest in ways(s[1:])]
+
+    logp, one_byte = lm_score._log(np.append(1e6 / (np.arange(len(pieces)) + 10.0), 1.0))
+    weigh = lambda way: math.exp(sum(logp[k] if k >= 0 else -k * one_byte for k in way))
+    every = {w: ways("▁" + w) for ws in words for w in ws}
+    for _ in range(lm_score.TURNS):
+        uses = np.zeros(len(pieces) + 1)
+        for w, n in c.items():
+            total = sum(map(weigh, every[w]))
+            for way in every[w]:
+                for k in way:
+                    uses[max(k, -1)] += n * weigh(way) / total
+        logp, one_byte = lm_score._log(uses)
+    p_end = (sum(learn) + 0.5) / (sum(c.values()) + sum(learn) + 1)
+    want = [sum(math.log10(sum(map(weigh, every[w])) * (1 - p_end)) for w in ws) + math.log10(p_end) for ws in words]
+    for head in (0, 100_000):
+        got = lm_score.lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), path, head=head).orderBy("doc_id").collect()
+        assert [r.score for r in got] == pytest.approx(want, rel=1e-9)
+
+
 def test_marginals_and_expected_uses():
     pieces, p = ["▁", "a", "b", "ab", "▁a", "ba"], np.array([0.2, 0.2, 0.2, 0.15, 0.15, 0.1])
     net = lm_score.Lattice(pieces, np.log(p), math.log(1e-4))
