@@ -9,15 +9,22 @@ exact for every key of that universe: the first level that does not hold the key
 and no join with the list is needed. What tells entries apart (block or allow, the length) is the
 key itself and a cascade of its own for allowed entries.
 
-Levels are bit arrays of size in proportion to the keys they encode, built by a distributed
-aggregation of set bits. Keys are pairs of 64-bit hashes.
-
-Cases: null urls and those without `://` have an empty host and path and no keys. With no entry
-that fits the verdict is allow: the url is on no list. Repeated rows give repeated result rows.
+Levels are bit arrays, built by a distributed aggregation of set bits. The first level is as fine
+as the ratio of listed to all keys asks for, so that it takes about as many unlisted keys for
+listed as there are listed ones: the cascade grows with the list, and with the universe only by
+its logarithm. A list whose first level is over PART_BITS is dealt by a hash of the key into parts
+with a cascade each, which are broadcast and looked up one after the other; no size is refused.
+Keys are pairs of 64-bit hashes.
+
+Cases: null entries of the list are left out; null urls and those without `://` have an empty host and path and no keys. With no entry
+that fits the verdict is allow: the url is on no list. Repeated rows give repeated result rows; empty
+tables give none. Very long urls have at most a key for each label of the host and each listed
+length. Columns besides page_id and url are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, mixed, stored
 
-#: Bits a key at the first and at later levels, and hash functions: a first level of about 1 in 1,000 false positives, later ones of 1 in 2.
-FIRST_BITS, LATER_BITS, FIRST_HASHES, LATER_HASHES = 15, 2, 10, 1
-#: A level larger than this (bits) is refused, for it is broadcast.
-MOST_BITS = 1 << 31
+#: Bits a key and hash functions of later levels: about 4 in 10 false positives.
+LATER_BITS, LATER_HASHES = 2, 1
+#: Bits of a part's first level: the bound of what is broadcast and of what the driver holds of it at once (twice over, for blocked and allowed entries).
+PART_BITS = 1 << 27
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -84,12 +91,15 @@ class Cascade:
         return depth % 2 == 1
 
 
-def _level(keys: DataFrame, n: int, depth: int) -> Level:
-    """A Bloom filter of the keys (a, b): each task sets its bits, set bytes are joined by bit_or."""
-    per, k = (FIRST_BITS, FIRST_HASHES) if depth == 0 else (LATER_BITS, LATER_HASHES)
-    m = max(64, per * n)
-    if m > MOST_BITS:
-        raise ValueError(f"a level of {m} bits is over the bound of a broadcast")
+def first_level(listed: int, universe: int) -> tuple[float, int]:
+    """Bits a key and hash functions with which the first level takes about as many unlisted keys for listed as there are listed ones."""
+    k = max(1, math.ceil(math.log2(max(universe, 1) / max(listed, 1))))
+    return k / math.log(2), k
+
+
+def _level(keys: DataFrame, n: int, depth: int, per: float, k: int) -> Level:
+    """A Bloom filter of the keys (a, b): each task sets its bits, words of 32 are joined by bit_or."""
+    m = max(64, math.ceil(per * n))
 
     def set_bits(batches):
         for batch in batches:
@@ -100,8 +110,8 @@ def _level(keys: DataFrame, n: int, depth: int) -> Level:
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(word)], ["slot", "word"])
 
     words = np.zeros(-(-m // 32), "<u4")
-    for r in keys.mapInArrow(set_bits, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toLocalIterator():
-        words[r.slot] = r.word
+    found = keys.mapInArrow(set_bits, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()  # a row for 32 bits at most
+    words[found.column("slot").to_numpy()] = found.column("word").to_numpy()
     return Level(words.view(np.uint8), m, k, depth)
 
 
@@ -122,8 +132,9 @@ def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     outside = stored(universe.select("a", "b").join(inside, ["a", "b"], "left_anti").distinct(), "unlisted")
     levels: list[Level] = []
     n = inside.count()
+    first = first_level(n, n + outside.count())
     while n:
-        level = _level(inside, n, len(levels))
+        level = _level(inside, n, len(levels), *(first if not levels else (LATER_BITS, LATER_HASHES)))
         levels.append(level)
         wrong = stored(outside.mapInArrow(_taken(sc.broadcast(level)), "a long, b long"), "wrong")
         discard(outside)
@@ -132,38 +143,56 @@ def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     return Cascade(levels)
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """pages (page_id, url), rules (verdict, host, path) -> page_id, host, path, rule, verdict. An entry listed as both is blocked."""
+def _looked_up(made, part: int, parts: int):
+    """The keys of a part get their kind (2 blocked, 1 allowed, 0 neither); those of other parts keep theirs."""
+
+    def run(batches):
+        blocks, allows = made.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                rows = batch.slice(i, 4096)
+                keys, held = rows.column("hashes"), rows.column("kinds").flatten().to_numpy()
+                flat = keys.flatten()
+                a, b = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+                kind = np.where(blocks.holds(a, b), 2, np.where(allows.holds(a, b), 1, 0))
+                kind = pa.array(np.where(b % parts == part, kind, held).astype(np.int32))
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("page_id", "host", "path", "keys", "hashes")), pa.ListArray.from_arrays(pa.array(ends), kind)], ["page_id", "host", "path", "keys", "hashes", "kinds"])
+
+    return run
+
+
+def judged(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]], part_bits: int = PART_BITS) -> DataFrame:
+    """pages (page_id, url), rules (verdict, host, path), a table or a list -> page_id, host, path, rule, verdict. An entry listed as both is blocked."""
     spark = pages.sparkSession
-    lengths = sorted({len(p) for _, _, p in rules})
+    if isinstance(rules, list):
+        rules = spark.createDataFrame(rules, "verdict string, host string, path string")
+    entries = rules.select("verdict", F.concat("host", "path").alias("rule"), F.length("path").alias("length")).where("rule is not null")
+    lengths = sorted(r.length for r in entries.select("length").distinct().collect())  # as many as the longest listed path has characters, at most
     host, path = parsed(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths or [0]))
     rows = stored(rows, "pages")
     a, b = hashed(F.col("rule"))
     universe = stored(rows.select("keys").distinct().select(F.inline("keys")).select(a.alias("a"), b.alias("b")).distinct(), "universe")
-    blocked = [h + p for v, h, p in rules if v == "block"]
-    allowed = [h + p for v, h, p in rules if v == "allow" and h + p not in blocked]
-    made = []
-    for entries in (blocked, allowed):
-        keys = spark.createDataFrame([(x,) for x in entries], "rule string").select(a.alias("a"), b.alias("b"))
-        made.append(cascade(keys, universe))
-    discard(universe)
-    both = spark.sparkContext.broadcast(made)
-
-    def look_up(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                keys, (blocks, allows) = part.column("hashes"), both.value
-                flat = keys.flatten()
-                x, y = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
-                kind = pa.array(np.where(blocks.holds(x, y), 2, np.where(allows.holds(x, y), 1, 0)).astype(np.int32))
-                sizes = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "host", "path", "keys")), pa.ListArray.from_arrays(pa.array(sizes), kind)], ["page_id", "host", "path", "keys", "kinds"])
+    blocked = entries.where("verdict = 'block'").select("rule").distinct()
+    allowed = entries.where("verdict = 'allow'").select("rule").distinct().join(blocked, "rule", "left_anti")
+    lists = [stored(x.select(a.alias("a"), b.alias("b")), "list") for x in (blocked, allowed)]
+    per, _ = first_level(1, universe.count())
+    parts = max(1, *(math.ceil(per * x.count() / part_bits) for x in lists))
 
     id_type = rows.schema["page_id"].dataType.simpleString()
-    found = rows.withColumn("hashes", F.transform("keys", lambda k: F.struct(hashed(k.rule)[0].alias("a"), hashed(k.rule)[1].alias("b"))))
-    found = found.mapInArrow(look_up, f"page_id {id_type}, host string, path string, keys array<struct<rule:string,size:int>>, kinds array<int>")
+    schema = f"page_id {id_type}, host string, path string, keys array<struct<rule:string,size:int>>, hashes array<struct<a:bigint,b:bigint>>, kinds array<int>"
+    hashes = F.transform("keys", lambda k: F.struct(hashed(k.rule)[0].alias("a"), hashed(k.rule)[1].alias("b")))
+    found = rows.withColumns({"hashes": hashes, "kinds": F.transform("keys", lambda k: F.lit(0))})
+    for part in range(parts):
+        mine = F.pmod("b", F.lit(parts)) == part
+        made = spark.sparkContext.broadcast([cascade(x.where(mine), universe.where(mine)) for x in lists])
+        found = found.mapInArrow(_looked_up(made, part, parts), schema)
+        if part + 1 < parts:  # so that one part's cascades are in use at a time
+            held, found = found, stored(found, "judged")
+            made.destroy()
+            discard(held)
+    discard(universe, *lists)
     fits = F.filter(F.zip_with("keys", "kinds", lambda k, v: F.struct(k["size"].alias("size"), k.rule.alias("rule"), v.alias("kind"))), lambda k: k.kind > 0)
     best = F.array_max(fits)
     return found.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.when(F.col("best.kind") == 2, "block").otherwise("allow").alias("verdict"))

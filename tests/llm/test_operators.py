@@ -227,6 +227,30 @@ def test_urls(spark):
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [("a.example.com", "/en/7198", "example.com/en/7", "allow"), ("a.example.com", "/en/1", "com/en/", "block"), ("example.net", "/de/81", "example.net/de/8", "block"), ("example.net", "/de/1", "net/de/", "allow"), ("org", "/es/", "org/es/", "block"), ("", "", None, "allow"), ("", "", None, "allow"), ("notcom", "/en/", None, "allow"), ("b.example.org", "/fr/", None, "allow"), ("a.example.com", "/en/7198", "example.com/en/7", "allow")]
 
 
+def test_url_rules_from_a_table_in_parts(spark):
+    hosts = [f"h{i % 97}.d{i % 13}.org" for i in range(1500)]
+    urls = [f"http://{h}/{'abc'[i % 3]}/{i % 7}" if i % 50 else None for i, h in enumerate(hosts)]
+    rules = [("allow" if i % 3 else "block", f"h{i}.d{i % 13}.org", "/a/") for i in range(60)] + [("block", f"d{i}.org", "/b") for i in range(5)] + [("block", None, "/x"), ("allow", "d1.org", "/b")]
+    listed = {}
+    for v, h, p in rules:
+        if h is not None and listed.get((h, p)) != "block":
+            listed[h, p] = v
+    want = []
+    for i, u in enumerate(urls):
+        host, path = (u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]) if u else ("", "")
+        fits = [(len(h + p), h + p, v) for (h, p), v in listed.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want.append((i, max(fits)[1], max(fits)[2]) if fits else (i, None, "allow"))
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, kinds int")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    for part_bits in (200, url_filter.PART_BITS):  # several parts, and one
+        assert sorted((r.page_id, r.rule, r.verdict) for r in url_filter.judged(pages, table, part_bits).collect()) == want
+    assert url_filter.judged(pages.limit(0), table).count() == 0 and url_filter.judged(pages, table.limit(0)).where("verdict = 'allow' and rule is null").count() == len(urls)
+
+
+def test_first_level_follows_the_list():
+    assert url_filter.first_level(10, 10)[1] == 1 and url_filter.first_level(1000, 1_024_000)[1] == 10
+
+
 def test_cascade_is_exact(spark):
     ids = spark.range(20_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(1), "id").alias("b"), "id")
     cascade = url_filter.cascade(ids.where("id % 10 = 0"), ids)
