@@ -4,13 +4,16 @@ Tokens are summed by cell (one value of each dimension: source, language, topic)
 cells' weights to the target share of each value of each dimension in turn, until all marginals
 agree. Calibrated weights then give each document of a cell one inclusion probability, with which
 it is sampled by a hash of its id; where a cell would be needed more often than it exists, its
-probability is 1 and the rest of its weight is reported per document.
+probability is 1 and the rest of its weight is reported per document. Raking ends when no marginal
+is further from its target than TOLERANCE, or after TURNS; `gap` tells the largest difference that
+the last turn met, so that marginals which cannot agree show.
 
 The cell table is an aggregation, far smaller than the documents, and stays distributed; raking
 joins it with sums of itself and writes it to the shared folder between turns.
 
 Cases: null values of a dimension are a value of their own; null texts have no tokens and enter
-with weight 0 and probability 0; an empty table gives an empty result. Sampling depends on doc_id
+with weight 0 and probability 0; an empty table gives an empty result, long texts count whole, and
+other columns are dropped, whatever their names. Sampling depends on doc_id
 and the seed only, so repeated rows stay or go together.
 """
 
@@ -53,9 +56,10 @@ def flattened(cells: DataFrame, dimension: str, power: float = POWER) -> DataFra
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (dimensions, tokens > 0) -> with weight, whose marginals are the targets'. A target value that no cell has is left out, and so is a cell whose value no target has (weight 0)."""
+    """cells (dimensions, tokens > 0) -> with weight, whose marginals are the targets', and gap. A target value that no cell has is left out, and so is a cell whose value no target has (weight 0)."""
     cells = stored(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     targets = {d: stored(t, "target") for d, t in targets.items()}
+    worst = None
     for _ in range(turns):
         now = cells.withColumn("off", F.lit(0.0))
         for d, target in targets.items():
@@ -71,7 +75,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS, t
         if worst is None or worst < tolerance:
             break
     discard(*targets.values())
-    return cells
+    return cells.withColumn("gap", F.lit(worst).cast("double"))
 
 
 def _scale(cells: DataFrame, draw: float) -> float:
@@ -91,7 +95,7 @@ def _scale(cells: DataFrame, draw: float) -> float:
 
 
 def mixed_sample(docs: DataFrame, draw: float = DRAW, power: float = POWER, seed: int = 7, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """docs (doc_id, text, source, lang, perhaps topic) -> doc_id, source, lang, topic, n_words, probability, sampled, weight (of a sampled document, for weighted sums to meet the marginals exactly in expectation). Targets: (value, share) by dimension; else flattened from the tokens that are there."""
+    """docs (doc_id, text, source, lang, perhaps topic) -> doc_id, source, lang, topic, n_words, probability, sampled, weight (of a sampled document, for weighted sums to meet the marginals exactly in expectation), gap (one number for all rows; null without tokens). Targets: (value, share) by dimension; else flattened from the tokens that are there."""
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"))
     named = docs.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit(_NONE)).alias(c) for c in ("source", "lang")], F.coalesce(topic, F.lit(_NONE)).alias("topic"), n_words(F.col("text")).alias("n_words"))
     counted = stored(named, "counted")
@@ -99,8 +103,9 @@ def mixed_sample(docs: DataFrame, draw: float = DRAW, power: float = POWER, seed
     fitted = raked(cells, targets or {d: flattened(cells, d, power) for d in DIMENSIONS})
     scale = _scale(fitted, draw)
     wanted = (F.col("weight") * F.lit(scale) / F.col("tokens")).alias("wanted")
+    gap = fitted.select("gap").head()
     out = counted.join(fitted.select(*DIMENSIONS, wanted), list(DIMENSIONS), "left")
     chance = F.when(F.col("n_words") > 0, F.coalesce(F.least(F.col("wanted"), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
     draw_at = (F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53))
     null_back = lambda c: F.when(F.col(c) != _NONE, F.col(c)).alias(c)
-    return out.select("doc_id", *map(null_back, DIMENSIONS), "n_words", chance.alias("probability"), (draw_at < chance).alias("sampled"), F.coalesce(F.when(chance > 0, F.col("wanted") / chance), F.lit(0.0)).alias("weight"))
+    return out.select("doc_id", *map(null_back, DIMENSIONS), "n_words", chance.alias("probability"), (draw_at < chance).alias("sampled"), F.coalesce(F.when(chance > 0, F.col("wanted") / chance), F.lit(0.0)).alias("weight"), F.lit(gap and gap[0]).cast("double").alias("gap"))

@@ -264,7 +264,20 @@ def test_mixing(odd, spark):
     got = mixing.raked(cells, {k: spark.createDataFrame(v, "value string, share double") for k, v in targets.items()}).toPandas()
     for k, v in targets.items():
         assert all(abs(got[got[k] == value].weight.sum() - share) < 1e-3 for value, share in v)
-    out = mixing.mixed_sample(odd).toPandas()
+    brute = {(s, x, t): (i + 1) * 100.0 for i, (s, x, t) in enumerate(itertools.product("ab", "xy", "uv"))}
+    for _ in range(200):
+        for d, target in enumerate(targets.values()):
+            for value, share in target:
+                held = sum(w for k, w in brute.items() if k[d] == value)
+                brute.update({k: w * share / held for k, w in brute.items() if k[d] == value})
+    assert all(abs(brute[r.source, r.lang, r.topic] - r.weight) < 1e-3 and r.gap < mixing.TOLERANCE for r in got.itertuples())
+    split = spark.createDataFrame([("a", "x", "u", 100), ("b", "y", "u", 100)], "source string, lang string, topic string, tokens long")
+    apart = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("x", 0.7), ("y", 0.3)], "topic": [("u", 1.0)]}
+    apart = mixing.raked(split, {k: spark.createDataFrame(v, "value string, share double") for k, v in apart.items()}, turns=3).toPandas()
+    assert (apart.gap > 0.1).all()  # marginals that no weights meet
+    out = mixing.mixed_sample(odd.withColumn("gap", F.lit("x"))).toPandas()
+    calibrated = out[out.n_words > 0].assign(wanted=lambda x: x.probability * x.weight)
+    assert np.allclose(calibrated.groupby(["source", "lang", "topic"], dropna=False)["wanted"].agg(np.ptp), 0)
     assert len(out) == odd.count() and (out.probability[out.n_words == 0] == 0).all() and out.sampled.any()
     assert mixing.mixed_sample(odd.limit(0)).count() == 0
 
