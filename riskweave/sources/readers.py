@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.functions.text import category_name, fold
+from riskweave.functions.text import category_name, fold, form_body
 from riskweave.plans.packs import CONTENT_TYPES, EXCLUSION, PATTERN, Exclusion, Pattern
 
 SCAN_CAP = 4 << 20
@@ -103,14 +103,42 @@ def capped(content: DataFrame, cap: int = SCAN_CAP) -> tuple[DataFrame, DataFram
 
 def first_bytes(text: Column, cap: int = SCAN_CAP) -> Column:
     """The head of a body that is scanned while the rest passes; a cut character is replaced."""
-    return F.decode(F.substring(F.encode(text, "utf-8"), 1, cap), "utf-8")
+    return F.make_valid_utf8(F.substring(F.encode(text, "utf-8"), 1, cap).cast("string"))
+
+
+#: Fixed: input types of HTML that hold no plain text. Any other type, or none, counts as text.
+NO_TEXT_INPUTS = ("button", "checkbox", "color", "date", "datetime-local", "email", "file", "hidden", "image", "month", "number", "password", "radio", "range", "reset", "submit", "tel", "time", "week")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's first attribute of that name, quoted or not; null without one."""
+    one = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?"""
+    every = F.regexp_extract_all(F.regexp_replace(tag, "^<[A-Za-z]+", ""), F.lit(one), F.lit(0))
+    hit = F.get(F.filter(every, lambda x: F.lower(F.regexp_extract(x, r"^[^\s=]+", 0)) == name), F.lit(0))
+    return F.regexp_replace(F.regexp_replace(hit, r"(?s)^[^=]*=?\s*", ""), r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
+
+
+def _unescaped(text: Column) -> Column:
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
 
 
 def form_text(html: Column) -> Column:
-    """Texts of textareas and of text, search and url inputs, in document order, joined by line ends."""
-    item = r"(?is)<textarea\b[^>]*>(.*?)</textarea>|<input\b(?=[^>]*\btype\s*=\s*[\"']?(?:text|search|url)\b)[^>]*?\bvalue\s*=\s*\"([^\"]*)\"[^>]*>"
-    whole = F.regexp_extract_all(html, F.lit(item), F.lit(0))
-    return F.array_join(F.filter(F.transform(whole, lambda x: F.concat(F.regexp_extract(x, item, 1), F.regexp_extract(x, item, 2))), lambda x: x != ""), "\n")
+    """Texts of textareas and of text, search and url inputs, in document order, joined by line ends. Null html has none."""
+    item = r"""(?is)<textarea\b(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?</textarea>|<input\b(?:[^>"']++|"[^"]*"|'[^']*')*+>"""
+    area = r"""(?is)^<textarea\b(?:[^>"']++|"[^"]*"|'[^']*')*+>(?:\r?\n)?(.*)</textarea>$"""
+    whole = F.coalesce(F.regexp_extract_all(html, F.lit(item), F.lit(0)), F.array().cast("array<string>"))
+    plain = lambda x: ~F.lower(F.coalesce(_attribute(x, "type"), F.lit(""))).isin(*NO_TEXT_INPUTS)
+    text = lambda x: F.when(x.rlike("(?i)^<textarea"), F.regexp_extract(x, area, 1)).when(plain(x), F.coalesce(_attribute(x, "value"), F.lit(""))).otherwise("")
+    return F.array_join(F.filter(F.transform(whole, lambda x: _unescaped(text(x))), lambda x: x != ""), "\n")
+
+
+def body_text(kind: Column, text: Column, raw: Column, names: Column, values: Column, cap: int = SCAN_CAP) -> Column:
+    """What a request's body says: text as it is, params and form as pairs, bytes decoded up to the cap; any other kind (a stream) and missing parts are empty."""
+    params = F.array_join(F.zip_with(names, values, lambda k, v: F.concat(F.url_encode(k), F.lit("="), F.url_encode(v))), "&")
+    read = F.make_valid_utf8(F.substring(raw, 1, cap).cast("string"))
+    return F.coalesce(F.when(kind == "text", text).when(kind == "params", params).when(kind == "form", form_body(names, values)).when(kind == "bytes", read), F.lit(""))
 
 
 def frames(messages: DataFrame, cap: int = 1 << 20) -> DataFrame:

@@ -189,3 +189,18 @@ def test_keyed_streams(spark, tmp_path, ending):
 def test_first_of(spark):
     rows = spark.createDataFrame([("f", 1, 2, "late"), ("f", 1, 1, "first"), (None, 1, 3, "n"), (None, 1, 4, "m")], "name string, size int, o int, t string")
     assert sorted(r.t for r in ordered.first_of(rows, ["name", "size"], ["o"]).collect()) == ["first", "n"]
+
+
+def test_form_texts(spark):
+    html = """<INPUT value='it&#39;s' TYPE=search><input name=q value=plain><input placeholder="a value=no > b" type=text value="x &amp;lt; y">
+    <input type=hidden value=no><input type="password" value="no"><input type="text"><input data-value=no type=url value="http://a"/>
+    <textarea name="t">\nfirst\n<b> "quoted'</textarea><textarea></textarea><input type=nonsense value=kept>"""
+    got = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(readers.form_text(F.col("h"))).collect()
+    assert [r[0] for r in got] == ["it's\nplain\nx &lt; y\nhttp://a\nfirst\n<b> \"quoted'\nkept", "", ""]
+
+
+def test_request_bodies(spark):
+    rows = [("text", "as is", None, None, None), ("params", None, None, ["a b", "c"], ["1&2", "é"]), ("form", None, None, ["a b"], ["x y"]), ("bytes", None, "añ".encode(), None, None), ("stream", "no", b"no", ["n"], ["o"]), (None, None, None, None, None), ("text", None, None, None, None)]
+    got = spark.createDataFrame(rows, "kind string, text string, raw binary, names array<string>, vals array<string>").select(readers.body_text(*map(F.col, ("kind", "text", "raw", "names", "vals")), cap=2)).collect()
+    assert [r[0] for r in got] == ["as is", "a+b=1%262&c=%C3%A9", "a%20b=x%20y", "a\ufffd", "", "", ""]
+    assert spark.createDataFrame([("añ",)], "t string").select(readers.first_bytes(F.col("t"), 2)).head()[0] == "a\ufffd"
