@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, lm_score, mixing, near_dedup, quality, secret_scan, token_files, url_filter
+from . import alignment, chat, decontaminate, language, lexical, lm_score, mixing, near_dedup, quality, secret_scan, token_files, url_filter, warc
 from .common import remainder
 
 #: Fixed entries (verdict, host, path) of the query on urls.
@@ -73,8 +73,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_chat, op3_mixing, op4_near_dedup, op5_quality, op6_token_files, op7_url_filter, op8_lm_score, op9_secret_scan, op10_decontaminate)}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no time; each is taken as captured so many seconds after a fixed time as its id says."""
+    captured = F.date_format(F.timestamp_seconds(F.pmod("page_id", F.lit(1_000_000_000)) + 1_600_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    runs, folder = warc.write_archive(warc.captures(table(spark, sf_dir, "pages"), "page_id", "url", "html", captured))
+    out = warc.read_archive(warc.merged_index(runs, folder), folder)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url_key", "place", "capture")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_chat, op3_mixing, op4_near_dedup, op5_quality, op6_token_files, op7_url_filter, op8_lm_score, op9_secret_scan, op10_decontaminate, op11_search, op12_warc, op13_alignment)}
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_LOW_URL = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Fixed: the 32 digits of base32; four of them for each five digits of a hexadecimal SHA-1.
+_BASE32 = "array_to_string([" + ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(sha, {5 * g + 1}, 5))::BIGINT >> {shift}) & 31 AS INT), 1)" for g in range(8) for shift in (15, 10, 5, 0)) + "], '')"
 _ESCAPED = reduce(lambda sql, pair: f"replace({sql}, {pair[0]}, '{pair[1]}')", [("chr(92)", "\\0"), ("'<'", "\\1"), ("'['", "\\2")], "{}")
 
 ORACLE_SQL = {
@@ -101,4 +121,21 @@ fits AS (
   FROM p JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1""",
+    "op11_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+p AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY 1, 2, 3),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS uses FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+x AS (SELECT q.item_id, tf.doc_id, CAST(sum(q.uses * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * tf.n * s.docs) // s.total)))) AS BIGINT) AS score
+  FROM q JOIN tf ON tf.term = q.term JOIN w ON w.term = q.term, s GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+    "op12_warc": f"""
+WITH p AS (SELECT page_id, {_LOW_URL} AS low, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS most,
+  CASE WHEN regexp_matches(low, '^[^/?#]*://') THEN array_to_string(list_reverse(string_split(regexp_extract(low, '^[^/?#]*?://([^/?#]*)', 1), '.')), ',') || ')' || regexp_extract(low, '(?s)^[^/?#]*?://[^/?#]*(.*)$', 1) ELSE low END AS url_key FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < most THEN most END AS refers_to,
+  url_key, row_number() OVER (ORDER BY url_key, page_id % 1000000000, page_id) AS place, row_number() OVER (PARTITION BY url_key ORDER BY page_id % 1000000000, page_id) AS capture FROM k""",
 }
