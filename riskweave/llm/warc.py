@@ -205,7 +205,7 @@ class LoserTree:
         self.streams, self.k = streams, len(streams)
         self.heads = [next(s, None) for s in streams]
         winners = [0] * self.k + list(range(self.k))
-        self.losers = [0] * self.k
+        self.losers = [0] * max(self.k, 1)
         for i in range(self.k - 1, 0, -1):
             a, b = winners[2 * i], winners[2 * i + 1]
             winners[i], self.losers[i] = (a, b) if self._before(a, b) else (b, a)
