@@ -16,8 +16,11 @@ def rule_table(spark: SparkSession, sources: list[list[tuple[str, str]]]) -> Dat
 
 def effective(rules: DataFrame, overrides_first: bool = False) -> DataFrame:
     """The first entry of each host and kind, in order of source and line (with overrides_first: the last source wins)."""
-    order = [F.col("source_ord").desc() if overrides_first else F.col("source_ord"), F.col("line_ord")]
-    return rules.withColumn("k", F.row_number().over(Window.partitionBy("host", "is_wildcard").orderBy(*order))).where("k = 1").drop("k")
+    source = F.col("rule.source_ord")
+    order = [source.desc() if overrides_first else source, F.col("rule.line_ord")]
+    # as one column, so that no name of the caller's is in the way
+    first = F.row_number().over(Window.partitionBy("rule.host", "rule.is_wildcard").orderBy(*order))
+    return rules.select(F.struct(*rules.columns).alias("rule")).withColumn("k", first).where("k = 1").select("rule.*")
 
 
 def suffixes(host: Column) -> Column:

@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 
 def bad_edges(events: DataFrame, key: str, ts: str, ok: str, tie: str) -> DataFrame:
     """Rows at which ok turns false; before the first row all was well, and a null counts as ok."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    fine = F.coalesce(F.col(ok), F.lit(True))
-    return events.withColumn("was_ok", F.lag(fine, 1, True).over(w)).where(F.col("was_ok") & ~fine).drop("was_ok")
+    event = lambda c: F.col("event").getField(c)
+    fine = F.coalesce(event(ok), F.lit(True))
+    before = F.lag(fine, 1, True).over(Window.partitionBy(event(key)).orderBy(event(ts), event(tie)))
+    return events.select(F.struct(*events.columns).alias("event")).withColumn("was_ok", before).where(F.col("was_ok") & ~fine).select("event.*")
 
 
 def deltas(rows: DataFrame, key: str, order: list[str], counter: str) -> DataFrame:
-    """Positive steps of a counter between polls."""
+    """Positive steps of a counter between polls, as delta (a column of this name is replaced)."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("delta", F.col(counter) - F.lag(counter).over(w)).where("delta > 0")
 
 
 def newest(rows: DataFrame, key: str, order: list, n: int = 10) -> DataFrame:
-    """The last n rows of each key."""
+    """The last n rows of each key, with their place (a column of this name is replaced)."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
 
 
@@ -34,7 +35,7 @@ def id_rollbacks(rows: DataFrame, key: str, order: list[str], number: str) -> Da
 
 
 def within_budget(files: DataFrame, key: str, order: list[str], size: str, cap: int) -> DataFrame:
-    """Files with the bytes before them, and how many of theirs still fit."""
+    """Files with taken, how many of their bytes still fit, and truncated (columns of these names are replaced)."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(size).over(w), F.lit(0))
     taken = F.greatest(F.lit(0), F.least(F.col(size), cap - before))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MEBIBYTE = 1 << 20
 MIN_SCAN = 50
+#: What a category may do, and the categories that are always known.
 ACTIONS = ("allow", "allow_with_dlp", "deny")
 KNOWN = ("AI Chat Blocked", "AI Code Blocked", "AI Allowed", "AI Chat DLP", "Phishing", "Social", "News", "allow_admin", "block_admin")
 
@@ -19,11 +20,15 @@ def unavailable(mode: Column) -> Column:
     return F.when(mode == "managed", "block").when(mode == "team", "warn").otherwise("allow")
 
 
+#: Fixed names of what decides where no pattern does.
+OVERSIZE, UNAVAILABLE = "policy:oversize", "policy:agent-unavailable"
+
+
 def enforced(rows: DataFrame) -> DataFrame:
     """rows (mode, size in bytes, blocked or null, pattern_name, score) -> with decision and the effective pattern_name and score."""
     big, none = F.col("size") > MEBIBYTE, F.col("blocked").isNull()
     decision = F.when(big, oversize(F.col("mode"))).when(none, unavailable(F.col("mode"))).when(F.col("blocked"), "block").otherwise("allow")
-    name = F.when(big, "policy:oversize").when(none, "policy:agent-unavailable").otherwise(F.coalesce("pattern_name", F.lit("")))
+    name = F.when(big, OVERSIZE).when(none, UNAVAILABLE).otherwise(F.coalesce("pattern_name", F.lit("")))
     return rows.withColumns({"decision": decision, "effective_pattern": name, "effective_score": F.when(big | none, 0).otherwise(F.coalesce("score", F.lit(0))).cast("long")})
 
 
@@ -60,38 +65,48 @@ DLP_KEYS = ("threshold_critical", "threshold_high", "threshold_medium", "thresho
 
 
 def merged_config(current: DataFrame, override: DataFrame) -> DataFrame:
-    """One row of DLP_KEYS each -> the current numbers with those of the override that are neither null nor 0."""
-    own = override.select(*[F.col(k).alias(f"_{k}") for k in DLP_KEYS if k in override.columns])  # one row
-    value = lambda k: F.coalesce(F.nullif(F.col(f"_{k}"), F.lit(0)), F.col(k)).alias(k) if f"_{k}" in own.columns else F.col(k)
+    """One row of DLP_KEYS -> the numbers with those of the override that are neither null nor 0. An override without a row changes nothing; of several rows it fails."""
+    named = [k for k in DLP_KEYS if k in override.columns]
+    # one row in any case: aggregates of no row are null
+    own = override.agg(*[F.max(k).alias(f"_{k}") for k in named], F.count("*").alias("_rows"))
+    one = F.when(F.col("_rows") > 1, F.raise_error(F.lit("more than one row of numbers"))).otherwise(0)
+    value = lambda k: F.coalesce(F.nullif(F.col(f"_{k}"), one), F.col(k)).alias(k) if k in named else F.col(k)
     return current.crossJoin(F.broadcast(own)).select(*map(value, DLP_KEYS))
 
 
+#: Fixed: the most that a weight may add or take.
+WEIGHT_MAX = 100
+
+
 def valid_config() -> Column:
-    """Thresholds are positive and fall with severity, boosts are not negative, penalties not positive."""
-    c, h, m, low = map(F.col, DLP_KEYS[:4])
-    boosts, penalties = (F.col("hotword_boost"), F.col("entropy_boost"), F.col("multi_match_boost")), (F.col("entropy_penalty"), F.col("exclusion_penalty"))
-    ok = (c > 0) & (h > 0) & (m > 0) & (low > 0)
-    for x in boosts:
-        ok = ok & (x >= 0)
-    for x in penalties:
-        ok = ok & (x <= 0)
+    """Thresholds are positive, and weights within WEIGHT_MAX of 0; a null is neither."""
+    ok = F.lit(True)
+    for k in DLP_KEYS:
+        ok = ok & (F.col(k) > 0 if k.startswith("threshold") else F.col(k).between(-WEIGHT_MAX, WEIGHT_MAX))
     return F.coalesce(ok, F.lit(False))
 
 
+def checked_config(config: DataFrame) -> DataFrame:
+    """config, if it is one row of valid numbers."""
+    if config.agg(F.count("*").alias("n"), F.count_if(valid_config()).alias("good")).head() != (1, 1):
+        raise ValueError("numbers out of range: one row of valid ones is wanted")
+    return config
+
+
 def applied_profile(policies: DataFrame, config: DataFrame, changes: DataFrame, override: DataFrame) -> tuple[DataFrame, DataFrame]:
     """policies and config after a profile's changes, both or neither: all is checked before anything is returned."""
-    fresh = merged_config(config, override)
-    if fresh.where(~valid_config()).isEmpty():
-        return with_policy(policies, changes), fresh
-    raise ValueError("numbers of the configuration are out of range")
+    fresh = checked_config(merged_config(config, override))
+    return with_policy(policies, changes), fresh
 
 
-def with_policy(policies: DataFrame, changes: DataFrame) -> DataFrame:
-    """policies (category, action) after changes of the same shape; nothing changes if one of them is not valid."""
-    bad = changes.where(~acceptable_category(F.col("category")) | ~F.col("action").isin(*ACTIONS))
-    if not bad.isEmpty():
+def with_policy(policies: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """policies (category, action) after changes of the same shape; nothing changes if one of them is not valid. Of changes to one category the last by the column `order` counts; without such a column they have to agree."""
+    bad = F.count_if(~F.coalesce(acceptable_category(F.col("category")) & F.col("action").isin(*ACTIONS), F.lit(False)))
+    if changes.agg(bad).head()[0]:
         raise ValueError("an unknown category or action")
-    return policies.join(changes, "category", "left_anti").unionByName(changes)
+    last = F.max_by("action", order) if order else F.when(F.count_distinct("action") == 1, F.max("action")).otherwise(F.raise_error(F.concat(F.lit("changes that differ: "), F.col("category"))))
+    once = changes.groupBy("category").agg(last.alias("action"))
+    return policies.join(once, "category", "left_anti").select("category", "action").unionByName(once)
 
 
 def bypassing(hosts: DataFrame, pinned: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """The content scan: prefix filter, regex matches with byte offsets, context, score, verdict.
 
-One row per (content, pattern) match comes from one pass over the contents: each pattern is a
-literal regex, so it is compiled once, behind its prefix test; no cross join with a rule table.
-Texts are folded once, only texts with a match are cut at the matches, and what leaves the pass is
-a match with the bytes around it, never the text. Contents without a match stay in the same pass,
-so verdicts need no join; two small aggregations, which combine before their shuffle, give them.
+One row per (content, pattern) match comes from one pass over the contents: an automaton finds the
+prefixes of all patterns at once, and a pattern's regex runs only on texts that hold its prefix (with
+`windowed`: near its places only); no cross join with a rule table. What leaves the pass is a match
+with the bytes around it, never the text. Contents without a match stay in the same pass, so verdicts
+need no join; two small aggregations, which combine before their shuffle, give them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import content_type, entropy, fold
+from riskweave.operators import automaton
 from riskweave.plans.packs import Exclusion, Pattern, ScanConfig
 
 #: Bytes looked at on both sides of a match where an exclusion names no window.
@@ -68,39 +69,15 @@ def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
-def _earlier(sizes: Column, block: int = 128) -> Column:
-    """For each number of a non-empty array the sum of those before it; whole blocks are summed once."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    at = lambda i: F.floor(i / block).cast("int")
-    blocks = lambda a: F.transform(F.sequence(F.lit(0), at(F.size(a) - 1)), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
-    return _bound(sizes, lambda a: _bound(blocks(a), lambda s: F.transform(a, lambda _, i: total(F.slice(s, F.lit(1), at(i))) + total(F.slice(a, at(i) * block + 1, i - at(i) * block)))))
-
-
 def _width(patterns: list[Pattern], rules: list[Exclusion]) -> int:
     return max([0, *(p.hotword_window for p in patterns if p.hotwords), *(r.window or PROXIMITY for r in rules if r.type != "regex" and r.match_type != "exact")])
 
 
 def _found(content: DataFrame, patterns: list[Pattern], cfg: ScanConfig, rules: list[Exclusion]) -> DataFrame:
     """matches, and a row without a pattern for each content that has no match."""
-    texts = F.col("text"), F.col("low"), F.col("kind")
-    none = F.array().cast("array<string>")
-    each = [F.struct(F.lit(p.name).alias("pattern"), F.when(admitted(p, cfg, *texts), F.regexp_extract_all("text", F.lit(p.regex), F.lit(0))).otherwise(none).alias("values")) for p in patterns]
-    rows = _folded(content, patterns).select("content_id", "text", "low", F.array(*each).alias("each"))
-    # outer: no filter on what was found moves below, where it would search a second time
-    rows = rows.select("content_id", "text", "low", F.inline_outer(F.filter("each", lambda x: F.size(x["values"]) > 0)))
-    rows = rows.select("content_id", "pattern", "values", _by_pattern(patterns, lambda p: F.split("text", p.regex, -1), F.lit(None).cast("array<string>")).alias("gaps"), F.when(F.col("pattern").isNotNull(), F.encode("low", "utf-8")).alias("bytes"))
-    steps = F.zip_with(F.slice("gaps", F.lit(1), F.size("values")), "values", lambda g, v: F.struct(F.octet_length(g).alias("gap"), F.octet_length(v).alias("size"), v.alias("value")))
-    rows = rows.select("content_id", "pattern", "bytes", F.size("values").cast("long").alias("num_matches"), steps.alias("steps"))
-    rows = rows.select("content_id", "pattern", "bytes", "num_matches", "steps", F.when(F.size("steps") > 0, _earlier(F.transform("steps", lambda s: s.gap + s["size"]))).alias("ends"))
     wide = _width(patterns, rules)
-
-    def hit(step: Column, end: Column) -> Column:
-        start, stop = end + step.gap, end + step.gap + step["size"]
-        before = F.substring(F.col("bytes"), F.greatest(start - wide, F.lit(0)) + 1, F.least(start, F.lit(wide)))
-        return F.struct(step.value.alias("value"), start.alias("start"), stop.alias("stop"), before.alias("before"), F.substring(F.col("bytes"), stop + 1, F.lit(wide)).alias("after"))
-
-    rows = rows.select("content_id", "pattern", "num_matches", F.inline_outer(F.zip_with("steps", "ends", hit)))
-    return rows.select("content_id", "pattern", "value", "start", "stop", "num_matches", F.col("before").alias("before", metadata={"window": wide}), "after")
+    rows = automaton.found(_folded(content, patterns).select("content_id", "text", "kind"), patterns, cfg, SEVERE, wide, cfg.windowed)
+    return rows.withColumn("before", F.col("before").alias("before", metadata={"window": wide}))
 
 
 def matches(content: DataFrame, patterns: list[Pattern], cfg: ScanConfig | None = None, rules: list[Exclusion] | None = None) -> DataFrame:

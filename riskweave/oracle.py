@@ -53,6 +53,25 @@ hits AS (SELECT content_id, pattern, v[i] AS value, len(v) AS num_matches, hex(e
   CAST(list_sum([strlen(x) for x in g[1:i]]) + coalesce(list_sum([strlen(x) for x in v[1:i-1]]), 0) AS BIGINT) AS start FROM each_)"""
 
 
+def windowed(window: int = 1024) -> str:
+    """CTE hits(content_id, pattern, value, start, num_matches): prefixes' places, ranges around them, those that touch joined, cut at whole characters, and the regex on each."""
+    packs = ", ".join(f"({q(p.name)}, {q(p.prefix.lower())}, {q(p.regex)}, {str(p.severity in ('critical', 'high')).upper()})" for p in PATTERNS)
+    return f"""r(pattern, prefix, regex, severe) AS (VALUES {packs}),
+c AS (SELECT doc_id AS content_id, coalesce(text, '') AS text FROM documents),
+cand AS (SELECT content_id, pattern, prefix, regex, strlen(text) AS size, hex(encode(text)) AS h, string_split({fold("text")}, prefix) AS parts, prefix <> '' AND strlen(text) > {2 * window} AS near FROM c JOIN r ON prefix = '' OR contains({fold("text")}, prefix) WHERE severe OR strlen(text) < {CFG.large}),
+o AS (SELECT content_id, pattern, size, unnest([list_sum([strlen(x) for x in parts[1:i]]) + (i - 1) * strlen(prefix) for i in range(1, len(parts))]) AS o FROM cand WHERE near),
+w AS (SELECT content_id, pattern, greatest(o - {window}, 0) AS s, least(o + {window}, size) AS e FROM o),
+f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY content_id, pattern ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM w),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY content_id, pattern ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM f),
+isl AS (SELECT content_id, pattern, min(s) AS s, max(e) AS e FROM g GROUP BY content_id, pattern, k UNION ALL SELECT content_id, pattern, 0, size FROM cand WHERE NOT near),
+cut AS (SELECT content_id, pattern, regex, s, substr(h, CAST(2 * s + 1 AS BIGINT), CAST(2 * (e - s) AS BIGINT)) AS x FROM isl JOIN cand USING (content_id, pattern)),
+lead AS (SELECT *, length(regexp_extract(x, '^(?:[89AB][0-9A-F])*')) AS l FROM cut),
+part AS (SELECT content_id, pattern, regex, s + l / 2 AS s, decode(unhex(regexp_replace(substr(x, l + 1), '(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){{0,2}})$', ''))) AS t FROM lead),
+found AS (SELECT content_id, pattern, s, regexp_extract_all(t, regex) AS v, regexp_split_to_array(t, regex) AS g FROM part),
+each_ AS (SELECT content_id, pattern, s, v, g, unnest(range(1, len(v) + 1)) AS i FROM found WHERE len(v) > 0),
+hits AS (SELECT content_id, pattern, v[i] AS value, CAST(s + list_sum([strlen(x) for x in g[1:i]]) + coalesce(list_sum([strlen(x) for x in v[1:i-1]]), 0) AS BIGINT) AS start, count(*) OVER (PARTITION BY content_id, pattern) AS num_matches FROM each_)"""
+
+
 _ENTROPY = "round(list_sum([-(len([y for y in string_split(value, '') if y = x])::DOUBLE / strlen(value)) * log2(len([y for y in string_split(value, '') if y = x])::DOUBLE / strlen(value)) for x in list_sort(list_distinct(string_split(value, '')))]), 12)"
 
 
@@ -154,11 +173,41 @@ def _group(column: str) -> str:
     return f"WITH {verdicts()} SELECT d.{column}, count(*) AS scans, count(*) FILTER (WHERE v.blocked) AS blocks, max(v.score) AS top_score FROM verdicts v JOIN documents d ON d.doc_id = v.content_id GROUP BY d.{column}"
 
 
+_NUMBERED = "e AS (SELECT event_id, user_id, event_type, epoch(ts)::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+#: A bucket of 2 tokens that refills at 1 in 20,000 s: what is left after each row.
+_BUCKET = f"""WITH RECURSIVE {_NUMBERED},
+b AS (SELECT event_id, user_id, k, s, TRUE AS allowed, 1.0::DOUBLE AS tokens FROM e WHERE k = 1
+  UNION ALL SELECT event_id, user_id, k, s, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END
+  FROM (SELECT e.event_id, e.user_id, e.k, e.s, least(2.0, b.tokens + greatest(0.0, e.s - b.s) * (1.0::DOUBLE / 20000)) AS t FROM b JOIN e ON e.user_id IS NOT DISTINCT FROM b.user_id AND e.k = b.k + 1))"""
+_THROTTLE = f"""WITH RECURSIVE {_NUMBERED},
+b AS (SELECT event_id, user_id, k, TRUE AS accepted, s AS last, event_type AS mark FROM e WHERE k = 1
+  UNION ALL SELECT event_id, user_id, k, ok, CASE WHEN ok THEN s ELSE last END, CASE WHEN ok THEN event_type ELSE mark END
+  FROM (SELECT e.event_id, e.user_id, e.k, e.s, e.event_type, b.last, b.mark, e.s - b.last >= 3600 AND e.event_type IS DISTINCT FROM b.mark AS ok FROM b JOIN e ON e.user_id IS NOT DISTINCT FROM b.user_id AND e.k = b.k + 1))"""
+
+
+def hmac(key: str, message: str) -> str:
+    """Key and message are blobs."""
+    block = f"rpad(hex(CASE WHEN octet_length({key}) > 64 THEN unhex(sha256({key})) ELSE {key} END), 128, '0')"
+    mixed = lambda byte: f"unhex(array_to_string([printf('%02X', xor(('0x' || substr({block}, 2 * i + 1, 2))::BIGINT, {byte})) for i in range(64)], ''))"
+    return f"sha256({mixed(0x5C)} || unhex(sha256({mixed(0x36)} || {message})))"
+
+
+def le32(n: str) -> str:
+    return f"unhex(array_to_string([printf('%02X', ({n} >> (8 * j)) & 255) for j in range(4)], ''))"
+
+
 ORACLE_SQL = {
     "classify_documents": f"SELECT doc_id, {kind('text')} AS content_type FROM documents",
     "classify_conversations": f"SELECT {kind('text')} AS content_type, count(*) AS n FROM conversations GROUP BY 1",
     "prefix_candidates": "WITH c AS (SELECT doc_id AS content_id, coalesce(text, '') AS text FROM documents) " + " UNION ALL ".join(f"SELECT content_id, {q(p.name)} AS pattern, CAST({f'(length(text) - length(replace({fold("text")}, {q(p.prefix.lower())}, {q("")}))) // {len(p.prefix)}' if p.prefix else '1'} AS BIGINT) AS occurrences FROM c WHERE {admitted(p)}" for p in PATTERNS),
     "regex_matches": f"WITH {matches()} SELECT content_id, pattern, value, start, start + strlen(value) AS stop, num_matches FROM hits",
+    "windowed_matches": f"WITH {windowed()} SELECT content_id, pattern, value, start, start + strlen(value) AS stop, num_matches FROM hits",
+    "prefix_hits": f"""WITH r(prefix) AS (VALUES {", ".join(f"({q(x)})" for x in sorted({p.prefix.lower() for p in PATTERNS} - {""}))}),
+s AS (SELECT doc_id AS content_id, prefix, string_split({fold("text")}, prefix) AS parts FROM documents JOIN r ON contains({fold("text")}, prefix))
+SELECT content_id, prefix, CAST(unnest([list_sum([strlen(x) for x in parts[1:i]]) + (i - 1) * strlen(prefix) for i in range(1, len(parts))]) AS BIGINT) AS start FROM s""",
+    "dictionary_counts": f"""WITH e AS (SELECT DISTINCT {fold("regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+')")} AS word FROM benchmark),
+h AS (SELECT doc_id, word, (length(text) - length(replace({fold("text")}, word, ''))) // length(word) AS n FROM documents JOIN e ON word <> '' AND contains({fold("text")}, word))
+SELECT word, CAST(sum(n) AS BIGINT) AS hits, count(DISTINCT doc_id) AS documents FROM h GROUP BY word""",
     "match_entropy": f"WITH {scored()} SELECT content_id, pattern, start, round(entropy, 6) AS entropy FROM scored",
     "hotword_context": f"WITH {scored()} SELECT content_id, pattern, start, hotword FROM scored",
     "exclusion_eval": f"WITH {scored()} SELECT content_id, pattern, start, suppressed, penalised FROM scored",
@@ -213,4 +262,24 @@ SELECT doc_id, CASE WHEN size > 1048576 THEN CASE WHEN mode = 'managed' THEN 'bl
     "risky_extensions": f"""WITH n AS (SELECT regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^.*[/\\\\]', '') AS name FROM pages), x AS (SELECT regexp_extract({fold("name")}, '^.+\\.([^.]+)$', 1) AS extension FROM n)
 SELECT extension, extension IN ({", ".join(q(x) for x in [*RISKY_EXTENSIONS, "html"])}) AS risky, count(*) AS n FROM x GROUP BY 1, 2""",
     "manifest_delta": "SELECT 'page' || page_id AS name, sha256(html) AS sha256 FROM pages WHERE page_id % 5 <> 0 AND page_id % 3 <> 0",
+    "rate_limit": f"{_BUCKET} SELECT user_id, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS n FROM b GROUP BY user_id",
+    "clipboard_throttle": f"{_THROTTLE} SELECT user_id, count(*) FILTER (WHERE accepted) AS accepted, count(*) AS n FROM b GROUP BY user_id",
+    "streamed_rate_limit": f"{_BUCKET} SELECT event_id, user_id, allowed FROM b",
+    "streamed_throttle": f"{_THROTTLE} SELECT event_id, user_id, accepted FROM b",
+    "streamed_edges": "WITH l AS (SELECT event_id, user_id, event_type <> 'error' AS ok, lag(event_type <> 'error', 1, TRUE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) SELECT event_id, user_id FROM l WHERE was AND NOT ok",
+    "streamed_hello": f"WITH {_NUMBERED} SELECT event_id, user_id FROM e WHERE k = 1",
+    "clipboard_fingerprints": """WITH u AS (SELECT item_id, list_concat([2166136261::BIGINT], flatten([CASE WHEN c >= 65536 THEN [(55296 + ((c - 65536) >> 10))::BIGINT, (56320 + ((c - 65536) & 1023))::BIGINT] ELSE [c::BIGINT] END for c in [unicode(x) for x in string_split(text, '')]])) AS units FROM benchmark)
+SELECT item_id, (len(units) - 1) || ':' || printf('%x', list_reduce(units, lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS fingerprint FROM u""",
+    # look-ups of a text in order; a miss starts a new 5 s, and only what is asked for within them is a hit
+    "cached_scans": """WITH RECURSIVE d AS (SELECT doc_id || '-a' AS who, doc_id * 10 AS asked, coalesce(text, '') AS text FROM documents UNION ALL SELECT doc_id || '-b', doc_id * 10 + CASE WHEN doc_id % 2 = 0 THEN 3000 ELSE 7000 END, coalesce(text, '') FROM documents),
+k AS (SELECT *, md5(text) AS digest, row_number() OVER (PARTITION BY text ORDER BY asked, who) AS n FROM d),
+c AS (SELECT who, digest, n, FALSE AS hit, who AS answered_by, asked AS inserted FROM k WHERE n = 1
+  UNION ALL SELECT k.who, k.digest, k.n, k.asked - c.inserted <= 5000, CASE WHEN k.asked - c.inserted <= 5000 THEN c.answered_by ELSE k.who END, CASE WHEN k.asked - c.inserted <= 5000 THEN c.inserted ELSE k.asked END FROM c JOIN k ON k.digest = c.digest AND k.n = c.n + 1)
+SELECT who, hit, answered_by FROM c""",
+    "profile_snapshots": """WITH s AS (SELECT regexp_replace(lower(source), '[^a-z0-9]', '_', 'g') || '_admin' AS category, count(*) AS n, sum(n_chars) AS chars FROM documents WHERE source IS NOT NULL GROUP BY 1), v(version) AS (VALUES (1), (2), (3))
+SELECT CAST(version AS BIGINT) AS version, category, CASE WHEN version = 2 AND chars > 2000 * n THEN 'deny' ELSE 'allow' END AS action, CASE WHEN version = 2 THEN 5 ELSE 2 END AS threshold_high, 4 AS threshold_low FROM s, v""",
+    "framed_conversations": "SELECT conv_id, turn, role, text FROM conversations",
+    "conversation_macs": f"""WITH m AS (SELECT conv_id, turn, encode(CASE WHEN conv_id % 5 = 0 THEN repeat('key ' || conv_id, 20) ELSE 'k' || conv_id END) AS k,
+  unhex(substr(sha256(conv_id::VARCHAR), 1, 32)) || unhex('01') || {le32("turn")} || {le32("strlen(coalesce(role, ''))")} || encode(coalesce(role, '')) || {le32("strlen(coalesce(text, ''))")} || encode(coalesce(text, '')) AS msg FROM conversations)
+SELECT conv_id, turn, {hmac("k", "msg")} AS mac FROM m""",
 }

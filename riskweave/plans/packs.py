@@ -39,7 +39,7 @@ class Exclusion:
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """Weights, thresholds by severity, disabled categories, and the size from which only critical and high patterns count (0: none)."""
+    """Weights, thresholds by severity, disabled categories, the size from which only critical and high patterns count (0: none), and whether long texts are searched near the prefixes' places only."""
 
     hotword: int = 2
     entropy_boost: int = 1
@@ -50,6 +50,7 @@ class ScanConfig:
     thresholds: dict[str, int] = field(default_factory=lambda: {"critical": 1, "high": 2, "medium": 3, "low": 4})
     disabled: tuple[str, ...] = ()
     large: int = 51_200
+    windowed: bool = False
 
 
 PATTERNS = [

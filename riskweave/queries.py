@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.functions.macs import request_mac
 from riskweave.functions.text import RISKY_EXTENSIONS, content_type, entropy, extension, fingerprint, is_risky, normal_domain
-from riskweave.operators import domains, ordered, policy, report, scan, vectors
+from riskweave.operators import automaton, domains, ordered, policy, report, scan, vectors
 from riskweave.plans.packs import DOMAINS, EXCLUSIONS, PATTERNS, POLICIES, ScanConfig
+from riskweave.sources import frame_source, snapshots
+from riskweave.sources.sinks import shared_folder
+from riskweave.streaming import event_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +44,23 @@ def regex_matches(spark, sf_dir):
     return scan.matches(_documents(spark, sf_dir), PATTERNS).select("content_id", "pattern", "value", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "num_matches")
 
 
+def prefix_hits(spark, sf_dir):
+    return automaton.prefix_hits(_documents(spark, sf_dir), PATTERNS)
+
+
+def dictionary_counts(spark, sf_dir):
+    """A dictionary of some hundred entries, the first three words of each benchmark item, in all documents."""
+    first = F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0)
+    entries = [r.entry for r in _table(spark, sf_dir, "benchmark").select(first.alias("entry")).distinct().collect()]
+    rows = automaton.dictionary_hits(_documents(spark, sf_dir), entries)
+    return rows.groupBy("word").agg(F.count("*").alias("hits"), F.count_distinct("content_id").alias("documents"))
+
+
+def windowed_matches(spark, sf_dir):
+    """Matches in long texts as the rules with a prefix see them: near the prefix only."""
+    return scan.matches(_documents(spark, sf_dir), PATTERNS, ScanConfig(windowed=True)).select("content_id", "pattern", "value", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "num_matches")
+
+
 def match_entropy(spark, sf_dir):
     return scan.matches(_documents(spark, sf_dir), PATTERNS).select("content_id", "pattern", F.col("start").cast("long").alias("start"), F.round(entropy(F.col("value")), 6).alias("entropy"))
 
@@ -280,11 +303,95 @@ def clipboard_throttle(spark, sf_dir):
     return ordered.throttled(_timed(spark, sf_dir), "user_id", "seconds", "event_id", "event_type", 3_600.0).groupBy("user_id").agg(F.count_if(F.col("accepted")).alias("accepted"), F.count("*").alias("n"))
 
 
+def _events(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", (F.col("event_type") != "error").alias("ok"))
+
+
+#: Rows may come two hours late; users are not forgotten however long they are idle, as in the queries on the whole table.
+_WAIT = {"late": "120 minutes", "idle": 1e9}
+
+
+def streamed_edges(spark, sf_dir):
+    """tamper_edges over the events as a stream, out of order by up to an hour."""
+    out = event_order.replayed(_events(spark, sf_dir), "ts", lambda s: event_order.edges(s, "user_id", "ts", "event_id", "ok", **_WAIT), 7200)
+    return out.where("edge").select("event_id", "user_id")
+
+
+def streamed_rate_limit(spark, sf_dir):
+    """rate_limit, row by row, over the same stream."""
+    out = event_order.replayed(_events(spark, sf_dir), "ts", lambda s: event_order.limited(s, "user_id", "ts", "event_id", 1 / 20_000, 2.0, late=_WAIT["late"]), 7200)
+    return out.select("event_id", "user_id", "allowed")
+
+
+def streamed_throttle(spark, sf_dir):
+    """clipboard_throttle, row by row, over the same stream."""
+    out = event_order.replayed(_events(spark, sf_dir), "ts", lambda s: event_order.throttled(s, "user_id", "ts", "event_id", "event_type", 3_600.0, **_WAIT), 7200)
+    return out.select("event_id", "user_id", "accepted")
+
+
+def streamed_hello(spark, sf_dir):
+    """The first event of each user."""
+    out = event_order.replayed(_events(spark, sf_dir), "ts", lambda s: event_order.hello_once(s, "user_id", "ts", "event_id", **_WAIT), 7200)
+    return out.where("hello").select("event_id", "user_id")
+
+
+def cached_scans(spark, sf_dir):
+    """All documents twice as a stream, 100 a second, the second time 3 s after the first or, for every second one, 7 s: which look-ups the cache answers."""
+    first = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("doc_id") * 10)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    again = F.make_dt_interval(secs=F.when(F.col("doc_id") % 2 == 0, 3).otherwise(7))
+    rows = docs.select(F.concat_ws("-", "doc_id", F.lit("a")).alias("who"), first.alias("at"), "text").unionByName(docs.select(F.concat_ws("-", "doc_id", F.lit("b")).alias("who"), (first + again).alias("at"), "text"))
+    out = event_order.replayed(rows, "at", lambda s: event_order.cached(s, "at", "who", shards=8), 10.0, slices=2)
+    return out.select("who", "hit", "answered_by")
+
+
+def profile_snapshots(spark, sf_dir):
+    """Policies by source of documents and one row of numbers: a first version, a profile that changes both, a refused profile, and a way back; what readers of each version see."""
+    path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    sources = _table(spark, sf_dir, "documents").where("source is not null").groupBy(F.concat(F.regexp_replace(F.lower("source"), "[^a-z0-9]", "_"), F.lit("_admin")).alias("category")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    numbers = spark.createDataFrame([(1, 2, 3, 4, 2, 1, -2, -3, 1)], ", ".join(f"{k} int" for k in policy.DLP_KEYS))
+    first = snapshots.commit(snapshots.Snapshot(spark, path), {snapshots.POLICIES: sources.select("category", F.lit("allow").alias("action")), snapshots.CONFIG: numbers}, "first")
+    changes = sources.where("chars > 2000 * n").select("category", F.lit("deny").alias("action"))
+    override = numbers.select(F.lit(5).alias("threshold_high"), F.lit(0).alias("threshold_low"))
+    snapshots.apply_profile(first, changes, override, "profile")
+    try:
+        snapshots.apply_profile(first, changes, override, "too late")
+    except snapshots.Conflict:
+        snapshots.rolled_back(spark, path, 1)
+    out = None
+    for v in snapshots.versions(spark, path):
+        pinned = snapshots.Snapshot(spark, path, v)
+        seen = pinned.table(snapshots.POLICIES).crossJoin(F.broadcast(pinned.table(snapshots.CONFIG).select("threshold_high", "threshold_low"))).select(F.lit(v).cast("long").alias("version"), "category", "action", "threshold_high", "threshold_low")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+def framed_conversations(spark, sf_dir):
+    """Conversations written as length-prefixed frames and read back by the source."""
+    folder = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    rows = _table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("json"))
+    written = f"{folder}-written"
+    frame_source.write_frames(rows, "json", folder).write.parquet(written)
+    spark.dataSource.register(frame_source.FrameSource)
+    # files of attempts that were lost are in no row of what was written
+    read = spark.read.format("frames").option("chunk", 4096).load(folder).join(spark.read.parquet(written), "file", "left_semi")
+    kinds = "conv_id long, turn long, role string, text string"
+    return read.where("error is null").select(F.from_json("json", kinds).alias("m")).select("m.*")
+
+
+def conversation_macs(spark, sf_dir):
+    """The code of each conversation row as a request; every fifth key is longer than a block."""
+    key = F.when(F.col("conv_id") % 5 == 0, F.repeat(F.concat(F.lit("key "), F.col("conv_id").cast("string")), 20)).otherwise(F.concat(F.lit("k"), F.col("conv_id").cast("string")))
+    nonce = F.substring(F.sha2(F.col("conv_id").cast("string"), 256), 1, 32)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", request_mac(key, nonce, F.col("turn"), F.col("role"), F.col("text")).alias("mac"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        classify_documents, classify_conversations, prefix_candidates, severity_guard, status_counts, config_violations, scan_large, regex_matches, match_entropy, hotword_context, exclusion_eval, score_matches, scan_documents, scan_conversations, scan_dedup, scan_by_source, scan_by_lang, blocked_counters,
+        classify_documents, classify_conversations, prefix_candidates, severity_guard, status_counts, config_violations, scan_large, regex_matches, prefix_hits, dictionary_counts, windowed_matches, match_entropy, hotword_context, exclusion_eval, score_matches, scan_documents, scan_conversations, scan_dedup, scan_by_source, scan_by_lang, blocked_counters,
         resolve_page_hosts, dns_verdicts, tier2_hosts, rule_precedence, override_merge, accuracy_report, accuracy_by_lang, pattern_fp, pattern_fn, report_examples, corpus_categories, accuracy_regression, centroids, prefilter_verdicts, linear_head, disambiguator_scores, scan_with_ml,
         tamper_edges, counter_deltas, last_notifications, id_rollback, byte_budget, enforcement_decisions, risky_extensions, manifest_delta, clipboard_fingerprints, rate_limit, clipboard_throttle,
+        streamed_edges, streamed_rate_limit, streamed_throttle, streamed_hello, cached_scans, profile_snapshots, framed_conversations, conversation_macs,
     )
 }

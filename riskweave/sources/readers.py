@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from riskweave.functions.text import category_name, fold, form_body
 from riskweave.plans.packs import CONTENT_TYPES, EXCLUSION, PATTERN, Exclusion, Pattern
@@ -110,28 +112,42 @@ def first_bytes(text: Column, cap: int = SCAN_CAP) -> Column:
 NO_TEXT_INPUTS = ("button", "checkbox", "color", "date", "datetime-local", "email", "file", "hidden", "image", "month", "number", "password", "radio", "range", "reset", "submit", "tel", "time", "week")
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of a tag's first attribute of that name, quoted or not; null without one."""
-    one = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?"""
-    every = F.regexp_extract_all(F.regexp_replace(tag, "^<[A-Za-z]+", ""), F.lit(one), F.lit(0))
-    hit = F.get(F.filter(every, lambda x: F.lower(F.regexp_extract(x, r"^[^\s=]+", 0)) == name), F.lit(0))
-    return F.regexp_replace(F.regexp_replace(hit, r"(?s)^[^=]*=?\s*", ""), r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
+#: A tag with its attributes; one that is not closed takes the rest, so it is looked at once.
+_TAG = re.compile(r"""(?is)<(textarea|input)\b((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)""")
+_CLOSE = re.compile(r"(?i)</textarea>")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'<>]++))?""")
+#: Fixed: names of characters in texts and values.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+_ENTITY = re.compile("|".join(ENTITIES))
 
 
-def _unescaped(text: Column) -> Column:
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts, and one without a value is empty."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
 
 
-def form_text(html: Column) -> Column:
-    """Texts of textareas and of text, search and url inputs, in document order, joined by line ends. Null html has none."""
-    item = r"""(?is)<textarea\b(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?</textarea>|<input\b(?:[^>"']++|"[^"]*"|'[^']*')*+>"""
-    area = r"""(?is)^<textarea\b(?:[^>"']++|"[^"]*"|'[^']*')*+>(?:\r?\n)?(.*)</textarea>$"""
-    whole = F.coalesce(F.regexp_extract_all(html, F.lit(item), F.lit(0)), F.array().cast("array<string>"))
-    plain = lambda x: ~F.lower(F.coalesce(_attribute(x, "type"), F.lit(""))).isin(*NO_TEXT_INPUTS)
-    text = lambda x: F.when(x.rlike("(?i)^<textarea"), F.regexp_extract(x, area, 1)).when(plain(x), F.coalesce(_attribute(x, "value"), F.lit(""))).otherwise("")
-    return F.array_join(F.filter(F.transform(whole, lambda x: _unescaped(text(x))), lambda x: x != ""), "\n")
+def form_texts(html: str) -> list[str]:
+    """Texts of a page's form, not empty; see form_text."""
+    out, at = [], 0
+    while (tag := _TAG.search(html, at)) and tag[3]:
+        at = tag.end()
+        if tag[1].lower() == "textarea":
+            close = _CLOSE.search(html, at)
+            text, at = html[at : close.start() if close else len(html)], close.end() if close else len(html)
+            out.append(re.sub(r"^\r?\n", "", text))
+        else:
+            own = _attributes(tag[2])
+            out.append("" if own.get("type", "").lower() in NO_TEXT_INPUTS else own.get("value", ""))
+    return [_ENTITY.sub(lambda m: ENTITIES[m[0]], x) for x in out if x]
+
+
+@F.pandas_udf(StringType())
+def form_text(html: pd.Series) -> pd.Series:
+    """Texts of textareas and of text, search and url inputs, in document order, joined by line ends. Null html has none; a textarea that is not closed reaches to the end, and a tag that is not closed holds nothing."""
+    return html.map(lambda x: "\n".join(form_texts(x or "")))
 
 
 def body_text(kind: Column, text: Column, raw: Column, names: Column, values: Column, cap: int = SCAN_CAP) -> Column:

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.operators.policy import DLP_KEYS, valid_config
+from riskweave.operators.policy import DLP_KEYS, checked_config
 
 COUNTERS = ("dns_queries", "dns_blocks", "dlp_scans", "dlp_blocks", "tamper_events")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only on a local master where that is unset, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/riskweave"
+
+
 def _places(spark: SparkSession, path: str):
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old, now = (jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in (".new", ".old", ""))
@@ -69,9 +82,7 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
 
 def replace_config(config: DataFrame, path: str) -> None:
     """Replaces the one row of scan numbers, if they are valid."""
-    if config.count() != 1 or config.where(valid_config()).isEmpty():
-        raise ValueError("one row of valid numbers is wanted")
-    replaced(config.select(*DLP_KEYS), path)
+    replaced(checked_config(config).select(*DLP_KEYS), path)
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:

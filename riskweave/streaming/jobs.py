@@ -65,7 +65,7 @@ def flush_into(path: str, counters: Callable[[DataFrame], DataFrame]) -> Callabl
 
 
 def _keyed(stream: DataFrame, key: str, columns: list[str], added: str, step: Callable, idle: float, state: str) -> DataFrame:
-    """Rows of each key in order of columns[0] through step(held or None, values) -> (answer, held); the state is dropped after idle seconds without a row."""
+    """Rows of each key in order of columns[0] through step(held or None, values) -> (answer, held); the state is dropped after idle seconds without a row. The order holds within a trigger, whose rows of a key are gathered, however many Arrow batches they come in; event_order has it across triggers."""
     kinds = dict(stream.dtypes)
 
     def run(k, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -73,13 +73,12 @@ def _keyed(stream: DataFrame, key: str, columns: list[str], added: str, step: Ca
             held.remove()
             return
         now = held.get if held.exists else None
-        for batch in batches:
-            batch = batch.sort_values(columns[0], kind="stable")
-            out = []
-            for values in zip(*(batch[c] for c in columns), strict=True):
-                said, now = step(now, *values)
-                out.append(said)
-            yield batch[[key, *columns]].assign(**{added: pd.Series(out, dtype="bool", index=batch.index)})
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(columns[0], kind="stable")
+        out = []
+        for values in zip(*(rows[c] for c in columns), strict=True):
+            said, now = step(now, *values)
+            out.append(said)
+        yield rows[[key, *columns]].assign(**{added: pd.Series(out, dtype="bool", index=rows.index)})
         if now is not None:
             held.update(tuple(now))
         held.setTimeoutDuration(int(max(idle, 1.0) * 1000))

@@ -73,7 +73,7 @@ def test_profile(spark, tmp_path):
     sinks.replace_config(numbers, str(tmp_path / "c"))
     assert sinks.read_config(spark, str(tmp_path / "c")).head().threshold_high == 5
     with pytest.raises(ValueError, match="valid"):
-        sinks.replace_config(numbers.withColumn("exclusion_penalty", F.lit(1)), str(tmp_path / "c"))
+        sinks.replace_config(numbers.withColumn("exclusion_penalty", F.lit(101)), str(tmp_path / "c"))
     sinks.replaced(new, str(tmp_path / "p"))
     assert [r.category for r in sinks.read_policies(spark, str(tmp_path / "p")).collect()] == ["News", "Social"]
 
