@@ -10,10 +10,9 @@ members; sizes and bitmaps of the sets rule out most unlike pairs, full sets con
 linked classes become components. Then only buckets that still hold different components go on.
 
 Buckets that stay mixed hold texts with passages in common that are not near copies. Their members
-are dealt anew, by the shingles of each set's prefix: the rarest ones among these texts, so many that
-two sets at the threshold must have one in common. With the shingle's position in both orders bounding
-what can follow it, texts that only share frequent passages no longer meet. Buckets split by set size
-too, with sizes of one class or the next together.
+are dealt anew by a second, longer signature of other hashes and by wider bands: two sets at the
+threshold have one in common in all but 2 of a million cases, while of two that share half or less of
+their union few ever meet, so the pairs to judge are few even where all texts share passages.
 
 From then on a bucket has many centres at a time, none of them from its largest component. A group of
 near copies is one component after the first stars, all but a few, so what is left to find are links
@@ -33,8 +32,8 @@ result. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,21 +48,17 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Centres of a bucket in the first rounds and in later ones; the round before which mixed buckets are dealt anew.
 FIRST, LATER, REFINED = 1, 256, 1
+#: Bands and rows by which mixed buckets are dealt anew, and what their hashes are mixed with.
+SHARP_BANDS, SHARP_ROWS, SHARP_MIX = 128, 8, np.uint64(0x9FB21C651E98DF25)
 #: Members of a bucket's part, and pairs that a task judges at once.
 PART, PAIRS = 4096, 1 << 17
-#: Ratio of the sizes that bound a size class; above that of two sets at the threshold, so a pair's classes are equal or neighbours.
-SIZE_RATIO = 1.01 * 100 / PERCENT
 #: Bits of the filter that spares most texts without a partner the shuffle; it only lets too many pass when it is full.
 FILTER_BITS = 1 << 26
 #: Bits of the bitmap of a set that spares most unlike pairs the comparison of full sets, and of the small one that members of buckets carry.
 BITMAP, SMALL = 2048, 1024
 
-BINS = BANDS * ROWS
 #: Columns of a member of a bucket.
-MEMBER = ["key", "rep", "n", "room", "low"]
-_SHIFT = np.uint64(64 - (BINS - 1).bit_length())
-#: Row i: the order in which bin i, when empty, looks for a filled one.
-_PROBES = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1)
+MEMBER = ["key", "rep", "n"]
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, k: int = WORDS) -> np.ndarray:
@@ -71,23 +66,34 @@ def shingle_set(words: list[bytes], hashes: WordHashes, k: int = WORDS) -> np.nd
     return np.unique(grams(hashes.of(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def signature(members: np.ndarray) -> np.ndarray:
-    """Least member of each bin, empty bins densified. members: sorted, so the first of a bin is its least."""
-    filled, first = np.unique((members >> _SHIFT).astype(np.int64), return_index=True)
-    out, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
+@lru_cache(2)
+def _probes(bins: int) -> np.ndarray:
+    """Row i: the order in which bin i, when empty, looks for a filled one."""
+    return np.argsort(np.random.default_rng(20240229).random((bins, bins)), axis=1)
+
+
+def signature(members: np.ndarray, bins: int = BANDS * ROWS) -> np.ndarray:
+    """Least member of each bin (a power of 2 of them), empty bins densified. members: sorted, so the first of a bin is its least."""
+    filled, first = np.unique((members >> np.uint64(64 - (bins - 1).bit_length())).astype(np.int64), return_index=True)
+    out, full = np.zeros(bins, np.uint64), np.zeros(bins, bool)
     out[filled], full[filled] = members[first], True
-    if len(filled) < BINS:
+    if len(filled) < bins:
         empty = np.flatnonzero(~full)
-        probes = _PROBES[empty]
+        probes = _probes(bins)[empty]
         out[empty] = out[probes[np.arange(len(empty)), full[probes].argmax(axis=1)]]
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    keys = np.array([xxhash.xxh3_64_intdigest(part.tobytes(), seed=i) for i, part in enumerate(sig.reshape(BANDS, ROWS))], np.uint64)
+def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    keys = np.array([xxhash.xxh3_64_intdigest(part.tobytes(), seed=i) for i, part in enumerate(sig.reshape(bands, -1))], np.uint64)
     return keys.view(np.int64)
 
 
+def sharp_keys(members: np.ndarray) -> np.ndarray:
+    """Keys of the second signature."""
+    return band_keys(signature(np.sort(mixed(members ^ SHARP_MIX)), SHARP_BANDS * SHARP_ROWS), SHARP_BANDS)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches):
@@ -155,7 +161,7 @@ def _judged(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches):
         carried = None
         for batch in batches:
-            own = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "part", "is_centre", "rep", "n", "room", "low", "comp")}
+            own = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "part", "is_centre", "rep", "n", "comp")}
             own["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, SMALL // 64)
             if carried is not None:
                 own = {k: np.concatenate([carried[k], v]) for k, v in own.items()}
@@ -180,8 +186,8 @@ def _fitting(own: dict[str, np.ndarray], rows: np.ndarray, first: np.ndarray, co
     """Each of these rows with the `count` centres from place `first` on."""
     x = np.repeat(rows, count)
     c = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(x))
-    n, room, comp, low, rep = (own[k] for k in ("n", "room", "comp", "low", "rep"))
-    ok = (comp[c] != comp[x]) & ~(low[c] & low[x]) & (100 * np.minimum(n[c], n[x]) >= PERCENT * np.maximum(n[c], n[x])) & ((100 + PERCENT) * np.minimum(room[c], room[x]) >= PERCENT * (n[c] + n[x]))
+    n, comp, rep = (own[k] for k in ("n", "comp", "rep"))
+    ok = (comp[c] != comp[x]) & (100 * np.minimum(n[c], n[x]) >= PERCENT * np.maximum(n[c], n[x]))
     c, x = c[ok], x[ok]
     differ = np.bitwise_count(own["bits"][c] ^ own["bits"][x]).sum(axis=1, dtype=np.int64)
     ok = _near(differ, n[c] + n[x])
@@ -196,40 +202,21 @@ def _fitting(own: dict[str, np.ndarray], rows: np.ndarray, first: np.ndarray, co
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (rep[c], rep[x], a, b, differ)], ["c", "x", "a", "b", "differ"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches):
         sets = [shingle_set(t.lower().split(), hashes) for t in text_bytes(batch.column("text"))]
-        ids = np.repeat(batch.column("rep").to_numpy(), list(map(len, sets)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "token"])
-
-
-def _bounds() -> list[Column]:
-    """Of a bucket: the least size and the most room."""
-    return [F.min("n").alias("least_n"), F.max("room").alias("most_room")]
-
-
-def _can_fit() -> Column:
-    """Whether a bucket with these bounds can hold a partner: the rooms of two sets at the threshold reach the share that both sizes ask for."""
-    return (100 + PERCENT) * F.least("room", "most_room") * 100 >= PERCENT * (F.col("n") * 100 + F.greatest(F.col("least_n") * 100, F.col("n") * PERCENT))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sharp_keys, sets)), pa.list_(pa.int64()))], ["rep", "n", "keys"])
 
 
 def _refined(live: DataFrame, texts: DataFrame) -> DataFrame:
-    """members (key, rep, n, room, low) of new buckets: a key is a shingle of the members' prefixes in order of rarity among them, and a size class. Any two sets at the threshold have one in common. room: the key and what follows it in the order, which is all that two sets can share if the key is the first they share. low: the set is of the class below; two such sets meet in their own class."""
-    reps = live.select("rep", "n").distinct()
-    tokens = stored(texts.join(reps, "rep", "left_semi").mapInArrow(_tokens, "rep long, token long"), "tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    sets = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("members"))
-    size = F.size("members")
-    prefix = F.transform(F.slice("members", F.lit(1), size - F.ceil(size * PERCENT / 100).cast("int") + 1), lambda m, i: F.struct(m.often.alias("often"), m.token.alias("key"), (F.size("members") - i).cast("long").alias("room")))
-    keys = sets.select("rep", size.cast("long").alias("n"), F.explode(F.filter(prefix, lambda m: m.often > 1)).alias("m"))
-    # a bucket is a shingle and a pair of neighbouring size classes
-    size_class = F.floor(F.log("n") / math.log(SIZE_RATIO))
-    split = keys.select("m.key", "rep", "n", "m.room", size_class.alias("own"), F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
-    split = split.select(F.xxhash64("key", "sizes").alias("key"), "rep", "n", "room", (F.col("own") < F.col("sizes")).alias("low"))
-    meeting = split.groupBy("key").agg(*_bounds(), F.count("*").alias("held"), F.bool_and("low").alias("all_low")).where("held > 1 and not all_low")
-    out = stored(split.join(meeting, "key").where(_can_fit()).select(*MEMBER), "members")
-    discard(tokens)
+    """members (key, rep, n) of new buckets: those of the second signature's bands that more than one text has."""
+    reps = live.select("rep").distinct()
+    keys = stored(texts.join(reps, "rep", "left_semi").mapInArrow(_sharp, "rep long, n long, keys array<long>"), "keys")
+    rows = keys.select("rep", "n", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    out = stored(rows.join(shared, "key").select(*MEMBER), "members")
+    discard(keys)
     return out
 
 
@@ -298,17 +285,17 @@ def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _live(members: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components, with component and small bitmap, the bucket's parts, and whether they can be centres: not those of its largest component. Members that the bucket's bounds show to be without a partner are left out."""
+    """Members of buckets that still hold several components, with component and small bitmap, the bucket's parts, and whether they can be centres: not those of its largest component."""
     here = members.join(labels, "rep").join(bitmaps.select("rep", F.col("small").alias("bits")), "rep")
-    by_comp = here.groupBy("key", "comp").agg(*_bounds(), F.count("*").alias("held"), F.bool_and("low").alias("low"))
-    buckets = by_comp.groupBy("key").agg(F.min("least_n").alias("least_n"), F.max("most_room").alias("most_room"), F.sum("held").alias("held"), F.count("*").alias("comps"), F.bool_and("low").alias("all_low"), F.max(F.struct("held", "comp")).getField("comp").alias("largest"))
-    buckets = buckets.where("comps > 1 and not all_low").select("key", "least_n", "most_room", "largest", F.ceil(F.col("held") / PART).cast("int").alias("parts"))
-    return stored(here.join(buckets, "key").where(_can_fit()).select(*MEMBER, "comp", "bits", "parts", (F.col("comp") != F.col("largest")).alias("small_comp")), "live")
+    buckets = here.groupBy("key", "comp").agg(F.count("*").alias("held"))
+    buckets = buckets.groupBy("key").agg(F.sum("held").alias("held"), F.count("*").alias("comps"), F.max(F.struct("held", "comp")).getField("comp").alias("largest"))
+    buckets = buckets.where("comps > 1").select("key", "largest", F.ceil(F.col("held") / PART).cast("int").alias("parts"))
+    return stored(here.join(buckets, "key").select(*MEMBER, "comp", "bits", "parts", (F.col("comp") != F.col("largest")).alias("small_comp")), "live")
 
 
 def _pairs(live: DataFrame, centres: DataFrame, every: bool) -> DataFrame:
     """The pairs of centres and members, see _judged; a centre meets each part of its bucket."""
-    columns = ["key", "part", "is_centre", "rep", "n", "room", "low", "comp", "bits"]
+    columns = ["key", "part", "is_centre", "rep", "n", "comp", "bits"]
     met = live.select("*", F.pmod(F.xxhash64(F.lit("part"), "rep"), "parts").cast("int").alias("part"), F.lit(False).alias("is_centre"))
     copies = centres.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_centre"))
     rows = met.select(*columns).unionByName(copies.select(*columns)).repartition("key", "part").sortWithinPartitions("key", "part", F.desc("is_centre"))
@@ -337,7 +324,7 @@ def near_duplicates(docs: DataFrame, detailed: bool = False) -> DataFrame:
     classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "row.doc_id", "row.mark", "n", "bands"), "classes")
     bands = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    members = stored(bands.join(shared, "key").select("key", "rep", "n", F.col("n").alias("room"), F.lit(False).alias("low")), "members")
+    members = stored(bands.join(shared, "key").select(*MEMBER), "members")
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "labels")
     texts = _texts(docs, classes.join(labels, "rep", "left_semi").select("rep", "doc_id", "mark"))
     bitmaps = stored(texts.mapInArrow(_bitmaps, "rep long, n long, bits array<long>, small binary"), "bitmaps")
