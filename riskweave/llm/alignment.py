@@ -28,8 +28,10 @@ import hashlib
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, text_bytes
 
-#: Parts that a worker process remembers for each tokenizer, and their bytes.
-KEPT, KEPT_BYTES = 400_000, 32 << 20
+#: Parts that a worker process remembers for each tokenizer, twice, and the longest of them.
+KEPT, KEPT_LENGTH = 400_000, 64
 #: Distinct pairs that a task counts before it hands them on; pairs of a block of counts.
 COUNTED = BLOCK = 4_000_000
 SPACE_MARK = "▁"
@@ -66,38 +68,39 @@ def byte_values() -> dict[str, int]:
 
 
 class Parts:
-    """Token ids of parts of texts, in arrays; a part is encoded once."""
+    """Token ids of parts of texts; a part is encoded once, and kept for as long as it is in use: what no text has held since the memory was last full goes when it is full again."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], bytes_of: list[bytes]):
         self.encode, self.bytes_of = encode, bytes_of
         self.size = np.array([len(x) for x in bytes_of], np.int64)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.held = 0
-        self.ids, self.count, self.start, self.whole = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-
-    def numbers(self, parts: list[str]) -> np.ndarray:
-        fresh = [x for x in dict.fromkeys(parts) if x not in self.number]
-        if fresh:
-            if len(self.number) + len(fresh) > KEPT or self.held > KEPT_BYTES:
-                self._clear()
-                fresh = list(dict.fromkeys(parts))
-            ids = self.encode(fresh)
-            count = np.array(list(map(len, ids)), np.int64)
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
-            self.held += sum(map(len, fresh))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))])
-            self.whole = np.concatenate([self.whole, np.array([b"".join(map(self.bytes_of.__getitem__, i)) == x.encode() for x, i in zip(fresh, ids, strict=True)], bool)])
-        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
-
-    def tokens(self, numbers: np.ndarray) -> np.ndarray:
-        count = self.count[numbers]
-        first = self.start[numbers] - np.cumsum(count) + count
-        return self.ids[np.repeat(first, count) + np.arange(int(count.sum()))]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Parts that do not come back byte by byte.
+        self.broken: set[str] = set()
+
+    def _learned(self, fresh: set[str]) -> list[str]:
+        """Sees to it that these parts are known; returns those that are too long to stay."""
+        known, older = self.known, self.older
+        known.update([(x, older[x]) for x in fresh if x in older])
+        new = [x for x in fresh if x not in known]
+        for x, ids in zip(new, self.encode(new), strict=True):
+            known[x] = array("i", ids).tobytes()
+            if b"".join([self.bytes_of[i] for i in ids]) != x.encode():
+                self.broken.add(x)
+        return [x for x in new if len(x) > KEPT_LENGTH]
+
+    def of(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, as 32-bit integers."""
+        distinct = set(parts)
+        fresh = distinct.difference(self.known)
+        if len(self.known) + len(fresh) > KEPT:
+            self.older, self.known, self.broken, fresh = self.known, {}, set(), distinct
+            self.broken.update(x for x in distinct if x in self.older and b"".join([self.bytes_of[i] for i in array("i", self.older[x])]) != x.encode())
+        long = self._learned(fresh) if fresh else []
+        out = list(map(self.known.__getitem__, parts))
+        for x in long:
+            del self.known[x]
+        return out
 
 
 class TokenizerA:
@@ -148,13 +151,15 @@ def tokenizers(a: str, b: str) -> tuple[TokenizerA, TokenizerB]:
     return TokenizerA(a), TokenizerB(b)
 
 
-def _encoded(tok: TokenizerA | TokenizerB, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the texts' parts, how many each text has, and which texts come back byte by byte."""
+def _encoded(tok: TokenizerA | TokenizerB, texts: list[str]) -> tuple[np.ndarray, Callable[[], np.ndarray], np.ndarray]:
+    """Ids of all texts, a function that tells how many each has, and which texts come back byte by byte."""
     cut = list(map(tok.cut, texts))
-    per_text = np.array(list(map(len, cut)), np.int64)
-    numbers = tok.parts.numbers([x for parts in cut for x in parts])
-    broken = np.bincount(np.repeat(np.arange(len(texts)), per_text), ~tok.parts.whole[numbers], len(texts))
-    return numbers, per_text, broken == 0
+    ids = tok.parts.of(list(chain.from_iterable(cut)))
+    good = np.ones(len(texts), bool)
+    if broken := tok.parts.broken:
+        good = np.array([broken.isdisjoint(parts) for parts in cut], bool)
+    per_text = lambda: np.add.reduceat([*map(len, ids), 0], np.cumsum([0, *map(len, cut)])[:-1]) // 4 if texts else np.zeros(0, np.int64)
+    return np.frombuffer(b"".join(ids), "<i4"), per_text, good
 
 
 def _digits(n: int) -> np.ndarray:
@@ -212,9 +217,9 @@ def joined(tok_a: TokenizerA, tok_b: TokenizerB, texts: list[bytes | None]) -> t
     mark = SPACE_MARK.encode()
     own = np.array([i for i, x in enumerate(texts) if x and mark not in x], np.int64)
     spaced = [" " + texts[i].decode() for i in own]
-    parts = [_encoded(t, spaced) for t in (tok_a, tok_b)]
-    good = parts[0][2] & parts[1][2]
-    a, b = (t.parts.tokens(numbers[np.repeat(good, per_text)]) for t, (numbers, per_text, _) in zip((tok_a, tok_b), parts, strict=True))
+    told = [_encoded(t, spaced) for t in (tok_a, tok_b)]
+    good = told[0][2] & told[1][2]
+    a, b = (ids if good.all() else ids[np.repeat(good, per_text())] for ids, per_text, _ in told)
     size = np.array([len(texts[i]) + 1 for i in own], np.int64)[good]
     return own[good], Joined(a, b, tok_a.parts.size, tok_b.parts.size, np.concatenate([np.zeros(1, np.int64), np.cumsum(size)]))
 
