@@ -13,12 +13,15 @@ joins it with sums of itself and writes it to the shared folder between turns.
 
 Cases: null values of a dimension are a value of their own; null texts have no tokens and enter
 with weight 0 and probability 0; an empty table gives an empty result, long texts count whole, and
-other columns are dropped, whatever their names. Sampling depends on doc_id
-and the seed only, so repeated rows stay or go together.
+other columns are dropped, whatever their names, but for those to carry. Sampling depends on the seed,
+doc_id and text, so repeated rows with an id stay or go together, and texts under one id each for itself;
+rows without an id are drawn by their place in the stored table, each for itself, equal ones too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,10 +97,19 @@ def _scale(cells: DataFrame, draw: float) -> float:
     return high
 
 
-def mixed_sample(docs: DataFrame, draw: float = DRAW, power: float = POWER, seed: int = 7, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """docs (doc_id, text, source, lang, perhaps topic) -> doc_id, source, lang, topic, n_words, probability, sampled, weight (of a sampled document, for weighted sums to meet the marginals exactly in expectation), gap (one number for all rows; null without tokens). Targets: (value, share) by dimension; else flattened from the tokens that are there."""
+def drawn_at(seed: Column) -> Column:
+    """A number from 0 to 1 for each row of mixed_sample's table, even over rows that no id tells apart."""
+    named = F.when(F.col("doc_id").isNull(), F.xxhash64(seed, F.lit("row"), F.col("_row"))).otherwise(F.xxhash64(seed, F.col("doc_id"), F.col("_mark")))
+    return named.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+
+
+def mixed_sample(docs: DataFrame, draw: float = DRAW, power: float = POWER, seed: int = 7, targets: dict[str, DataFrame] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text, source, lang, perhaps topic) -> doc_id, source, lang, topic, n_words, probability, sampled, weight (of a sampled document, for weighted sums to meet the marginals exactly in expectation), gap (one number for all rows; null without tokens). Targets: (value, share) by dimension; else flattened from the tokens that are there. With carry also those columns of docs, and _row and _mark, by which drawn_at draws."""
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"))
-    named = docs.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit(_NONE)).alias(c) for c in ("source", "lang")], F.coalesce(topic, F.lit(_NONE)).alias("topic"), n_words(F.col("text")).alias("n_words"))
+    extra = [c for c in carry if c not in ("doc_id", *DIMENSIONS)]
+    # the number is fixed by writing the table
+    own = [F.monotonically_increasing_id().alias("_row"), F.xxhash64(F.col("text").cast("string")).alias("_mark")]
+    named = docs.select("doc_id", *own, *extra, *[F.coalesce(F.col(c).cast("string"), F.lit(_NONE)).alias(c) for c in ("source", "lang")], F.coalesce(topic, F.lit(_NONE)).alias("topic"), n_words(F.col("text")).alias("n_words"))
     counted = stored(named, "counted")
     cells = stored(counted.groupBy(*DIMENSIONS).agg(F.sum("n_words").alias("tokens")).where("tokens > 0"), "cells")
     fitted = raked(cells, targets or {d: flattened(cells, d, power) for d in DIMENSIONS})
@@ -106,6 +118,5 @@ def mixed_sample(docs: DataFrame, draw: float = DRAW, power: float = POWER, seed
     gap = fitted.select("gap").head()
     out = counted.join(fitted.select(*DIMENSIONS, wanted), list(DIMENSIONS), "left")
     chance = F.when(F.col("n_words") > 0, F.coalesce(F.least(F.col("wanted"), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
-    draw_at = (F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53))
     null_back = lambda c: F.when(F.col(c) != _NONE, F.col(c)).alias(c)
-    return out.select("doc_id", *map(null_back, DIMENSIONS), "n_words", chance.alias("probability"), (draw_at < chance).alias("sampled"), F.coalesce(F.when(chance > 0, F.col("wanted") / chance), F.lit(0.0)).alias("weight"), F.lit(gap and gap[0]).cast("double").alias("gap"))
+    return out.select("doc_id", *map(null_back, DIMENSIONS), "n_words", chance.alias("probability"), (drawn_at(F.lit(seed)) < chance).alias("sampled"), F.coalesce(F.when(chance > 0, F.col("wanted") / chance), F.lit(0.0)).alias("weight"), F.lit(gap and gap[0]).cast("double").alias("gap"), *([*extra, "_row", "_mark"] if carry else []))
