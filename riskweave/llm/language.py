@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes
@@ -138,8 +138,12 @@ def trained(docs: DataFrame, learn: Column) -> ByteNet | None:
         return None
     each = max(1, min(SAMPLE_EACH, SAMPLE // len(counts)))
     rates = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r["count"])) for r in counts], "lang string, rate double")
-    chance = F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    sample = rows.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).select("lang", "text").mapInArrow(_cut, "lang string, window binary")
+    place = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    chance = place.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    likely = rows.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).select("lang", "text", place.alias("place"))
+    # rows that no id tells apart enter together; the limit holds for them, too, and each task hands on no more than it allows
+    limit = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    sample = likely.withColumn("nth", limit).where(F.col("nth") <= 2 * each).select("lang", "text").mapInArrow(_cut, "lang string, window binary")
     got = sorted((r.lang, bytes(r.window)) for r in sample.collect())
     languages = sorted({lang for lang, _ in got})
     if not languages:
