@@ -132,7 +132,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, first: int = 0) ->
     upper = F.concat(F.lit("AKIA"), F.upper(F.translate(F.left(salt("aki"), F.lit(16)), "0189", "KQZW")))
     digit = F.concat(F.lit("7"), based)
     assigned = F.concat(pick("key", ["password", "passwd", "token", "secret", "api_key", "auth_token", "access_key"]), pick("eq", ["=", ": ", " = \"", "=\""]))
-    word = pick("word", ["report", "index", "document", "service", "image", "the", "release", "thention", "lichung", "ciones"])
+    word = pick("word", ["report", "index", "document", "service", "image", "the", "release", "annual", "summary", "chapter"])
     number = F.pmod(F.xxhash64(F.lit("num"), i), F.lit(10**12)).cast("string")
     date = F.concat_ws("-", size("y", 1990, 2030).cast("string"), F.lpad(size("m", 1, 12).cast("string"), 2, "0"), F.lpad(size("d", 1, 28).cast("string"), 2, "0"))
     uuid = F.concat_ws("-", *[F.substring(salt("uuid"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
