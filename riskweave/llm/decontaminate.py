@@ -14,7 +14,7 @@ one, so rows never meet in a shuffle, and results do not depend on the number of
 proportion to the words on either side, whatever repeats.
 
 Cases: null and empty texts have no words; null and empty items have no window; items of one id count
-once. Repeated rows, and rows without doc_id, give a result row each; empty tables give an empty
+once; words of items without an id are hits, but no item is named for them. Repeated rows, and rows without doc_id, give a result row each; empty tables give an empty
 result, or no hits. Very long texts are taken whole. Other columns are not read.
 """
 
@@ -59,7 +59,7 @@ def winnowed(h: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndar
 class Fingerprints:
     """What one block of benchmark items is looked up by, as sorted arrays: fingerprints, whole windows with their items, and items that are shorter than a window, by their length."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         hashes, names = WordHashes(), {}
         prints, by_size = [], defaultdict(list)
         for item, words in items:
@@ -95,7 +95,7 @@ class Fingerprints:
                 same = np.unique(g[hit])
                 for i, j in zip(np.searchsorted(ordered, same, "left"), np.searchsorted(ordered, same, "right"), strict=True):
                     items.update(owners[i:j].tolist())
-        return found, {self.names[i] for i in items}
+        return found, {self.names[i] for i in items} - {None}
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def _scanner(blocks: list, kept: list[str]) -> Callable[[Iterator[pa.RecordBatch
     return scan
 
 
-def _blocks(items: Iterator, size: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(items: Iterator, size: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items as (name, words) in blocks of about `size` bytes; an item above it is cut, with an overlap by which no window is lost."""
     block, held = [], 0
     for r in items:
@@ -162,7 +162,7 @@ def _blocks(items: Iterator, size: int) -> Iterator[list[tuple[str, list[bytes]]
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, n_words, n_hit, starts and ends of the hit word spans, items (sorted ids as strings); and the columns in carry (other names than these), each row with its own."""
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     blocks = [sc.broadcast(Fingerprints(block)) for block in _blocks(items.toLocalIterator(), block_bytes)]
     carry = [c for c in carry if c != "doc_id"]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c != "text"])
