@@ -9,14 +9,12 @@ Columns besides those of documents are dropped.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import decontaminate, mixing, near_dedup, quality, token_files
-from riskweave.llm.common import shared_dir, stored
+from riskweave.llm.common import shared_dir
 from riskweave.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,18 +47,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of the documents as the calibrated mix draws them: each as often as it is wanted, whole times and once more with the chance of the rest, so that cells smaller than their share reach it in expectation."""
-    cell = ["doc_id", *mixing.DIMENSIONS]
-    drawn = stored(mixing.mixed_sample(docs, draw=DRAW).where("n_words > 0").select(*cell, "n_words", (F.col("probability") * F.col("weight")).alias("wanted")), "mix")
-    total, uncapped = drawn.agg(F.sum("n_words"), F.sum(F.col("wanted") * F.col("n_words"))).head()
+    """Copies of the documents as the calibrated mix draws them: each as often as it is wanted, whole times and once more with the chance of the rest, so that cells smaller than their share reach it in expectation. Rows without an id are drawn each for itself."""
+    drawn = mixing.mixed_sample(docs.select(COLUMNS), draw=DRAW, carry=COLUMNS).where("n_words > 0").withColumn("_wanted", F.col("probability") * F.col("weight"))
+    total, uncapped = drawn.agg(F.sum("n_words"), F.sum(F.col("_wanted") * F.col("n_words"))).head()
     # the operator's scale makes up for capped cells; here none is capped
-    wanted = F.col("wanted") * F.lit(DRAW * total / uncapped if uncapped else 0.0)
-    at = F.xxhash64(F.lit("copies"), F.col("doc_id")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    copies = drawn.dropDuplicates(cell).select(*[F.col(c).alias(f"_{c}") for c in cell], (F.floor(wanted) + (at < wanted - F.floor(wanted)).cast("long")).alias("copies")).where("copies > 0")
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else mixing.topic_of(F.col("text"))
-    rows = docs.where(mixing.n_words(F.col("text")) > 0).withColumn("topic", topic)
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell])
-    return rows.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
+    wanted = F.col("_wanted") * F.lit(DRAW * total / uncapped if uncapped else 0.0)
+    copies = (F.floor(wanted) + (mixing.drawn_at(F.lit("copies")) < wanted - F.floor(wanted)).cast("long")).cast("int")
+    return drawn.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select(COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
