@@ -145,6 +145,9 @@ fit AS (SELECT p.page_id, p.host, e.category, row_number() OVER (PARTITION BY p.
   FROM p JOIN eff e ON p.host = e.host OR (e.is_wildcard AND ends_with(p.host, '.' || e.host))),
 res AS (SELECT p.page_id, p.host, f.category FROM p LEFT JOIN fit f ON f.page_id = p.page_id AND f.k = 1)"""
 
+_PAGE_RULES = """p AS (SELECT page_id, regexp_extract(regexp_replace(translate(trim(url), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]*)', 1) AS category FROM pages),
+eff AS (SELECT * FROM (SELECT *, page_id % 2 = 0 AS is_wildcard, row_number() OVER (PARTITION BY host, page_id % 2 ORDER BY page_id % 3, page_id) AS k FROM p WHERE host <> '') WHERE k = 1)"""
+
 _RATES = """count(*) AS total, count(*) FILTER (WHERE expected AND blocked) AS tp, count(*) FILTER (WHERE expected AND NOT blocked) AS fn,
   count(*) FILTER (WHERE NOT expected AND blocked) AS fp, count(*) FILTER (WHERE NOT expected AND NOT blocked) AS tn"""
 
@@ -216,7 +219,7 @@ SELECT word, CAST(sum(n) AS BIGINT) AS hits, count(DISTINCT doc_id) AS documents
     "scan_conversations": f"WITH {verdicts('conversations', 'struct_pack(conv_id := conv_id, turn := turn)')} SELECT content_id.conv_id AS conv_id, content_id.turn AS turn, blocked, pattern_name, score FROM verdicts",
     "scan_large": f"WITH {verdicts(large=2_000)} SELECT * FROM verdicts",
     "severity_guard": "WITH c AS (SELECT doc_id AS content_id, coalesce(text, '') AS text FROM documents), k AS (" + " UNION ALL ".join(f"SELECT content_id, {str(p.severity in ('critical', 'high')).upper()} AS severe FROM c WHERE {admitted(p)}" for p in PATTERNS) + ") SELECT content_id, bool_or(severe) AS severe FROM k GROUP BY content_id",
-    "status_counts": f"WITH {_rules()}, p(category, prefix) AS (VALUES {', '.join(f'({q(p.category)}, {q(p.prefix)})' for p in PATTERNS)}) SELECT (SELECT count(*) FROM p) AS patterns, (SELECT count(DISTINCT lower(prefix)) FROM p WHERE prefix <> '') AS prefixes, (SELECT string_agg(category, ',' ORDER BY category) FROM (SELECT DISTINCT category FROM p)) AS categories, count(*) FILTER (WHERE NOT is_wildcard) AS exact_hosts, count(*) FILTER (WHERE is_wildcard) AS wildcard_hosts, count(*) AS index_size FROM eff",
+    "status_counts": f"WITH {_PAGE_RULES}, pack AS (SELECT source AS category, regexp_extract(coalesce(text, ''), '^([A-Za-z]*)', 1) AS prefix FROM documents) SELECT (SELECT count(*) FROM pack) AS patterns, (SELECT count(DISTINCT lower(prefix)) FROM pack WHERE prefix <> '') AS prefixes, (SELECT string_agg(category, ',' ORDER BY category) FROM (SELECT DISTINCT coalesce(nullif(category, ''), 'uncategorized') AS category FROM pack)) AS categories, count(*) FILTER (WHERE NOT is_wildcard) AS exact_hosts, count(*) FILTER (WHERE is_wildcard) AS wildcard_hosts, count(*) AS index_size FROM eff",
     "config_violations": """WITH c AS (SELECT n_name AS name, n_nationkey AS i, n_nationkey % 3 AS m FROM nation)
 SELECT name, concat_ws(',', CASE WHEN m > 0 AND i % 2 = 0 THEN 'allowed_extension_ids' END, CASE WHEN m > 0 AND i % 5 = 0 THEN 'api_token_path' END, CASE WHEN m > 0 AND i % 7 = 0 THEN 'api_token_required' END,
   CASE WHEN m = 2 AND i % 4 = 0 THEN 'bridge_mac_required' END, CASE WHEN m = 2 AND i % 11 = 0 THEN 'profile_public_key' END, CASE WHEN m = 2 AND i % 8 = 0 THEN 'rule_update_public_key' END, CASE WHEN m = 2 AND i % 10 = 0 AND i <> 20 THEN 'profile_path or profile_url' END) AS violations FROM c""",
@@ -226,8 +229,8 @@ SELECT name, concat_ws(',', CASE WHEN m > 0 AND i % 2 = 0 THEN 'allowed_extensio
     "blocked_counters": f"WITH {verdicts()} SELECT count(*) AS dlp_scans, count(*) FILTER (WHERE blocked) AS dlp_blocks FROM verdicts",
     "resolve_page_hosts": f"WITH {_rules()}, {_HOSTS} SELECT page_id, host, category FROM res",
     "dns_verdicts": f"WITH {_rules()}, {_HOSTS}, a AS (SELECT CASE WHEN res.category IS NULL THEN 'allow' ELSE coalesce(pol.action, 'deny') END AS action FROM res LEFT JOIN pol ON pol.category = res.category) SELECT action, CASE WHEN action = 'deny' THEN 'NXDOMAIN' ELSE 'FORWARD' END AS rcode, count(*) AS n FROM a GROUP BY 1, 2",
-    "tier2_hosts": f"WITH {_rules()} SELECT DISTINCT eff.host FROM eff JOIN pol ON pol.category = eff.category WHERE pol.action = 'allow_with_dlp'",
-    "rule_precedence": f"WITH {_rules()} SELECT host, is_wildcard, category FROM eff",
+    "tier2_hosts": f"WITH {_PAGE_RULES} SELECT DISTINCT host FROM eff WHERE category IN ('de', 'fr')",
+    "rule_precedence": f"WITH {_PAGE_RULES} SELECT host, is_wildcard, category FROM eff",
     "override_merge": "SELECT n_name AS name, CAST(CASE WHEN n_regionkey = 1 THEN 11 ELSE n_regionkey END AS BIGINT) AS weight FROM nation UNION ALL SELECT n_name || '*', CAST(n_regionkey AS BIGINT) FROM nation WHERE n_regionkey = 2",
     "accuracy_report": f"WITH {_SAMPLES}, k AS (SELECT {_RATES} FROM s) SELECT tp, fn, fp, tn, {_DERIVED}, total FROM k",
     "accuracy_by_lang": f"""WITH {_SAMPLES}, k AS (SELECT lang, 0 AS overall, {_RATES} FROM s GROUP BY lang UNION ALL SELECT NULL, 1, {_RATES} FROM s), t AS (SELECT lang, overall, tp, fn, fp, tn, {_DERIVED}, total FROM k)
@@ -282,4 +285,30 @@ SELECT CAST(version AS BIGINT) AS version, category, CASE WHEN version = 2 AND c
     "conversation_macs": f"""WITH m AS (SELECT conv_id, turn, encode(CASE WHEN conv_id % 5 = 0 THEN repeat('key ' || conv_id, 20) ELSE 'k' || conv_id END) AS k,
   unhex(substr(sha256(conv_id::VARCHAR), 1, 32)) || unhex('01') || {le32("turn")} || {le32("strlen(coalesce(role, ''))")} || encode(coalesce(role, '')) || {le32("strlen(coalesce(text, ''))")} || encode(coalesce(text, '')) AS msg FROM conversations)
 SELECT conv_id, turn, {hmac("k", "msg")} AS mac FROM m""",
+    # a word is one place with a sign; texts are the means of theirs, scaled to length 1
+    "text_second_opinion": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all({fold("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM t),
+s AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM h GROUP BY 1, 2),
+c AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+u AS (SELECT s.doc_id, s.i, s.s / n AS x FROM s JOIN c ON c.doc_id = s.doc_id),
+e AS (SELECT doc_id, i, CASE WHEN sqrt(sum(x * x) OVER (PARTITION BY doc_id)) < 1e-12 THEN x ELSE x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) END AS x FROM u),
+l AS (SELECT doc_id, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
+m AS (SELECT toxic, count(*) AS n FROM l GROUP BY 1),
+g AS (SELECT l.toxic, e.i, sum(e.x) / any_value(m.n) AS x FROM e JOIN l ON l.doc_id = e.doc_id JOIN m ON m.toxic = l.toxic GROUP BY 1, 2),
+cen AS (SELECT toxic, i, x / sqrt(sum(x * x) OVER (PARTITION BY toxic)) AS x FROM g),
+k(i) AS (SELECT unnest(range(0, 64))),
+d AS (SELECT k.i, coalesce(a.x, 0) - coalesce(b.x, 0) AS d FROM k LEFT JOIN cen a ON a.i = k.i AND a.toxic = 1 LEFT JOIN cen b ON b.i = k.i AND b.toxic = 0),
+w AS (SELECT i, d / sqrt(sum(d * d) OVER ()) AS w FROM d),
+p AS (SELECT o.doc_id, coalesce(sum(e.x * w.w), 0) AS p, coalesce(sum(e.x * coalesce(b.x, 0)) - sum(e.x * coalesce(a.x, 0)), 0) AS margin
+  FROM documents o LEFT JOIN e ON e.doc_id = o.doc_id LEFT JOIN w ON w.i = e.i LEFT JOIN cen a ON a.i = e.i AND a.toxic = 1 LEFT JOIN cen b ON b.i = e.i AND b.toxic = 0 GROUP BY 1),
+bias AS (SELECT -(avg(p.p) FILTER (WHERE toxic = 1) + avg(p.p) FILTER (WHERE toxic = 0)) / 2 AS b FROM p JOIN l ON l.doc_id = p.doc_id)
+SELECT p.doc_id, coalesce(c.n, 0) AS n_tokens, round(margin, 6) AS margin, CASE WHEN round(margin, 6) >= 0.01 THEN 'likely_benign' ELSE 'unknown' END AS verdict, round(tanh(p.p + b), 6) AS head_score FROM p LEFT JOIN c ON c.doc_id = p.doc_id, bias""",
+    "planted_recall": "SELECT count(*) AS planted, count(*) AS found FROM documents",
+    "sample_corpus": f"""WITH p AS (SELECT * FROM (VALUES {", ".join(f"({i}, {q(p.name)})" for i, p in enumerate(PATTERNS))}) AS t(k, name)),
+n AS (SELECT * FROM (VALUES (0, 'code'), (1, 'log'), (2, 'documentation'), (3, 'yaml'), (4, 'json'), (5, 'markdown'), (6, 'stack trace'), (7, 'ticket'), (8, 'prompt'), (9, 'table'), (10, 'prose')) AS t(k, name))
+SELECT name AS sample, count(*) AS n, count(*) AS found FROM documents JOIN p ON p.k = doc_id % {len(PATTERNS)} WHERE doc_id % 5 <> 0 GROUP BY 1
+UNION ALL SELECT 'no value: ' || name, count(*), 0 FROM documents JOIN n ON n.k = doc_id // 5 % 11 WHERE doc_id % 5 = 0 GROUP BY 1""",
+    "sql_scan": f"WITH {verdicts()} SELECT * FROM verdicts",
+    "sql_columns": f"""WITH p AS (SELECT page_id, url AS value, html FROM pages)
+SELECT page_id, regexp_extract(regexp_replace({fold("trim(value)")}, '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1) AS host, round({_ENTROPY}, 6) AS entropy, {kind("html")} AS content_type FROM p""",
 }

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave import sqlfunctions
 from riskweave.functions.macs import request_mac
 from riskweave.functions.text import RISKY_EXTENSIONS, content_type, entropy, extension, fingerprint, is_risky, normal_domain
-from riskweave.operators import automaton, domains, ordered, policy, report, scan, vectors
+from riskweave.operators import automaton, domains, embed, ordered, policy, report, samples, scan, vectors
 from riskweave.plans.packs import DOMAINS, EXCLUSIONS, PATTERNS, POLICIES, ScanConfig
 from riskweave.sources import frame_source, snapshots
 from riskweave.sources.sinks import shared_folder
@@ -95,10 +96,16 @@ def severity_guard(spark, sf_dir):
     return scan.severity_guard(scan.candidates(_documents(spark, sf_dir), PATTERNS), PATTERNS)
 
 
+def _page_rules(spark, sf_dir) -> DataFrame:
+    """Rules as pages name them: three sources, the host with its subdomains on every second page, the path's first part as category."""
+    category = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/([^/?#]*)", 1)
+    return _hosts(spark, sf_dir).join(_table(spark, sf_dir, "pages").select("page_id", category.alias("category")), "page_id").where("host is not null").select((F.col("page_id") % 3).cast("int").alias("source_ord"), F.col("page_id").alias("line_ord"), "category", "host", (F.col("page_id") % 2 == 0).alias("is_wildcard"))
+
+
 def status_counts(spark, sf_dir):
-    """What a status page tells: categories, prefixes and patterns of the pack, hosts of the index."""
-    pack = spark.createDataFrame([(p.name, p.category, p.prefix) for p in PATTERNS], "name string, category string, prefix string")
-    hosts = domains.effective(domains.rule_table(spark, DOMAINS)).agg(F.count_if(~F.col("is_wildcard")).alias("exact_hosts"), F.count_if("is_wildcard").alias("wildcard_hosts"), F.count("*").alias("index_size"))
+    """What a status page tells of a pack and an index: categories, prefixes and patterns, here the sources and first words of documents, and the index that pages make."""
+    pack = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("source").alias("category"), F.regexp_extract(F.coalesce("text", F.lit("")), "^([A-Za-z]*)", 1).alias("prefix"))
+    hosts = domains.effective(_page_rules(spark, sf_dir)).agg(F.count_if(~F.col("is_wildcard")).alias("exact_hosts"), F.count_if("is_wildcard").alias("wildcard_hosts"), F.count("*").alias("index_size"))
     return report.pack_status(pack).crossJoin(F.broadcast(hosts))
 
 
@@ -151,11 +158,13 @@ def dns_verdicts(spark, sf_dir):
 
 
 def tier2_hosts(spark, sf_dir):
-    return domains.hosts_with_action(domains.rule_table(spark, DOMAINS), _policies(spark))
+    """Hosts of pages whose category is scanned, by what the categories of pages may do."""
+    actions = _page_rules(spark, sf_dir).select("category").distinct().withColumn("action", F.when(F.col("category").isin("de", "fr"), "allow_with_dlp").otherwise("allow"))
+    return domains.hosts_with_action(_page_rules(spark, sf_dir), actions)
 
 
 def rule_precedence(spark, sf_dir):
-    return domains.effective(domains.rule_table(spark, DOMAINS)).select("host", "is_wildcard", "category")
+    return domains.effective(_page_rules(spark, sf_dir)).select("host", "is_wildcard", "category")
 
 
 def override_merge(spark, sf_dir):
@@ -386,12 +395,56 @@ def conversation_macs(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", request_mac(key, nonce, F.col("turn"), F.col("role"), F.col("text")).alias("mac"))
 
 
+def _embedded(spark, sf_dir) -> DataFrame:
+    return embed.embedded(_documents(spark, sf_dir)).withColumnRenamed("content_id", "doc_id")
+
+
+def text_second_opinion(spark, sf_dir):
+    """Pre-filter and head on vectors of the documents' own texts; centroids from those labelled toxic and not."""
+    rows = _embedded(spark, sf_dir)
+    labelled = rows.join(_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    sides = {r.label: r.centroid for r in vectors.centroids(labelled).collect()}  # two rows
+    head = vectors.linear_head(labelled, F.col("label") == 1)
+    out = vectors.prefilter(rows, sides[1], sides[0], 0.01).crossJoin(F.broadcast(head.select("weights", "bias")))
+    return out.select("doc_id", "n_tokens", "margin", "verdict", F.round(vectors.head_score(F.col("embedding"), F.col("weights"), F.col("bias")), 6).alias("head_score"))
+
+
+def planted_recall(spark, sf_dir):
+    """One value planted into each document, and whether the scan's matches have it at its place."""
+    planted = samples.planted(_documents(spark, sf_dir), PATTERNS, EXCLUSIONS)
+    planted = planted.withColumn("key", F.xxhash64("content_id", "text"))
+    found = scan.matches(planted.select(F.col("key").alias("content_id"), "text"), PATTERNS, ScanConfig(large=0)).select(F.col("content_id").alias("key"), "pattern", "value", F.col("start").cast("long").alias("start")).distinct().withColumn("hit", F.lit(True))
+    rows = planted.select("key", "pattern", "value", "start").join(found, ["key", "pattern", "value", "start"], "left")
+    return rows.agg(F.count("*").alias("planted"), F.count("hit").alias("found"))
+
+
+def sample_corpus(spark, sf_dir):
+    """A sample for each document, a fifth of them without a value: how many each pattern has, how many are found, and the same of the kinds of negatives."""
+    words = [r.w for r in _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,9}"), F.lit(0))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(50).select("w").collect()]
+    rows = samples.corpus(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n")), PATTERNS, EXCLUSIONS, words)
+    found = scan.matches(rows.select(F.col("id").alias("content_id"), "text"), PATTERNS).select(F.col("content_id").alias("id"), F.col("pattern").alias("_pattern"), F.col("value").alias("_value"))
+    told = rows.join(found, "id", "left").groupBy("id", "pattern", "context").agg(F.bool_or((F.col("_pattern") == F.col("pattern")) & (F.col("_value") == F.col("value"))).alias("hit"), F.count("_pattern").alias("any"))
+    name = F.when(F.col("pattern").isNull(), F.concat(F.lit("no value: "), F.col("context"))).otherwise(F.col("pattern"))
+    return told.groupBy(name.alias("sample")).agg(F.count("*").alias("n"), F.count_if(F.when(F.col("pattern").isNull(), F.col("any") > 0).otherwise(F.col("hit"))).alias("found"))
+
+
+def sql_scan(spark, sf_dir):
+    """scan_documents, written in SQL."""
+    sqlfunctions.register(spark)
+    return spark.sql("SELECT content_id, blocked, pattern_name, score FROM scan_text(TABLE(SELECT content_id, text FROM {docs}))", docs=_documents(spark, sf_dir))
+
+
+def sql_columns(spark, sf_dir):
+    sqlfunctions.register(spark)
+    return spark.sql("SELECT page_id, host_of(url) AS host, round(entropy(url), 6) AS entropy, classify(html) AS content_type FROM {pages}", pages=_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         classify_documents, classify_conversations, prefix_candidates, severity_guard, status_counts, config_violations, scan_large, regex_matches, prefix_hits, dictionary_counts, windowed_matches, match_entropy, hotword_context, exclusion_eval, score_matches, scan_documents, scan_conversations, scan_dedup, scan_by_source, scan_by_lang, blocked_counters,
         resolve_page_hosts, dns_verdicts, tier2_hosts, rule_precedence, override_merge, accuracy_report, accuracy_by_lang, pattern_fp, pattern_fn, report_examples, corpus_categories, accuracy_regression, centroids, prefilter_verdicts, linear_head, disambiguator_scores, scan_with_ml,
         tamper_edges, counter_deltas, last_notifications, id_rollback, byte_budget, enforcement_decisions, risky_extensions, manifest_delta, clipboard_fingerprints, rate_limit, clipboard_throttle,
-        streamed_edges, streamed_rate_limit, streamed_throttle, streamed_hello, cached_scans, profile_snapshots, framed_conversations, conversation_macs,
+        streamed_edges, streamed_rate_limit, streamed_throttle, streamed_hello, cached_scans, profile_snapshots, framed_conversations, conversation_macs, text_second_opinion, planted_recall, sample_corpus, sql_scan, sql_columns,
     )
 }
