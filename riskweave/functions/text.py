@@ -78,6 +78,19 @@ def strip_port(host: Column) -> Column:
     return F.when(host.startswith("["), F.regexp_extract(host, r"^\[([^\]]*)\]", 1)).when(F.length(host) - F.length(F.translate(host, ":", "")) > 1, host).otherwise(F.regexp_replace(host, ":[0-9]*$", ""))
 
 
+def split_address(address: Column) -> Column:
+    """Struct host, port (text) around the last colon; an address without one is the host, and its port is empty."""
+    last = r"(?s)^(.*):([^:]*)$"
+    whole = ~address.contains(":")
+    return F.struct(F.when(whole, address).otherwise(F.regexp_extract(address, last, 1)).alias("host"), F.when(whole, "").otherwise(F.regexp_extract(address, last, 2)).alias("port"))
+
+
+def base_name(path: Column) -> Column:
+    """The last part of a path, slashes at its end left out; a dot for an empty path, a slash for one of slashes only."""
+    cut = F.regexp_replace(path, "/+$", "")
+    return F.when(path == "", ".").when(cut == "", "/").otherwise(F.regexp_extract(cut, "(?s)([^/]*)$", 1))
+
+
 def plausible_host(c: Column) -> Column:
     return c.rlike(r"^(?=.{1,253}$)[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+$")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MEBIBYTE = 1 << 20
@@ -99,10 +101,51 @@ def applied_profile(policies: DataFrame, config: DataFrame, changes: DataFrame,
     return with_policy(policies, changes), fresh
 
 
-def with_policy(policies: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
-    """policies (category, action) after changes of the same shape; nothing changes if one of them is not valid. Of changes to one category the last by the column `order` counts; without such a column they have to agree."""
-    bad = F.count_if(~F.coalesce(acceptable_category(F.col("category")) & F.col("action").isin(*ACTIONS), F.lit(False)))
-    if changes.agg(bad).head()[0]:
+def registered(*names: DataFrame) -> DataFrame:
+    """Union of tables (category): trimmed, distinct, without empty ones."""
+    rows = reduce(DataFrame.unionByName, [n.select(F.trim("category").alias("category")) for n in names])
+    return rows.where("category <> ''").distinct()
+
+
+def profile_violations(profiles: DataFrame) -> DataFrame:
+    """profiles (name, categories map of actions, dlp_thresholds struct critical, high, medium, low) -> name, violations: why a profile cannot be used, in the order of these columns. Null maps, structs and numbers are not set."""
+    t = lambda k: F.coalesce(F.col("dlp_thresholds").getField(k), F.lit(0)) < 0
+    wrong = F.array_sort(F.map_keys(F.map_filter("categories", lambda _, action: ~F.coalesce(action.isin(*ACTIONS), F.lit(False)))))
+    tests = F.concat(
+        F.when(F.coalesce(F.trim("name"), F.lit("")) == "", F.array(F.lit("name"))).otherwise(F.array().cast("array<string>")),
+        F.coalesce(F.transform(wrong, lambda c: F.concat(F.lit("action of "), c)), F.array().cast("array<string>")),
+        F.when(t("critical") | t("high") | t("medium") | t("low"), F.array(F.lit("dlp_thresholds"))).otherwise(F.array().cast("array<string>")),
+    )
+    return profiles.select("name", tests.alias("violations"))
+
+
+def merged_rules(base: DataFrame, over: DataFrame, key: list[str], order: str) -> DataFrame:
+    """base after the rules of over, both in order of a column of places: a rule of over takes the place of the last one of base with its key, or comes after all, in the order in which keys are first met; of those of one key the last counts. Key columns may be null, empty or arrays. Places are numbered anew, from 0."""
+    of = lambda rows: rows.select(F.struct(*key).alias("_key"), F.col(order).cast("long").alias("_at"), F.struct(*[c for c in base.columns if c != order]).alias("_rule"))
+    fresh = of(over).groupBy("_key").agg(F.max_by("_rule", "_at").alias("_new"), F.min("_at").alias("_first"))
+    last = of(base).groupBy("_key").agg(F.max("_at").alias("_at"))
+    # places in base that change; null keys are keys as others, so they join within a struct
+    taken = last.join(fresh, "_key").select("_at", "_new")
+    kept = of(base).join(taken, "_at", "left").select(F.lit(0).alias("_part"), "_at", F.coalesce("_new", "_rule").alias("_rule"))
+    added = fresh.join(last, "_key", "left_anti").select(F.lit(1).alias("_part"), F.col("_first").alias("_at"), F.col("_new").alias("_rule"))
+    # a pack of rules is small: some thousand rows
+    place = F.row_number().over(Window.orderBy("_part", "_at")) - 1
+    return kept.unionByName(added).select(place.cast("long").alias(order), "_rule").select(order, "_rule.*")
+
+
+#: Fixed: what makes two exclusions, and two patterns, the same.
+EXCLUSION_KEY, PATTERN_KEY = ["type", "applies_to", "pattern", "words"], ["name"]
+
+
+def with_policy(policies: DataFrame, changes: DataFrame, order: str | None = None, names: DataFrame | None = None) -> DataFrame:
+    """policies (category, action) after changes of the same shape; nothing changes if one of them is not valid. names: registered categories, which are valid besides the known ones. Of changes to one category the last by the column `order` counts; without such a column they have to agree."""
+    known = acceptable_category(F.col("category"))
+    rows = changes
+    if names is not None:
+        rows = changes.join(registered(names).select(F.col("category").alias("_category"), F.lit(True).alias("_registered")), F.col("category") == F.col("_category"), "left")
+        known = known | F.coalesce("_registered", F.lit(False))
+    bad = F.count_if(~F.coalesce(known & F.col("action").isin(*ACTIONS), F.lit(False)))
+    if rows.agg(bad).head()[0]:
         raise ValueError("an unknown category or action")
     last = F.max_by("action", order) if order else F.when(F.count_distinct("action") == 1, F.max("action")).otherwise(F.raise_error(F.concat(F.lit("changes that differ: "), F.col("category"))))
     once = changes.groupBy("category").agg(last.alias("action"))

@@ -3,14 +3,18 @@
 One row per (content, pattern) match comes from one pass over the contents: an automaton finds the
 prefixes of all patterns at once, and a pattern's regex runs only on texts that hold its prefix (with
 `windowed`: near its places only); no cross join with a rule table. What leaves the pass is a match
-with the bytes around it, never the text. Contents without a match stay in the same pass, so verdicts
-need no join; two small aggregations, which combine before their shuffle, give them.
+with the bytes around it, never the text. For verdicts alone, matches are scored where the text is, and
+a row of a few bytes leaves the pass for each content. Plans of both have one size for any number of
+patterns; `scored` and `pattern_verdicts` give the same step by step, as columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +48,16 @@ def admitted(p: Pattern, cfg: ScanConfig, text: Column, folded: Column, kind: Co
     return ok
 
 
+def _typed(content: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """content_id, text (null texts are empty), kind."""
+    rows = content.select("content_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kind = content_type(F.col("text")) if any(p.content_types for p in patterns) else F.lit("natural")
+    return rows.select("content_id", "text", kind.alias("kind"))
+
+
 def _folded(content: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """content_id, text, low (folded), kind."""
-    rows = content.select("content_id", F.coalesce("text", F.lit("")).alias("text"))
-    kind = content_type(F.col("text")) if any(p.content_types for p in patterns) else F.lit("natural")
-    return rows.select("content_id", "text", fold(F.col("text")).alias("low"), kind.alias("kind"))
+    return _typed(content, patterns).withColumn("low", fold(F.col("text")))
 
 
 def candidates(content: DataFrame, patterns: list[Pattern], cfg: ScanConfig | None = None) -> DataFrame:
@@ -76,7 +85,7 @@ def _width(patterns: list[Pattern], rules: list[Exclusion]) -> int:
 def _found(content: DataFrame, patterns: list[Pattern], cfg: ScanConfig, rules: list[Exclusion]) -> DataFrame:
     """matches, and a row without a pattern for each content that has no match."""
     wide = _width(patterns, rules)
-    rows = automaton.found(_folded(content, patterns).select("content_id", "text", "kind"), patterns, cfg, SEVERE, wide, cfg.windowed)
+    rows = automaton.found(_typed(content, patterns), patterns, cfg, SEVERE, wide, cfg.windowed)
     return rows.withColumn("before", F.col("before").alias("before", metadata={"window": wide}))
 
 
@@ -188,13 +197,82 @@ def pattern_verdicts(rows: DataFrame, patterns: list[Pattern], cfg: ScanConfig |
     return out.select("content_id", "pattern", "num_matches", "score", F.coalesce(F.col("pattern").isNotNull() & enough & hot & (F.col("score") >= threshold(patterns, cfg)), F.lit(False)).alias("blocked"))
 
 
+def entropy_of(value: bytes) -> float:
+    n = len(value)
+    return round(-sum(c / n * math.log2(c / n) for _, c in sorted(Counter(value).items())), 12) + 0.0 if n else 0.0
+
+
+class Scorer:
+    """Scores of a text's matches by the rules of scored and pattern_verdicts, where the text is."""
+
+    def __init__(self, patterns: list[Pattern], rules: list[Exclusion], cfg: ScanConfig):
+        self.rules = automaton.Rules(patterns, cfg, SEVERE, 0, cfg.windowed)
+        self.patterns, self.cfg = self.rules.patterns, cfg
+        self.regexes = self.rules.regexes()
+        self.exclusions = [[(r, automaton.compiled(r.pattern) if r.type == "regex" else None, [w.encode() for w in _words(r.words)]) for r in rules if r.applies_to in ("", "*") or r.applies_to.lower() == p.name.lower()] for p in self.patterns]
+        self.hotwords = [[w.encode() for w in _words(p.hotwords)] for p in self.patterns]
+
+    def _excluded(self, j: int, low: bytes, start: int, stop: int, value: str) -> tuple[bool, bool]:
+        suppressed = penalised = False
+        own = low[start:stop]
+        for r, regex, words in self.exclusions[j]:
+            if regex is not None:
+                hit = regex.search(value) is not None
+                suppressed, penalised = (suppressed or hit, penalised) if r.suppress else (suppressed, penalised or hit)
+            elif r.match_type == "exact":
+                suppressed = suppressed or own in words
+            elif words:
+                wide = r.window or PROXIMITY
+                hay = low[max(start - wide, 0) : stop + wide]
+                head, _, tail = hay.partition(own) if own else (hay, b"", b"")
+                penalised = penalised or any(w in head + tail for w in words)
+        return suppressed, penalised
+
+    def _score(self, j: int, low: bytes, text: bytes, start: int, stop: int, n: int) -> tuple[int, bool] | None:
+        """Score and whether a hotword is near; None for a match that is suppressed."""
+        p, cfg, value = self.patterns[j], self.cfg, text[start:stop]
+        suppressed, penalised = self._excluded(j, low, start, stop, value.decode())
+        if suppressed:
+            return None
+        sides = (low[max(start - p.hotword_window, 0) : start], low[stop : stop + p.hotword_window]) if p.hotword_window > 0 else ()
+        hot = any(w in side for side in sides for w in self.hotwords[j])
+        score = p.score_weight if p.score_weight > 0 else 1
+        score += (p.hotword_boost or cfg.hotword) if hot else 0
+        if p.entropy_min > 0:
+            score += cfg.entropy_boost if entropy_of(value) >= p.entropy_min else cfg.entropy_penalty
+        return score + cfg.multi_match * min(n - 1, 5) + (cfg.exclusion if penalised else 0), hot
+
+    def verdicts(self, texts: list[bytes], kinds: list[str]) -> Iterator[tuple[bool, str, int]]:
+        """blocked, pattern and score of each text."""
+        best: dict[int, tuple[int, str]] = {}
+        for i, j, ranges in self.rules.found(texts, kinds, self.regexes):
+            p, low = self.patterns[j], texts[i].lower()
+            scores = [s for a, b in ranges if (s := self._score(j, low, texts[i], a, b, len(ranges))) is not None]
+            limit = self.cfg.thresholds.get(p.severity.strip().lower(), self.cfg.thresholds["low"])
+            if not scores or len(ranges) < max(p.min_matches, 0) or p.require_hotword and not any(h for _, h in scores):
+                continue
+            score = max(s for s, _ in scores)
+            if score >= limit:
+                best[i] = min(best.get(i, (math.inf, "")), (-score, p.name))
+        for i in range(len(texts)):
+            yield (True, best[i][1], -best[i][0]) if i in best else (False, "", 0)
+
+
 def scan(content: DataFrame, patterns: list[Pattern], rules: list[Exclusion], cfg: ScanConfig | None = None) -> DataFrame:
-    """content (content_id, text) -> content_id, blocked, pattern_name, score: the best blocked pattern, by score and then name; no match: not blocked, '', 0. Repeated ids give one row."""
-    cfg = cfg or ScanConfig()
-    rows = scored(_found(content, patterns, cfg, rules), patterns, rules, cfg)
-    best = F.min(F.when(F.col("blocked"), F.struct((-F.col("score")).alias("s"), F.col("pattern").alias("p"))))
-    out = pattern_verdicts(rows, patterns, cfg).groupBy("content_id").agg(best.alias("b"))
-    return out.select("content_id", F.col("b").isNotNull().alias("blocked"), F.coalesce("b.p", F.lit("")).alias("pattern_name"), F.coalesce(-F.col("b.s"), F.lit(0)).cast("long").alias("score"))
+    """content (content_id, text) -> content_id, blocked, pattern_name, score: the best blocked pattern, by score and then name; no match: not blocked, '', 0. Repeated ids give one row, the best of theirs."""
+    held = content.sparkSession.sparkContext.broadcast(Scorer(patterns, rules, cfg or ScanConfig()))
+    kind = content.schema["content_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = held.value
+        for batch in automaton.batches_of(batches, "text"):
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            blocked, name, score = zip(*scorer.verdicts(texts, batch.column("kind").to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("content_id"), pa.array(blocked), pa.array(name, pa.string()), pa.array(score, pa.int64())], ["content_id", "blocked", "pattern_name", "score"])
+
+    rows = _typed(content, patterns).mapInArrow(run, f"content_id {kind}, blocked boolean, pattern_name string, score long")
+    best = F.min(F.struct((~F.col("blocked")).alias("no"), (-F.col("score")).alias("s"), F.col("pattern_name").alias("p"))).alias("b")
+    return rows.groupBy("content_id").agg(best).select("content_id", (~F.col("b.no")).alias("blocked"), F.col("b.p").alias("pattern_name"), (-F.col("b.s")).alias("score"))
 
 
 def scan_distinct(content: DataFrame, patterns: list[Pattern], rules: list[Exclusion], cfg: ScanConfig | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from riskweave.functions.text import CODE_START, KV_START, RISKY_EXTENSIONS
-from riskweave.operators.report import BUDGET, FP_RISE, RECALL_DROP
 from riskweave.plans.packs import DOMAINS, EXCLUSIONS, PATTERNS, POLICIES, ScanConfig
 
 CFG = ScanConfig()
+#: Fixed values, written out here once more so that a change of the plans' own shows.
+CODE_START = r"(import\s+\S|from\s+\S+\s+import\s|def\s+\w+|class\s+\w+|function\s+\w+|const\s+\w+\s*=|let\s+\w+\s*=|var\s+\w+\s*=|#include\s*[<\"]|package\s+\w+|fn\s+\w+\(|public\s+class)"
+KV_START = r"[A-Za-z_][A-Za-z0-9_.\-]*\s*[:=]\s*\S"
+RISKY_EXTENSIONS = "exe scr com pif msi msp mst appx appxbundle msix bat cmd vbs vbe wsf wsh ps1 psm1 psd1 sh dll sys reg app pkg dmg deb rpm jar class iso img vhd vhdx".split()
+BUDGET = {"fp_rate": 0.05, "fn_rate": 0.03, "category_fn_rate": 0.10}
+RECALL_DROP, FP_RISE = 0.02, 0.01
 _LINE = r"(?m)^\s*"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -311,4 +315,15 @@ UNION ALL SELECT 'no value: ' || name, count(*), 0 FROM documents JOIN n ON n.k
     "sql_scan": f"WITH {verdicts()} SELECT * FROM verdicts",
     "sql_columns": f"""WITH p AS (SELECT page_id, url AS value, html FROM pages)
 SELECT page_id, regexp_extract(regexp_replace({fold("trim(value)")}, '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1) AS host, round({_ENTROPY}, 6) AS entropy, {kind("html")} AS content_type FROM p""",
+    "profile_checks": """WITH c AS (SELECT *, concat_ws(',', CASE WHEN c_custkey % 6 = 0 THEN 'name' END, CASE WHEN c_custkey % 4 = 3 THEN 'action of ' || c_mktsegment END, CASE WHEN c_custkey % 5 <> 0 AND floor(c_acctbal) < 0 THEN 'dlp_thresholds' END) AS violations FROM customer)
+SELECT violations, count(*) AS n FROM c GROUP BY 1""",
+    "exclusion_merge": """WITH r AS (SELECT p_partkey AS k, p_brand AS applies_to, CASE WHEN p_partkey % 2 = 0 THEN '' END AS pattern, 'w' || p_partkey % 40 AS word, p_size AS size FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY applies_to, pattern, word ORDER BY k DESC) AS back FROM r WHERE k % 3 <> 0),
+o AS (SELECT applies_to, pattern, word, max_by(-size, k) AS size, min(k) AS k FROM r WHERE k % 4 = 0 GROUP BY 1, 2, 3),
+u AS (SELECT 0 AS part, b.k, b.applies_to, b.pattern, b.word, coalesce(o.size, b.size) AS size FROM b LEFT JOIN o ON b.back = 1 AND o.applies_to = b.applies_to AND o.pattern IS NOT DISTINCT FROM b.pattern AND o.word = b.word
+  UNION ALL SELECT 1, o.k, o.applies_to, o.pattern, o.word, o.size FROM o WHERE NOT EXISTS (SELECT 1 FROM b WHERE o.applies_to = b.applies_to AND o.pattern IS NOT DISTINCT FROM b.pattern AND o.word = b.word))
+SELECT row_number() OVER (ORDER BY part, k) - 1 AS place, applies_to, word, pattern, CAST(size AS INT) AS wide FROM u""",
+    "page_addresses": """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || CASE WHEN page_id % 3 = 0 THEN ':8443' ELSE '' END AS address, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN contains(address, ':') THEN left(address, length(address) - instr(reverse(address), ':')) ELSE address END AS host, CASE WHEN contains(address, ':') THEN right(address, instr(reverse(address), ':') - 1) ELSE '' END AS port,
+  CASE WHEN path = '' THEN '.' WHEN rtrim(path, '/') = '' THEN '/' ELSE regexp_extract(rtrim(path, '/'), '([^/]*)$', 1) END AS base FROM p""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave import sqlfunctions
 from riskweave.functions.macs import request_mac
-from riskweave.functions.text import RISKY_EXTENSIONS, content_type, entropy, extension, fingerprint, is_risky, normal_domain
+from riskweave.functions.text import RISKY_EXTENSIONS, base_name, content_type, entropy, extension, fingerprint, is_risky, normal_domain, split_address
 from riskweave.operators import automaton, domains, embed, ordered, policy, report, samples, scan, vectors
 from riskweave.plans.packs import DOMAINS, EXCLUSIONS, PATTERNS, POLICIES, ScanConfig
 from riskweave.sources import frame_source, snapshots
@@ -30,11 +30,11 @@ def _scored(spark, sf_dir) -> DataFrame:
 
 
 def classify_documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", content_type(F.col("text")).alias("content_type"))
+    return scan.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", content_type(F.col("text")).alias("content_type"))
 
 
 def classify_conversations(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").groupBy(content_type(F.col("text")).alias("content_type")).agg(F.count("*").alias("n"))
+    return scan.spread(_table(spark, sf_dir, "conversations").select("text")).groupBy(content_type(F.col("text")).alias("content_type")).agg(F.count("*").alias("n"))
 
 
 def prefix_candidates(spark, sf_dir):
@@ -439,12 +439,39 @@ def sql_columns(spark, sf_dir):
     return spark.sql("SELECT page_id, host_of(url) AS host, round(entropy(url), 6) AS entropy, classify(html) AS content_type FROM {pages}", pages=_table(spark, sf_dir, "pages"))
 
 
+def profile_checks(spark, sf_dir):
+    """Profiles made from customers: some without a name, with actions that are none, with negative thresholds."""
+    c = F.col("c_custkey")
+    action = F.element_at(F.array(*map(F.lit, ("allow", "deny", "allow_with_dlp", "permit"))), (c % 4 + 1).cast("int"))
+    limits = F.when(c % 5 != 0, F.struct(F.lit(1).alias("critical"), F.floor("c_acctbal").cast("int").alias("high"), F.lit(None).cast("int").alias("medium"), F.lit(4).alias("low")))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.when(c % 6 == 0, F.lit("  ")).otherwise(F.col("c_name")).alias("name"), F.create_map(F.col("c_mktsegment"), action, F.lit("News"), F.lit("allow")).alias("categories"), limits.alias("dlp_thresholds"))
+    return policy.profile_violations(rows).groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("n"))
+
+
+def exclusion_merge(spark, sf_dir):
+    """Exclusions made from parts, two for many keys, and overrides of some and of others."""
+    p = F.col("p_partkey")
+    rule = lambda window, at: [at.cast("long").alias("at"), F.lit("dictionary").alias("type"), F.col("p_brand").alias("applies_to"), F.when(p % 2 == 0, F.lit("")).alias("pattern"), F.array(F.concat(F.lit("w"), (p % 40).cast("string"))).alias("words"), window.cast("int").alias("window")]
+    parts = _table(spark, sf_dir, "part")
+    base = parts.where(p % 3 != 0).select(*rule(F.col("p_size"), p))
+    over = parts.where(p % 4 == 0).select(*rule(-F.col("p_size"), p))
+    return policy.merged_rules(base, over, policy.EXCLUSION_KEY, "at").select(F.col("at").alias("place"), "applies_to", F.col("words")[0].alias("word"), "pattern", F.col("window").alias("wide"))
+
+
+def page_addresses(spark, sf_dir):
+    """Host, port and last part of the path of each page's url."""
+    authority = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
+    address = F.when(F.col("page_id") % 3 == 0, F.concat(authority, F.lit(":8443"))).otherwise(authority)
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    return _table(spark, sf_dir, "pages").select("page_id", split_address(address).alias("a"), base_name(path).alias("base")).select("page_id", "a.host", "a.port", "base")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         classify_documents, classify_conversations, prefix_candidates, severity_guard, status_counts, config_violations, scan_large, regex_matches, prefix_hits, dictionary_counts, windowed_matches, match_entropy, hotword_context, exclusion_eval, score_matches, scan_documents, scan_conversations, scan_dedup, scan_by_source, scan_by_lang, blocked_counters,
         resolve_page_hosts, dns_verdicts, tier2_hosts, rule_precedence, override_merge, accuracy_report, accuracy_by_lang, pattern_fp, pattern_fn, report_examples, corpus_categories, accuracy_regression, centroids, prefilter_verdicts, linear_head, disambiguator_scores, scan_with_ml,
         tamper_edges, counter_deltas, last_notifications, id_rollback, byte_budget, enforcement_decisions, risky_extensions, manifest_delta, clipboard_fingerprints, rate_limit, clipboard_throttle,
-        streamed_edges, streamed_rate_limit, streamed_throttle, streamed_hello, cached_scans, profile_snapshots, framed_conversations, conversation_macs, text_second_opinion, planted_recall, sample_corpus, sql_scan, sql_columns,
+        streamed_edges, streamed_rate_limit, streamed_throttle, streamed_hello, cached_scans, profile_snapshots, framed_conversations, conversation_macs, text_second_opinion, planted_recall, sample_corpus, sql_scan, sql_columns, profile_checks, exclusion_merge, page_addresses,
     )
 }

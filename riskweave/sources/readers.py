@@ -63,6 +63,20 @@ def read_override(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("entry")).where("entry <> '' and not startswith(entry, '#')")
 
 
+#: Fixed: the categories of what an administrator allows and blocks.
+ALLOWED, BLOCKED = "allow_admin", "block_admin"
+
+
+def override_rules(allowed: DataFrame, blocked: DataFrame, source_ord: int) -> DataFrame:
+    """Entries of both lists as rules, in the form of read_domains: the allowed ones as source source_ord, the blocked ones as the next. An entry with a leading dot also fits subdomains."""
+    out = None
+    for k, (category, rows) in enumerate(((ALLOWED, allowed), (BLOCKED, blocked))):
+        entry = fold(F.trim("entry"))
+        own = rows.where(F.regexp_replace(entry, r"^\.", "") != "").select(F.lit(source_ord + k).alias("source_ord"), F.monotonically_increasing_id().alias("line_ord"), F.lit(category).alias("category"), F.regexp_replace(entry, r"^\.", "").alias("host"), entry.startswith(".").alias("is_wildcard"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 CORPUS = "id string, category string, pattern string, content_b64 string, content string, expect_blocked boolean, context string, source string"
 
 
@@ -86,6 +100,12 @@ def read_artefacts(spark: SparkSession, centroids: str) -> DataFrame:
     return rows.withColumn("dim", F.when((F.size("tp") == F.col("dim")) & (F.size("tn") == F.col("dim")), F.col("dim")).otherwise(F.raise_error(F.lit("centroids of another length"))))
 
 
+def read_head(spark: SparkSession, path: str) -> DataFrame:
+    """weights and bias of a linear head; one without weights fails the read."""
+    rows = spark.read.schema("weights array<float>, bias float").json(path, multiLine=True)
+    return rows.withColumn("weights", F.when(F.size("weights") > 0, F.col("weights")).otherwise(F.raise_error(F.lit("a head without weights"))))
+
+
 PROFILE = "name string, version string, categories map<string,string>, dlp_thresholds struct<critical:int,high:int,medium:int,low:int>"
 
 

@@ -29,11 +29,11 @@ def _places(spark: SparkSession, path: str):
     return now.getFileSystem(conf), new, old, now
 
 
-def replaced(df: DataFrame, path: str) -> None:
+def replaced(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Writes beside the table, moves the table aside and the new one in its place, so a plan may read what it replaces. What a crash leaves at any step, recovered() puts right: the old table or the whole new one is always there."""
     spark = df.sparkSession
     recovered(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}.new")
+    df.write.mode("overwrite").format(form).save(f"{path}.new")
     where, new, old, now = _places(spark, path)
     if where.exists(now):
         where.rename(now, old)
@@ -94,8 +94,8 @@ def newest_version(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_override(entries: DataFrame, path: str) -> None:
-    """A small sorted text file of distinct entries."""
-    entries.select("entry").distinct().orderBy("entry").coalesce(1).write.mode("overwrite").text(path)
+    """A small sorted text file of distinct entries, replaced as a whole."""
+    replaced(entries.select("entry").distinct().orderBy("entry").coalesce(1), path, "text")
 
 
 def write_report(report: DataFrame, path: str) -> None:

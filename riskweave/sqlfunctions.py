@@ -15,10 +15,6 @@ looked at.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
@@ -28,67 +24,6 @@ from riskweave.operators import automaton, scan
 from riskweave.plans.packs import EXCLUSIONS, PATTERNS, Exclusion, Pattern, ScanConfig
 
 
-def entropy_of(value: bytes) -> float:
-    n = len(value)
-    return round(-sum(c / n * math.log2(c / n) for _, c in sorted(Counter(value).items())), 12) + 0.0 if n else 0.0
-
-
-class Scorer:
-    """Scores of a text's matches by the rules of scan.scored and scan.pattern_verdicts."""
-
-    def __init__(self, patterns: list[Pattern], rules: list[Exclusion], cfg: ScanConfig):
-        self.rules = automaton.Rules(patterns, cfg, scan.SEVERE, 0, cfg.windowed)
-        self.patterns, self.cfg = self.rules.patterns, cfg
-        self.regexes = self.rules.regexes()
-        self.exclusions = [[(r, automaton.compiled(r.pattern) if r.type == "regex" else None, [w.encode() for w in scan._words(r.words)]) for r in rules if r.applies_to in ("", "*") or r.applies_to.lower() == p.name.lower()] for p in self.patterns]
-        self.hotwords = [[w.encode() for w in scan._words(p.hotwords)] for p in self.patterns]
-
-    def _excluded(self, j: int, low: bytes, start: int, stop: int, value: str) -> tuple[bool, bool]:
-        suppressed = penalised = False
-        own = low[start:stop]
-        for r, regex, words in self.exclusions[j]:
-            if regex is not None:
-                hit = regex.search(value) is not None
-                suppressed, penalised = (suppressed or hit, penalised) if r.suppress else (suppressed, penalised or hit)
-            elif r.match_type == "exact":
-                suppressed = suppressed or own in words
-            elif words:
-                wide = r.window or scan.PROXIMITY
-                hay = low[max(start - wide, 0) : stop + wide]
-                head, _, tail = hay.partition(own) if own else (hay, b"", b"")
-                penalised = penalised or any(w in head + tail for w in words)
-        return suppressed, penalised
-
-    def _score(self, j: int, low: bytes, text: bytes, start: int, stop: int, n: int) -> tuple[int, bool] | None:
-        """Score and whether a hotword is near; None for a match that is suppressed."""
-        p, cfg, value = self.patterns[j], self.cfg, text[start:stop]
-        suppressed, penalised = self._excluded(j, low, start, stop, value.decode())
-        if suppressed:
-            return None
-        sides = (low[max(start - p.hotword_window, 0) : start], low[stop : stop + p.hotword_window]) if p.hotword_window > 0 else ()
-        hot = any(w in side for side in sides for w in self.hotwords[j])
-        score = p.score_weight if p.score_weight > 0 else 1
-        score += (p.hotword_boost or cfg.hotword) if hot else 0
-        if p.entropy_min > 0:
-            score += cfg.entropy_boost if entropy_of(value) >= p.entropy_min else cfg.entropy_penalty
-        return score + cfg.multi_match * min(n - 1, 5) + (cfg.exclusion if penalised else 0), hot
-
-    def verdicts(self, texts: list[bytes], kinds: list[str]) -> Iterator[tuple[bool, str, int]]:
-        """blocked, pattern and score of each text."""
-        best: dict[int, tuple[int, str]] = {}
-        for i, j, ranges in self.rules.found(texts, kinds, self.regexes):
-            p, low = self.patterns[j], texts[i].lower()
-            scores = [s for a, b in ranges if (s := self._score(j, low, texts[i], a, b, len(ranges))) is not None]
-            limit = self.cfg.thresholds.get(p.severity.strip().lower(), self.cfg.thresholds["low"])
-            if not scores or len(ranges) < max(p.min_matches, 0) or p.require_hotword and not any(h for _, h in scores):
-                continue
-            score = max(s for s, _ in scores)
-            if score >= limit:
-                best[i] = min(best.get(i, (math.inf, "")), (-score, p.name))
-        for i in range(len(texts)):
-            yield (True, best[i][1], -best[i][0]) if i in best else (False, "", 0)
-
-
 def scan_text(patterns: list[Pattern] | None = None, rules: list[Exclusion] | None = None, cfg: ScanConfig | None = None):
     """The table function for a pack. Patterns with content types need the text's class, which a table function has not: they are refused."""
     patterns, rules, cfg = PATTERNS if patterns is None else patterns, EXCLUSIONS if rules is None else rules, cfg or ScanConfig()
@@ -97,7 +32,7 @@ def scan_text(patterns: list[Pattern] | None = None, rules: list[Exclusion] | No
 
     class ScanText:
         def __init__(self):
-            self.scorer, self.ids, self.texts, self.size = Scorer(patterns, rules, cfg), [], [], 0
+            self.scorer, self.ids, self.texts, self.size = scan.Scorer(patterns, rules, cfg), [], [], 0
 
         @staticmethod
         def analyze(content: AnalyzeArgument) -> AnalyzeResult:
