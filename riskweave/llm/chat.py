@@ -13,7 +13,9 @@ it exactly. The loss mask comes as flags of the segments of which the formatted
 
 Cases: null texts and roles are empty; events of unknown kinds count as deltas; events of equal
 sequence are taken in the order of kind and text; repeated rows are events of their own. A
-conversation is one output row and so in one task; its memory follows the longest conversation.
+conversation is one output row and so in one task; its memory follows the longest conversation. Very
+long texts are taken whole; an empty log gives no conversation; columns besides those of a log are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ applied to every window of every whole text; a text's language has the largest m
 over its bytes.
 
 Cases: null texts and those without a letter are `und` with score 0, and so is every text where no
-labelled text is there to learn from. Repeated rows give repeated result rows; columns besides
-doc_id, text and lang are not read.
+labelled text is there to learn from. Repeated rows give repeated result rows, and rows without an id
+theirs; very long texts are scored to their end, BLOCK windows at once; an empty table gives an empty
+result; columns besides doc_id, text and lang are not read, whatever their names.
 """
 
 from __future__ import annotations

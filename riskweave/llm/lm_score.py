@@ -1,6 +1,6 @@
 """Language-model scores: marginal probability over all segmentations into an existing vocabulary's pieces.
 
-The vocabulary is a given subword model's; it is not trained. Its pieces' order gives first
+The vocabulary is a given subword model's: its pieces stay as they are. Their order gives first
 probabilities (by rank), and expectation over all segmentations of all training words, weighted
 by their counts, re-estimates them. A word's probability is the sum over all its segmentations,
 by a log-space forward recursion, a character without a piece of its own costing its bytes. A text
@@ -13,7 +13,9 @@ frequent words (HEAD at most) are broadcast and added up where the text is read,
 rest meets the word table in a join, so no frequent word is a hot key.
 
 Cases: null texts are empty and have the end alone. Without training documents every count is 0
-and probabilities stay those of the ranks. Repeated rows give repeated result rows.
+and probabilities stay those of the ranks. Repeated rows give repeated result rows, and rows without an
+id theirs (they are trained on). Very long texts are taken whole; an empty table gives an empty result;
+columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ labelled findings (text, label); where the caller has none, a set of LABELLED fi
 rule. All runs in the JVM: built-in functions, and Spark's own forest.
 
 Cases: null and empty texts have no candidates; findings within one text are scored each. Repeated
-rows give repeated result rows. Columns besides doc_id and text are not read.
+rows give repeated result rows, and rows without an id theirs. Very long texts are searched whole; an
+empty table gives an empty result. Columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
