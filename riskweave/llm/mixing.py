@@ -8,8 +8,8 @@ probability is 1 and the rest of its weight is reported per document. Raking end
 is further from its target than TOLERANCE, or after TURNS; `gap` tells the largest difference that
 the last turn met, so that marginals which cannot agree show.
 
-The cell table is an aggregation, far smaller than the documents, and stays distributed; raking
-joins it with sums of itself and writes it to the shared folder between turns.
+The cell table is an aggregation, far smaller than the documents. Up to LOCAL cells one task rakes it;
+a larger table stays distributed, joined with sums of itself and written to the shared folder between turns.
 
 Cases: null values of a dimension are a value of their own; null texts have no tokens and enter
 with weight 0 and probability 0; an empty table gives an empty result, long texts count whole, and
@@ -20,14 +20,18 @@ rows without an id are drawn by their place in the stored table, each for itself
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored
 
 TURNS, TOLERANCE = 30, 1e-4
+#: Cells that one task rakes: some 20 MB.
+LOCAL = 100_000
 #: Targets flatten what is there: a value's share goes with its tokens to this power.
 POWER = 0.5
 #: Tokens to draw, as a share of all.
@@ -58,8 +62,45 @@ def flattened(cells: DataFrame, dimension: str, power: float = POWER) -> DataFra
     return by.select("value", (F.col("part") / F.lit(float(whole or 1))).alias("share"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (dimensions, tokens > 0) -> with weight, whose marginals are the targets', and gap. A target value that no cell has is left out, and so is a cell whose value no target has (weight 0)."""
+def raked(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS, tolerance: float = TOLERANCE, local: int = LOCAL) -> DataFrame:
+    """cells (dimensions, tokens > 0) -> with weight, whose marginals are the targets', and gap. A target value that no cell has is left out, and so is a cell whose value no target has (weight 0). Up to `local` cells are raked in one task, more by joins; the weights are the same."""
+    cells = stored(cells, "cells")
+    if cells.count() <= local:
+        return _raked_in_one(cells, targets, turns, tolerance)
+    return _raked_by_joins(cells, targets, turns, tolerance)
+
+
+def _raked_in_one(cells: DataFrame, targets: dict[str, DataFrame], turns: int, tolerance: float) -> DataFrame:
+    # values that these cells have: no more than there are cells
+    wanted = [{r.value: r.share for r in t.join(cells.select(F.col(d).alias("value")).distinct(), "value", "left_semi").collect()} for d, t in targets.items()]
+    names = list(targets)
+
+    def rake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        weight, gap = table.column("tokens").to_numpy().astype(float), 0.0
+        sides = []
+        for d, shares in zip(names, wanted, strict=True):
+            coded = table.column(d).combine_chunks().dictionary_encode()
+            sides.append((coded.indices.to_numpy(), np.array([shares.get(v, 0.0) for v in coded.dictionary.to_pylist()])))
+        for _ in range(turns):
+            off = np.zeros(len(weight))
+            for at, share in sides:
+                held = np.bincount(at, weight, len(share))
+                off = np.maximum(off, np.abs(share - held)[at])
+                weight = weight * np.where(held > 0, share / np.where(held > 0, held, 1.0), 0.0)[at]
+            gap = float(off.max())
+            if gap < tolerance:
+                break
+        yield pa.RecordBatch.from_arrays([*(table.column(d).combine_chunks() for d in DIMENSIONS), table.column("tokens").combine_chunks(), pa.array(weight), pa.array(np.full(len(weight), gap))], [*DIMENSIONS, "tokens", "weight", "gap"])
+
+    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, weight double, gap double"
+    return stored(cells.select(*DIMENSIONS, "tokens").coalesce(1).mapInArrow(rake, schema), "cells")
+
+
+def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], turns: int, tolerance: float) -> DataFrame:
     cells = stored(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     targets = {d: stored(t, "target") for d, t in targets.items()}
     worst = None

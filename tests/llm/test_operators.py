@@ -261,7 +261,11 @@ def test_cascade_is_exact(spark):
 def test_mixing(odd, spark):
     cells = spark.createDataFrame([(s, x, t, (i + 1) * 100) for i, (s, x, t) in enumerate(itertools.product("ab", "xy", "uv"))], "source string, lang string, topic string, tokens long")
     targets = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("x", 0.7), ("y", 0.3)], "topic": [("u", 0.2), ("v", 0.8)]}
-    got = mixing.raked(cells, {k: spark.createDataFrame(v, "value string, share double") for k, v in targets.items()}).toPandas()
+    tables = {k: spark.createDataFrame(v, "value string, share double") for k, v in targets.items()}
+    got = mixing.raked(cells, tables).toPandas()
+    joined = mixing.raked(cells, tables, local=0).toPandas()  # more cells than one task takes
+    order = list(mixing.DIMENSIONS)
+    assert np.allclose(got.sort_values(order).weight, joined.sort_values(order).weight) and np.allclose(got.gap, joined.gap[0])
     for k, v in targets.items():
         assert all(abs(got[got[k] == value].weight.sum() - share) < 1e-3 for value, share in v)
     brute = {(s, x, t): (i + 1) * 100.0 for i, (s, x, t) in enumerate(itertools.product("ab", "xy", "uv"))}
