@@ -218,14 +218,14 @@ class Rules:
         out = []
         for low, high in islands(starts, len(text)) if near else [(0, len(text))]:
             low, high = _whole_characters(text, low, high)
-            part = text[low:high].decode()
+            part = text[low:high].decode("utf-8", "surrogateescape")  # bytes that are no UTF-8 keep their places
             if len(part) == high - low:
                 out += [(low + m.start(), low + m.end()) for m in regex.finditer(part)]
             else:
                 at, byte = 0, low
                 for m in regex.finditer(part):
-                    begin = byte + len(part[at : m.start()].encode())
-                    end = begin + len(m[0].encode())
+                    begin = byte + len(part[at : m.start()].encode("utf-8", "surrogateescape"))
+                    end = begin + len(m[0].encode("utf-8", "surrogateescape"))
                     out.append((begin, end))
                     at, byte = m.end(), end
         return out
@@ -266,7 +266,7 @@ def run_rules(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             for i, j, ranges in rules.found(texts, batch.column("kind").to_pylist(), regexes):
                 t = texts[i]
                 for s, e in ranges:
-                    at.append(i), pattern.append(j), count.append(len(ranges)), value.append(t[s:e].decode())
+                    at.append(i), pattern.append(j), count.append(len(ranges)), value.append(t[s:e].decode("utf-8", "replace"))
                     start.append(s), stop.append(e), before.append(t[max(s - rules.wide, 0) : s].lower()), after.append(t[e : e + rules.wide].lower())
             rest = np.setdiff1d(np.arange(len(texts)), at)
             none = [None] * len(rest)

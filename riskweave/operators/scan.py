@@ -231,7 +231,7 @@ class Scorer:
     def _score(self, j: int, low: bytes, text: bytes, start: int, stop: int, n: int) -> tuple[int, bool] | None:
         """Score and whether a hotword is near; None for a match that is suppressed."""
         p, cfg, value = self.patterns[j], self.cfg, text[start:stop]
-        suppressed, penalised = self._excluded(j, low, start, stop, value.decode())
+        suppressed, penalised = self._excluded(j, low, start, stop, value.decode("utf-8", "replace"))
         if suppressed:
             return None
         sides = (low[max(start - p.hotword_window, 0) : start], low[stop : stop + p.hotword_window]) if p.hotword_window > 0 else ()

@@ -107,3 +107,11 @@ def test_patterns_without_prefix_and_with_classes(spark):
     assert sorted((r.content_id, r.pattern, r.value) for r in scan.matches(rows, packs).collect()) == [(1, "code", "id"), (1, "number", "12")]
     with pytest.raises(re.error):
         scan.matches(rows, [Pattern("bad", "(")])
+
+
+def test_bytes_that_are_no_utf8_keep_places(spark):
+    rules = automaton.Rules([Pattern("p", "k=[a-z]+", "k=")], ScanConfig(), (), 0, False)
+    text = b"\xff\xfe k=one \xc3 k=two"
+    ((_, _, ranges),) = rules.found([text], ["natural"], rules.regexes())
+    assert [text[a:b] for a, b in ranges] == [b"k=one", b"k=two"]
+    assert list(scan.Scorer(rules.patterns, [], ScanConfig(thresholds={"low": 1, "medium": 1})).verdicts([text, b"\xff"], ["natural"] * 2)) == [(True, "p", 2), (False, "", 0)]
