@@ -89,13 +89,13 @@ def windows(text):
     return w, [tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))] if w else []
 
 
-@pytest.mark.parametrize("block", [32 << 20, 300])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("block, broadcast", [(32 << 20, decontaminate.BROADCAST), (300, decontaminate.BROADCAST), (300, 0)])
+def test_contamination(spark, block, broadcast):
     words = [f"t{i}" for i in range(200)]
-    items = [(1, " ".join(words[:30])), (2, " ".join(words[20:60])), (3, "two words"), (4, None), (5, "..."), (1, " ".join(words[100:120])), (6, "loop " * 30)]
-    docs = [(1, " ".join(words[5:18])), (2, " ".join(words[5:17])), (3, "x " + " ".join(words[:70]) + " y Two,Words"), (4, None), (5, ""), (6, "loop " * 40), (7, " ".join(words[95:125]) + " pad" * 500), (7, "two words")]
-    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block)
-    got = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.bad) for r in found.withColumn("bad", decontaminate.contaminated()).collect())
+    items = [(1, " ".join(words[:30])), (2, " ".join(words[20:60])), (3, "two words"), (4, None), (5, "..."), (1, " ".join(words[100:120])), (6, "loop " * 30), (7, "Two"), (None, "nobody owns " + " ".join(words[150:170]))]
+    docs = [(1, " ".join(words[5:18])), (2, " ".join(words[5:17])), (3, "x " + " ".join(words[:70]) + " y Two,Words"), (4, None), (5, ""), (6, "loop " * 40), (7, " ".join(words[95:125]) + " pad" * 500), (7, "two words"), (None, " ".join(words[140:171])), (8, " ".join(words[150:163])), (8, " ".join(words[150:163]))]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), block, broadcast=broadcast)
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r["items"]), r.bad) for r in found.withColumn("bad", decontaminate.contaminated()).collect())
     want = []
     for d, t in docs:
         w, hit, names = windows(t)[0], set(), set()
@@ -104,8 +104,8 @@ def test_contamination(spark, block):
                 for i in range(len(w) - len(g) + 1):
                     if tuple(w[i : i + len(g)]) == g:
                         hit |= set(range(i, i + len(g)))
-                        names.add(str(item))
-        want.append((d, len(w), len(hit), tuple(sorted(names)), len(hit) > 0 and 20 * len(hit) >= len(w)))
+                        names |= {str(item)} if item is not None else set()
+        want.append((str(d), len(w), len(hit), tuple(sorted(names)), len(hit) > 0 and 20 * len(hit) >= len(w)))
     assert got == sorted(want)
 
 
