@@ -92,6 +92,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language, op2_chat, op3_mixing, op4_near_dedup, op5_quality, op6_token_files, op7_url_filter, op8_lm_score, op9_secret_scan, op10_decontaminate, op11_search, op12_warc, op13_alignment)}
 
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LOW_URL = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Fixed: the 32 digits of base32; four of them for each five digits of a hexadecimal SHA-1.
 _BASE32 = "array_to_string([" + ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(sha, {5 * g + 1}, 5))::BIGINT >> {shift}) & 31 AS INT), 1)" for g in range(8) for shift in (15, 10, 5, 0)) + "], '')"
@@ -138,4 +139,24 @@ k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS most,
   CASE WHEN regexp_matches(low, '^[^/?#]*://') THEN array_to_string(list_reverse(string_split(regexp_extract(low, '^[^/?#]*?://([^/?#]*)', 1), '.')), ',') || ')' || regexp_extract(low, '(?s)^[^/?#]*?://[^/?#]*(.*)$', 1) ELSE low END AS url_key FROM p)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < most THEN most END AS refers_to,
   url_key, row_number() OVER (ORDER BY url_key, page_id % 1000000000, page_id) AS place, row_number() OVER (PARTITION BY url_key ORDER BY page_id % 1000000000, page_id) AS capture FROM k""",
+    "op4_near_dedup": """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_ >= 75 * (a.n + b.n - both_)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, min(reached) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op10_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w, least(len({_WORDS}), 13) AS m FROM benchmark),
+iw AS (SELECT DISTINCT item, m, unnest([array_to_string(w[j:j+m-1], ' ') for j in range(1, len(w) - m + 2)]) AS g FROM i WHERE m > 0),
+dw AS (SELECT k, m, unnest(range(1, len(w) - m + 2)) AS j, w FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m),
+x AS (SELECT k, m, j, array_to_string(w[j:j+m-1], ' ') AS g FROM dw),
+hit AS (SELECT k, m, j FROM x JOIN (SELECT DISTINCT m, g FROM iw) USING (m, g)),
+n AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(j, j + m)) AS p FROM hit) GROUP BY 1),
+t AS (SELECT k, string_agg(item, ',' ORDER BY item) AS items, count(*) AS n_items FROM (SELECT DISTINCT k, item FROM x JOIN iw USING (m, g) WHERE item IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN n ON n.k = d.k LEFT JOIN t ON t.k = d.k""",
 }
