@@ -203,6 +203,13 @@ def le32(n: str) -> str:
     return f"unhex(array_to_string([printf('%02X', ({n} >> (8 * j)) & 255) for j in range(4)], ''))"
 
 
+#: Look-ups of a text in order; a miss starts a new 5 s, and only what is asked for within them is a hit.
+_CACHED = """WITH RECURSIVE d AS (SELECT doc_id || '-a' AS who, doc_id * 10 AS asked, coalesce(text, '') AS text FROM documents UNION ALL SELECT doc_id || '-b', doc_id * 10 + CASE WHEN doc_id % 2 = 0 THEN 3000 ELSE 7000 END, coalesce(text, '') FROM documents),
+k AS (SELECT *, md5(text) AS digest, row_number() OVER (PARTITION BY text ORDER BY asked, who) AS n FROM d),
+c AS (SELECT who, digest, n, FALSE AS hit, who AS answered_by, asked AS inserted FROM k WHERE n = 1
+  UNION ALL SELECT k.who, k.digest, k.n, k.asked - c.inserted <= 5000, CASE WHEN k.asked - c.inserted <= 5000 THEN c.answered_by ELSE k.who END, CASE WHEN k.asked - c.inserted <= 5000 THEN c.inserted ELSE k.asked END FROM c JOIN k ON k.digest = c.digest AND k.n = c.n + 1)"""
+
+
 ORACLE_SQL = {
     "classify_documents": f"SELECT doc_id, {kind('text')} AS content_type FROM documents",
     "classify_conversations": f"SELECT {kind('text')} AS content_type, count(*) AS n FROM conversations GROUP BY 1",
@@ -277,12 +284,8 @@ SELECT extension, extension IN ({", ".join(q(x) for x in [*RISKY_EXTENSIONS, "ht
     "streamed_hello": f"WITH {_NUMBERED} SELECT event_id, user_id FROM e WHERE k = 1",
     "clipboard_fingerprints": """WITH u AS (SELECT item_id, list_concat([2166136261::BIGINT], flatten([CASE WHEN c >= 65536 THEN [(55296 + ((c - 65536) >> 10))::BIGINT, (56320 + ((c - 65536) & 1023))::BIGINT] ELSE [c::BIGINT] END for c in [unicode(x) for x in string_split(text, '')]])) AS units FROM benchmark)
 SELECT item_id, (len(units) - 1) || ':' || printf('%x', list_reduce(units, lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS fingerprint FROM u""",
-    # look-ups of a text in order; a miss starts a new 5 s, and only what is asked for within them is a hit
-    "cached_scans": """WITH RECURSIVE d AS (SELECT doc_id || '-a' AS who, doc_id * 10 AS asked, coalesce(text, '') AS text FROM documents UNION ALL SELECT doc_id || '-b', doc_id * 10 + CASE WHEN doc_id % 2 = 0 THEN 3000 ELSE 7000 END, coalesce(text, '') FROM documents),
-k AS (SELECT *, md5(text) AS digest, row_number() OVER (PARTITION BY text ORDER BY asked, who) AS n FROM d),
-c AS (SELECT who, digest, n, FALSE AS hit, who AS answered_by, asked AS inserted FROM k WHERE n = 1
-  UNION ALL SELECT k.who, k.digest, k.n, k.asked - c.inserted <= 5000, CASE WHEN k.asked - c.inserted <= 5000 THEN c.answered_by ELSE k.who END, CASE WHEN k.asked - c.inserted <= 5000 THEN c.inserted ELSE k.asked END FROM c JOIN k ON k.digest = c.digest AND k.n = c.n + 1)
-SELECT who, hit, answered_by FROM c""",
+    "cached_scans": f"{_CACHED} SELECT who, hit, answered_by FROM c",
+    "cache_counts": f"{_CACHED} SELECT right(who, 1) AS turn, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses FROM c GROUP BY 1",
     "profile_snapshots": """WITH s AS (SELECT regexp_replace(lower(source), '[^a-z0-9]', '_', 'g') || '_admin' AS category, count(*) AS n, sum(n_chars) AS chars FROM documents WHERE source IS NOT NULL GROUP BY 1), v(version) AS (VALUES (1), (2), (3))
 SELECT CAST(version AS BIGINT) AS version, category, CASE WHEN version = 2 AND chars > 2000 * n THEN 'deny' ELSE 'allow' END AS action, CASE WHEN version = 2 THEN 5 ELSE 2 END AS threshold_high, 4 AS threshold_low FROM s, v""",
     "framed_conversations": "SELECT conv_id, turn, role, text FROM conversations",

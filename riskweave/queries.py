@@ -344,14 +344,22 @@ def streamed_hello(spark, sf_dir):
     return out.where("hello").select("event_id", "user_id")
 
 
-def cached_scans(spark, sf_dir):
+def _cached(spark, sf_dir) -> DataFrame:
     """All documents twice as a stream, 100 a second, the second time 3 s after the first or, for every second one, 7 s: which look-ups the cache answers."""
     first = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("doc_id") * 10)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     again = F.make_dt_interval(secs=F.when(F.col("doc_id") % 2 == 0, 3).otherwise(7))
     rows = docs.select(F.concat_ws("-", "doc_id", F.lit("a")).alias("who"), first.alias("at"), "text").unionByName(docs.select(F.concat_ws("-", "doc_id", F.lit("b")).alias("who"), (first + again).alias("at"), "text"))
-    out = event_order.replayed(rows, "at", lambda s: event_order.cached(s, "at", "who", shards=8), 10.0, slices=2)
-    return out.select("who", "hit", "answered_by")
+    return event_order.replayed(rows, "at", lambda s: event_order.cached(s, "at", "who", shards=8), 10.0, slices=2)
+
+
+def cached_scans(spark, sf_dir):
+    return _cached(spark, sf_dir).select("who", "hit", "answered_by")
+
+
+def cache_counts(spark, sf_dir):
+    """Of the same look-ups, how many were answered without a scan, for first and second ones."""
+    return event_order.cache_counts(_cached(spark, sf_dir).withColumn("turn", F.right("who", F.lit(1))), "turn").select("turn", "hits", "misses")
 
 
 def profile_snapshots(spark, sf_dir):
@@ -472,6 +480,6 @@ QUERIES = {
         classify_documents, classify_conversations, prefix_candidates, severity_guard, status_counts, config_violations, scan_large, regex_matches, prefix_hits, dictionary_counts, windowed_matches, match_entropy, hotword_context, exclusion_eval, score_matches, scan_documents, scan_conversations, scan_dedup, scan_by_source, scan_by_lang, blocked_counters,
         resolve_page_hosts, dns_verdicts, tier2_hosts, rule_precedence, override_merge, accuracy_report, accuracy_by_lang, pattern_fp, pattern_fn, report_examples, corpus_categories, accuracy_regression, centroids, prefilter_verdicts, linear_head, disambiguator_scores, scan_with_ml,
         tamper_edges, counter_deltas, last_notifications, id_rollback, byte_budget, enforcement_decisions, risky_extensions, manifest_delta, clipboard_fingerprints, rate_limit, clipboard_throttle,
-        streamed_edges, streamed_rate_limit, streamed_throttle, streamed_hello, cached_scans, profile_snapshots, framed_conversations, conversation_macs, text_second_opinion, planted_recall, sample_corpus, sql_scan, sql_columns, profile_checks, exclusion_merge, page_addresses,
+        streamed_edges, streamed_rate_limit, streamed_throttle, streamed_hello, cached_scans, cache_counts, profile_snapshots, framed_conversations, conversation_macs, text_second_opinion, planted_recall, sample_corpus, sql_scan, sql_columns, profile_checks, exclusion_merge, page_addresses,
     )
 }

@@ -54,7 +54,7 @@ class InOrder(StatefulProcessor):
         due = sorted((r for r in rows if r[0] <= mark), key=lambda r: [(x is not None, x) for x in r])
         held = self.held.get() if self.held.exists() else None
         if due:
-            answers, now = self.fold(None if held is None else tuple(held)[1:], due)
+            answers, now = self._folded(None if held is None else tuple(held), due)
             self.held.update((due[-1][0], *now))
             self.handle.registerTimer((due[-1][0] + self.idle) // 1000 + 1)
             left = [r for r in rows if r[0] > mark]
@@ -68,6 +68,19 @@ class InOrder(StatefulProcessor):
         elif held is not None and held[0] + self.idle <= mark:
             self.held.clear()
 
+    def _folded(self, held: tuple | None, due: list[tuple]) -> tuple[list[tuple], tuple]:
+        """A row that comes more than the idle time after the one before begins anew, whether or not a timer has fired between them."""
+        last, now = (held[0], held[1:]) if held is not None else (due[0][0], None)
+        answers, start = [], 0
+        for i, r in enumerate(due):
+            if r[0] - last > self.idle:
+                if start < i:
+                    answers += self.fold(now, due[start:i])[0]
+                now, start = None, i
+            last = r[0]
+        more, now = self.fold(now, due[start:])
+        return answers + more, now
+
 
 def in_order(stream: DataFrame, key: str, ts: str, columns: list[str], answers: str, fold: Callable, state: str, late: str = "10 minutes", idle: float = DAY) -> DataFrame:
     """stream -> key, micros (of ts), columns, and the answers (a DDL string). columns after the time are the further order of rows at one time, as well as what fold sees."""
@@ -175,6 +188,11 @@ def cached(stream: DataFrame, ts: str, who: str, text: str = "text", capacity: i
     return in_order(rows, "shard", ts, ["who", "digest"], "hit boolean, answered_by string, evicted boolean", fold, state, late, max(ttl, 1.0))
 
 
+def cache_counts(answers: DataFrame, *by: str) -> DataFrame:
+    """Answers of cached -> hits, misses and evictions, of all or by some of their columns."""
+    return answers.groupBy(*by).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.count_if("evicted").alias("evictions"))
+
+
 def replayed(rows: DataFrame, ts: str, job: Callable[[DataFrame], DataFrame], late: float, slices: int = 3) -> DataFrame:
     """A table as a stream: its rows in `slices` parts by time, each row up to half of `late` seconds out of order, arrive one part after the other, and a last row far ahead passes the watermark over all. Returns what the job has answered, as a table."""
     spark = rows.sparkSession

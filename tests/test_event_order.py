@@ -50,11 +50,13 @@ def test_streams_agree_with_batch_rules(spark, rows, batches, shuffled):
     assert hello == told(first, "n")
 
 
-def test_idle_keys_are_forgotten(spark):
+@pytest.mark.parametrize("slices", [1, 3])
+def test_idle_keys_are_forgotten(spark, slices):
+    """Also where the rows before and after come in one batch."""
     at = lambda s: F.timestamp_seconds(F.lit(1_000_000 + s))
     parts = [spark.range(1).select(F.lit("a").alias("k"), at(s).alias("at"), F.lit(n).cast("long").alias("n"), F.lit(False).alias("ok"), F.lit("x").alias("mark")) for n, s in enumerate([0, 30, 500])]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    out = event_order.replayed(rows, "at", lambda s: event_order.hello_once(s, "k", "at", "n", late="10 seconds", idle=100.0), 10.0)
+    out = event_order.replayed(rows, "at", lambda s: event_order.hello_once(s, "k", "at", "n", late="10 seconds", idle=100.0), 10.0, slices=slices)
     assert sorted((r.n, r.hello) for r in out.collect()) == [(0, True), (1, False), (2, True)]
 
 
@@ -99,7 +101,9 @@ def test_cached_stream_with_a_small_capacity(spark):
     plain = Plain(3, 2_000_000)
     right = [(who, *plain.ask(text or "", who, round(s * 1e6))) for who, s, text in asked]
     assert sorted((r.who, r.hit, r.answered_by) for r in out.collect()) == right
-    assert sum(hit for _, hit, _ in right) > 50
+    hits = sum(hit for _, hit, _ in right)
+    (counts,) = event_order.cache_counts(out).collect()
+    assert hits > 50 and (counts.hits, counts.misses) == (hits, 300 - hits) and counts.evictions == out.where("evicted").count() > 20
 
 
 def test_a_key_with_several_arrow_batches_in_a_trigger(spark, tmp_path):
