@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes
+from .common import slices, spread, stored, text_bytes
 
 #: Parts that a worker process remembers for each tokenizer, twice, and the longest of them.
 KEPT, KEPT_LENGTH = 400_000, 64
@@ -255,7 +255,7 @@ def _linked(path_a: str, path_b: str) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """docs (doc_id, text) -> LINKS: counts, the hash of the groups, the document's distinct pairs (a * B's size + b, ascending) and how often each is linked."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(_linked(path_a, path_b), LINKS)
 
 

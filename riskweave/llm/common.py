@@ -51,6 +51,13 @@ def discard(*frames: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame, split: int = 4 << 20) -> DataFrame:
+    """Deals a table of less than `split` bytes a core over all cores, which its file splits would not fill; a larger one is read as it lies, without a shuffle. No result depends on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
