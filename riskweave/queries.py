@@ -404,7 +404,10 @@ def conversation_macs(spark, sf_dir):
 
 
 def _embedded(spark, sf_dir) -> DataFrame:
-    return embed.embedded(_documents(spark, sf_dir)).withColumnRenamed("content_id", "doc_id")
+    """The vectors are read several times, so they are written once."""
+    place = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    embed.embedded(_documents(spark, sf_dir)).withColumnRenamed("content_id", "doc_id").write.parquet(place)
+    return spark.read.parquet(place)
 
 
 def text_second_opinion(spark, sf_dir):
