@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/riskweave"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as a Parquet table in the shared folder and read back: lineage ends here, and a lost executor costs a reread only."""
+def stored(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """df written once as a Parquet table (with the writer's options) in the shared folder and read back: lineage ends here, and a lost executor costs a reread only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out

@@ -151,7 +151,9 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Index:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = rows.select("text").mapInArrow(_lengths, "docs long, total long").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).head()
     n, total = got.docs or 0, got.total or 0
-    return Index(stored(rows.mapInArrow(_shards(n, total, shard_bytes), SHARD), "shards"), n, total)
+    # a row is a shard of megabytes: its size is looked at after each row, not after 100, so that a row group, which is held as one where it is written and read, has few of them
+    groups = {"parquet.block.size": 2 * shard_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    return Index(stored(rows.mapInArrow(_shards(n, total, shard_bytes), SHARD), "shards", **groups), n, total)
 
 
 def _frequencies(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from riskweave.llm import lexical
@@ -49,6 +50,19 @@ def test_ties_across_shards(spark):
     assert sorted((r["rank"], r.doc_id) for r in got) == [(k + 1, 2 * k + 1) for k in range(20)]
 
 
+def test_row_groups_do_not_grow_with_a_tasks_shards(spark):
+    docs = spark.createDataFrame([(i, f"same words here other{i}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # a shard has one batch at least
+    try:
+        shards = lexical.build_index(docs, 40).shards
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert shards.count() == 100
+    for file in shards.inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+        assert max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 4
+
+
 def test_empty_tables(spark, odd):
     items = spark.createDataFrame([(1, "alpha1", 0)], ITEMS)
     assert lexical.search(lexical.build_index(odd.limit(0)), items).count() == 0
