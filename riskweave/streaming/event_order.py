@@ -1,7 +1,10 @@
 """Keyed rules over streams in order of event time, whatever the order of arrival.
 
-Rows of a key wait in list state until the watermark has passed their time; a timer then takes those that
-are due, sorts them by time and the rule's further order, and folds them into what is held of the key.
+Keys are dealt by hash over `BUCKETS` buckets, and a bucket is what Spark groups by: what reads and writes
+state is a bucket's rows of a batch at once, not a row or a key, so the calls between Python and the state
+store do not grow with rows or keys. Rows wait in list state until the watermark has passed their time; the
+bucket's one timer then takes those that are due, sorts those of each key by time and the rule's further
+order, and folds them into what is held of the key.
 So answers depend neither on how rows are dealt over batches nor on the size of an Arrow batch, as long
 as rows are late by no more than `late`; later ones are dropped, as everywhere in Structured Streaming.
 What waits of a key are the rows of that time only, and what is held of it ends after `idle` seconds.
@@ -14,9 +17,11 @@ further order, nulls first, and rows equal in that, too, are all answered.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -27,46 +32,64 @@ from riskweave.sources.sinks import shared_folder
 DAY, MILLION = 86_400.0, 1_000_000
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups that keys are dealt over; no answer depends on it.
+BUCKETS = 2048
 #: Fixed: how long a verdict is held, and how many a cache holds.
 TTL, CAPACITY = 5.0, 1024
 
 
 class InOrder(StatefulProcessor):
-    """fold(held or None, rows sorted) -> (a tuple of answers for each row, held). A row is (micros, *values)."""
+    """fold(held or None, rows sorted) -> (a tuple of answers for each row, held). A row is (micros, *values). names: the key's, the row's columns, the answers."""
 
-    def __init__(self, fold: Callable, columns: list[str], answers: list[str], waiting: str, state: str, idle: float):
-        self.fold, self.columns, self.answers, self.waiting_schema, self.state_schema, self.idle = fold, columns, answers, waiting, state, int(idle * MILLION)
+    def __init__(self, fold: Callable, names: list[str], width: int, idle: float):
+        self.fold, self.names, self.width, self.idle = fold, names, width, int(idle * MILLION)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
-        self.held = handle.getValueState("held", self.state_schema)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.held = handle.getValueState("held", "keys binary")
+        self.next = handle.getValueState("next", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        arrived = [tuple(r[c] for c in self.columns) for r in rows]
-        self.waiting.appendList(arrived)
-        self.handle.registerTimer(min(r[0] for r in arrived) // 1000)
+        first = next(rows)
+        take = itemgetter(*map(first.__fields__.index, self.names[: self.width]))
+        arrived = [take(first), *map(take, rows)]
+        self.waiting.appendValue((pickle.dumps(arrived),))
+        self._wake(-(-min(r[1] for r in arrived) // 1000))
         return iter(())
 
+    def _wake(self, at: int) -> None:
+        """A bucket has one timer, at the earliest time (in ms) that is asked for."""
+        if (known := self.next.get()) is not None:
+            if known[0] <= at:
+                return
+            self.handle.deleteTimer(known[0])
+        self.next.update((at,))
+        self.handle.registerTimer(at)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.waiting.get()]
-        due = sorted((r for r in rows if r[0] <= mark), key=lambda r: [(x is not None, x) for x in r])
-        held = self.held.get() if self.held.exists() else None
-        if due:
-            answers, now = self._folded(None if held is None else tuple(held), due)
-            self.held.update((due[-1][0], *now))
-            self.handle.registerTimer((due[-1][0] + self.idle) // 1000 + 1)
-            left = [r for r in rows if r[0] > mark]
-            if left:
-                self.waiting.put(left)
-                self.handle.registerTimer(min(r[0] for r in left) // 1000)
-            else:
-                self.waiting.clear()
-            for r, said in zip(due, answers, strict=True):
-                yield Row(**dict(zip((*self.columns, *self.answers), (*r, *said), strict=True)), **dict(zip(self.key_names, key, strict=True)))
-        elif held is not None and held[0] + self.idle <= mark:
-            self.held.clear()
+        self.next.clear()
+        due, left = {}, []
+        for (rows,) in self.waiting.get():
+            for r in pickle.loads(rows):
+                due.setdefault(_hashed(r[0]), []).append(r) if r[1] <= mark else left.append(r)
+        known = self.held.get()
+        held = pickle.loads(known[0]) if known is not None else {}
+        said = Row(*self.names)
+        for k, rows in due.items():
+            name, own = rows[0][0], in_turn([r[1:] for r in rows])
+            answers, now = self._folded(held.get(k), own)
+            held[k] = (own[-1][0], *now)
+            for r, a in zip(own, answers, strict=True):
+                yield said(name, *r, *a)
+        held = {k: v for k, v in held.items() if v[0] + self.idle > mark}
+        self.held.update((pickle.dumps(held),)) if held else self.held.clear()
+        self.waiting.put([(pickle.dumps(left),)]) if left else self.waiting.clear()
+        ends = [-(-min(r[1] for r in left) // 1000)] if left else []
+        ends += [(min(v[0] for v in held.values()) + self.idle) // 1000 + 1] if held else []
+        if ends:
+            self._wake(min(ends))
 
     def _folded(self, held: tuple | None, due: list[tuple]) -> tuple[list[tuple], tuple]:
         """A row that comes more than the idle time after the one before begins anew, whether or not a timer has fired between them."""
@@ -82,18 +105,31 @@ class InOrder(StatefulProcessor):
         return answers + more, now
 
 
-def in_order(stream: DataFrame, key: str, ts: str, columns: list[str], answers: str, fold: Callable, state: str, late: str = "10 minutes", idle: float = DAY) -> DataFrame:
+def _hashed(key):
+    """A key of a dict that is equal where Spark holds keys for equal: NaN equals itself."""
+    return ("NaN",) if key != key else tuple(key) if isinstance(key, list) else key
+
+
+def in_turn(rows: list[tuple]) -> list[tuple]:
+    """Sorted, nulls first."""
+    try:
+        return sorted(rows)
+    except TypeError:  # a null met a value
+        return sorted(rows, key=lambda r: [(x is not None, x) for x in r])
+
+
+def in_order(stream: DataFrame, key: str, ts: str, columns: list[str], answers: str, fold: Callable, late: str = "10 minutes", idle: float = DAY) -> DataFrame:
     """stream -> key, micros (of ts), columns, and the answers (a DDL string). columns after the time are the further order of rows at one time, as well as what fold sees."""
     spark = stream.sparkSession
     if spark.conf.get(_STORE, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(_STORE, ""):
         spark.conf.set(_STORE, ROCKSDB)
-    rows = stream.withWatermark(ts, late).select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), *columns).where("micros is not null")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    rows = stream.withWatermark(ts, late).select(bucket, key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), *columns).where("micros is not null")
     kinds = dict(rows.dtypes)
-    waiting = ", ".join(f"`{c}` {kinds[c]}" for c in ("micros", *columns))
-    names = [x.split()[0] for x in answers.split(", ")]
-    processor = InOrder(fold, ["micros", *columns], names, waiting, f"last long, {state}", idle)
-    processor.key_names = [key]
-    return rows.groupBy(key).transformWithState(processor, f"{waiting}, {answers}, `{key}` {kinds[key]}", "append", "EventTime").select(key, "micros", *columns, *names)
+    taken = [key, "micros", *columns]
+    names = [*taken, *(x.split()[0] for x in answers.split(", "))]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in taken), answers])
+    return rows.groupBy("_bucket").transformWithState(InOrder(fold, names, len(taken), idle), schema, "append", "EventTime").select(*names)
 
 
 def limited(stream: DataFrame, key: str, ts: str, tie: str, rate: float, burst: float, late: str = "10 minutes") -> DataFrame:
@@ -110,7 +146,7 @@ def limited(stream: DataFrame, key: str, ts: str, tie: str, rate: float, burst:
             out.append((said,))
         return out, (float(tokens), last)
 
-    return in_order(stream, key, ts, [tie], "allowed boolean", fold, "tokens double, at long", late, burst / rate if rate > 0 else 0.0)
+    return in_order(stream, key, ts, [tie], "allowed boolean", fold, late, burst / rate if rate > 0 else 0.0)
 
 
 def edges(stream: DataFrame, key: str, ts: str, tie: str, ok: str, late: str = "10 minutes", idle: float = DAY) -> DataFrame:
@@ -124,7 +160,7 @@ def edges(stream: DataFrame, key: str, ts: str, tie: str, ok: str, late: str = "
             fine = now
         return out, (fine,)
 
-    return in_order(stream, key, ts, [tie, ok], "edge boolean", fold, "ok boolean", late, idle)
+    return in_order(stream, key, ts, [tie, ok], "edge boolean", fold, late, idle)
 
 
 def throttled(stream: DataFrame, key: str, ts: str, tie: str, mark: str, gap: float = 1.5, late: str = "10 minutes", idle: float = DAY) -> DataFrame:
@@ -138,12 +174,12 @@ def throttled(stream: DataFrame, key: str, ts: str, tie: str, mark: str, gap: fl
             out.append((said,))
         return out, held
 
-    return in_order(stream, key, ts, [tie, mark], "accepted boolean", fold, "accepted_at long, mark string", late, idle)
+    return in_order(stream, key, ts, [tie, mark], "accepted boolean", fold, late, idle)
 
 
 def hello_once(stream: DataFrame, key: str, ts: str, tie: str, late: str = "10 minutes", idle: float = DAY) -> DataFrame:
     """With hello: true for a connection's first row only."""
-    return in_order(stream, key, ts, [tie], "hello boolean", lambda held, rows: ([(held is None and i == 0,) for i in range(len(rows))], (True,)), "seen boolean", late, idle)
+    return in_order(stream, key, ts, [tie], "hello boolean", lambda held, rows: ([(held is None and i == 0,) for i in range(len(rows))], (True,)), late, idle)
 
 
 class Cache:
@@ -184,8 +220,7 @@ def cached(stream: DataFrame, ts: str, who: str, text: str = "text", capacity: i
 
     rows = stream.withColumns({"_who": F.col(who).cast("string"), "_digest": F.sha2(F.coalesce(text, F.lit("")), 256)})
     rows = rows.withColumn("shard", F.pmod(F.crc32("_digest"), F.lit(shards)).cast("int")).select("shard", ts, F.col("_who").alias("who"), F.col("_digest").alias("digest"))
-    state = "entries array<struct<digest:string,answered_by:string,at:bigint>>, hits long, misses long, evictions long"
-    return in_order(rows, "shard", ts, ["who", "digest"], "hit boolean, answered_by string, evicted boolean", fold, state, late, max(ttl, 1.0))
+    return in_order(rows, "shard", ts, ["who", "digest"], "hit boolean, answered_by string, evicted boolean", fold, late, max(ttl, 1.0))
 
 
 def cache_counts(answers: DataFrame, *by: str) -> DataFrame:

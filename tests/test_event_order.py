@@ -120,3 +120,23 @@ def test_a_key_with_several_arrow_batches_in_a_trigger(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_state_follows_buckets_and_not_rows(spark, tmp_path):
+    rows = spark.range(6000).select((F.col("id") % 500).alias("k"), F.timestamp_seconds(1_000_000 + F.col("id") / 100).alias("at"), F.col("id").alias("n"), (F.col("id") % 3 == 0).alias("ok"))
+    rows.write.parquet(str(tmp_path / "in"))
+    job = event_order.edges(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "k", "at", "n", "ok")
+    query = job.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(120)
+    # a bucket's waiting rows, what is held of its keys, its timer in two orders, and the time of that
+    assert query.recentProgress[0].stateOperators[0].numRowsTotal <= 5 * 500
+
+
+def test_keys_and_ties_that_hold_no_value(spark):
+    """Keys that are null or NaN are one each, also where all keys share a bucket; ties are nulls first."""
+    nan = float("nan")
+    asked = [(k, 1_000_000.0 + t, n) for t in range(3) for n in (5, None) for k in (nan, None, 0.5)]
+    rows = spark.createDataFrame(asked, "k double, s double, n long").select("k", F.timestamp_seconds("s").alias("at"), "n")
+    out = event_order.replayed(rows, "at", lambda s: event_order.hello_once(s, "k", "at", "n", late="2 seconds"), 2.0)
+    said = [(str(r.k), r.micros, r.n) for r in out.where("hello").collect()]
+    assert out.count() == 18 and sorted(said) == [(k, 1_000_000_000_000, None) for k in ("0.5", "None", "nan")]
