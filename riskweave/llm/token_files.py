@@ -19,24 +19,34 @@ empty table gives an empty index. Columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import os
+import re
+import string
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import accumulate
+from functools import lru_cache, reduce
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, shared_dir, slices, stored, text_bytes
+from .common import CACHE_WORDS, shared_dir, slices, stored
 
 LENGTH, BATCH_ROWS, END = 1024, 64, 2
 #: A file is closed after the document with which it reaches this many ids.
 FILE_IDS = 16 << 20
+#: New words encoded at once.
+JOINED = 256
+#: Letters in every version of Unicode that stay letters, and as many, when composed and lower-cased; so a run of them is one word of the tokenizer.
+PLAIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+LETTERS = re.compile(f"[{PLAIN}]+")
+#: Signs, without the apostrophe, which begins words of its own.
+SIGNS = string.punctuation.replace("'", "")
 INDEX = "doc_id long, part int, file string, at long, before long, n_tokens long"
 
 
@@ -46,8 +56,15 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri.removeprefix("file:")
 
 
+def values(column: pa.Array) -> list:
+    """Its values; several times as fast as to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordIds:
-    """Ids of texts, as bytes of unsigned integers. White space separates the tokenizer's words, so the ids of a text are those of its words; each word is encoded once and remembered, a word used since the last generation of the memory for one more."""
+    """Ids of texts, as bytes of unsigned integers. White space separates the tokenizer's words, and so do signs after a letter or
+    digit; so the ids of a text are those of its words and signs. Each is encoded once and remembered, one used since the last
+    generation of the memory for one more."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,33 +72,72 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[i for x, i in vocab.items() if suffix and x.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of(self, text: bytes) -> bytes:
-        low = text.lower()
-        if any(x in low for x in self.special):  # their names are matched before lower-casing
-            return self.encoded([text.decode()])[0]
+    def joined(self, words: list[str]) -> list[bytes]:
+        """The same for words of plain letters, encoded as one text and parted after the ids that end a word; one by one if these are not as many."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = (np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize
+        if len(ends) != len(words):
+            return self.encoded(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        ids = list(map(self.known.get, words))
+        fresh = [w for w, x in zip(words, ids, strict=True) if x is None]
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.older, self.known = self.known, {w: x for w, x in zip(words, ids, strict=True) if x is not None}
+        new = {w: x for w, x in zip(fresh, map(self.older.get, fresh), strict=True) if x is not None}
+        plain = [w for w in fresh if w not in new and LETTERS.fullmatch(w)]
+        for i in range(0, len(plain), JOINED):
+            some = plain[i : i + JOINED]
+            new.update(zip(some, self.joined(some), strict=True))
+        other = [w for w in fresh if w not in new]
+        new.update(zip(other, self.encoded(other), strict=True))
+        self.known.update(new)
+        return [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words of texts: those of the word without its last signs, and those of the signs."""
+        core = pc.ascii_rtrim(words, SIGNS)
+        core = pc.if_else(pc.match_substring_regex(core, rf"[0-9{PLAIN}]\z"), core, words)
+        cut = np.flatnonzero(pc.not_equal(core, words).to_numpy(zero_copy_only=False))
+        signs = np.full(len(words), "", object)
+        signs[cut] = [w[len(c) :] for w, c in zip(values(words.take(cut)), values(core.take(cut)), strict=True)]
+        pieces = pa.concat_arrays([core, pa.array(signs, words.type)]).dictionary_encode()
+        ids = pa.array(self._known(values(pieces.dictionary)), pa.large_binary()).take(pieces.indices)
+        return pc.binary_join_element_wise(ids[: len(words)], ids[len(words) :], pa.scalar(b"", ids.type))
+
+    def of_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string column; null has none. A word is looked up once, however often the column holds it."""
+        texts = pc.fill_null(texts, "")
+        low = pc.ascii_lower(texts)
+        # names of special tokens are matched before lower-casing
+        whole = reduce(pc.or_, (pc.match_substring(low, x) for x in self.special), pa.repeat(False, len(texts)))
         # the tokenizer composes letters and marks before it lower-cases; without marks the order is all the same
-        words = (text if b"\xcc" in text or b"\xcd" in text else low).split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        fresh = set(words).difference(known)
-        if len(known) + len(fresh) > CACHE_WORDS:
-            self.older, self.known = known, {}
-            known, fresh = self.known, set(words)
-        older = self.older
-        known.update([(w, older[w]) for w in fresh if w in older])
-        fresh = [w for w in fresh if w not in known]
-        known.update(zip(fresh, self.encoded([w.decode() for w in fresh]), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        marks = pc.match_substring_regex(texts, "[\u0300-\u037f]")
+        words = pc.ascii_split_whitespace(pc.if_else(whole, "", pc.if_else(marks, texts, low)))
+        coded = words.values.dictionary_encode()
+        ids = self._words(coded.dictionary).take(coded.indices)
+        _, ends, raw = ids.buffers()
+        ends, raw = np.frombuffer(ends, np.int64)[words.offsets.to_numpy()].tolist(), memoryview(raw or b"")
+        out = [bytes(raw[a:b]) for a, b in pairwise(ends)]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encoded([texts[i].as_py()])[0]
+        return out
+
+    def of(self, text: bytes) -> bytes:
+        return self.of_all(pa.array([text.decode()]))[0]
 
 
 @lru_cache(1)
@@ -129,8 +185,8 @@ def _encoder(tokenizer: str, folder: str, end: int, file_ids: int) -> Callable[[
         part = TaskContext.get().partitionId()
         for batch in slices(batches):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                ids = words.of(text or b"") + last
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.of_all(batch.column("text")), strict=True):
+                ids += last
                 rows.append((doc, part, *out.add(ids), len(ids) // words.kind.itemsize))
                 if out.size >= file_ids:
                     out.close()

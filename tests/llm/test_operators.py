@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,45 @@ def test_words_encode_like_whole_texts():
         assert np.frombuffer(words.of(t.encode()), words.kind).tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+class _Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_together_and_without_their_signs():
+    words = token_files.WordIds(tokenizer_path("word_bpe_49k.json"))
+    tokenizer, words.tokenizer = words.tokenizer, _Counted(words.tokenizer)
+    letters = ["".join(x) for x in itertools.product("aeßñ", "lrt", "éio", "nm", "uś")]  # 144 words
+    text = " ".join(w + s for w in letters for s in ("", ".", ",", "!!", "%%%"))  # 720 words with their signs
+    assert np.frombuffer(words.of(text.encode()), words.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.tokenizer.texts <= 10
+
+
+@pytest.mark.parametrize("most", [10, 100_000])
+def test_columns_of_odd_words_encode_like_whole_texts(monkeypatch, most):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", most)  # with 10, the memory begins anew all the time
+    words = token_files.WordIds(tokenizer_path("word_bpe_49k.json"))
+    signs = [chr(i) for i in (*range(1, 0x250), *range(0x2B0, 0x400), *range(0x2000, 0x2070), *range(0x2190, 0x21A0), *range(0x3041, 0x3060), *range(0xFB00, 0xFB10), 0x1D7CE, 0x1F600)]
+    texts = [None, "", " ", *(f"x{c}. {c}A.b {c}%% Z{c}Z!! '{c}'s.\tI{c}, e\u0301{c};" for c in signs), "end.<|ENDOFTEXT|>. <|endoftext|>.", "\0. a\0! b"]
+    for kind in (pa.string(), pa.large_string()):
+        got = words.of_all(pa.array(texts, kind))
+        for t, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, words.kind).tolist() == words.tokenizer.encode(t or "", add_special_tokens=False).ids, ascii(t)
+    assert words.of_all(pa.array([], pa.string())) == []
+
+
+def test_joined_words_that_are_no_single_words():
+    words = token_files.WordIds(tokenizer_path("word_bpe_49k.json"))
+    some = ["one.", "two", "a's"]
+    assert words.joined(some) == words.encoded(some)
+
+
 def test_language(odd, spark):
     many = spark.createDataFrame([(i, ("the and of that with " if i % 2 else "der und die nicht ein ") * 20, "en" if i % 2 else "de") for i in range(80)], "doc_id long, text string, lang string")
     got = language.languages(many, remainder(F.col("doc_id"), 4) == 2).collect()
